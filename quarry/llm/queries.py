@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, mixing
+from quarry.llm import exact_dedup, mixing, quality_rules
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_quality_rules": quality_rules.OP6_SQL,
 }
