@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, mixing, quality_rules
+from quarry.llm import bpe, exact_dedup, mixing, quality_rules
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
