@@ -1,12 +1,16 @@
 """BPE encoding and decoding with a distinct-word table.
 
 Texts are normalised and split into words in Spark tasks. The corpus's distinct words are counted by a grouped
-aggregate, and each is encoded exactly once, with its pieces from an id-to-piece join; this is the word table. Ids return
-to the texts by position, in two ways that together are exact:
+aggregate, and each is encoded exactly once: the word table. Ids return to the texts by position:
 
-* the ``frequent`` most frequent words (a fixed number, so a proven bound) go to all tasks as a broadcast;
-* every other occurrence is a row (text, position, word), joined with the word table, gathered for each text and joined
-  back to it. Words of a text that has many copies are frequent, so few such rows stem from copies.
+* the ``frequent`` most frequent words (a fixed number, so a proven bound) are ranked and broadcast, and a text becomes its words'
+  ranks, one to three bytes each, 0 where the word is not among them;
+* each of those gaps is a row (text, position, word), joined with the word table and gathered for each text;
+* texts as ranks join their gaps, and ids, counts and digests follow. A text with many copies has frequent words, so few gap
+  rows stem from copies; adaptive execution splits the skewed key of the last join.
+
+Decoding looks every id up in the id-to-piece table. That has exactly the vocabulary's rows, so it is broadcast to the tasks that
+hold the ids; exploding every id of the corpus into a row for the same lookup would exchange several times the input.
 
 The vocabulary file is a parameter; executors load it from the same path, as a tokenizer's files are installed on each.
 
@@ -23,13 +27,14 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
 
-FREQUENT = 100_000
+FREQUENT = 400_000
 
 # Fixed values of the tokenizer file's kind: special tokens and, below, the split pattern.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -88,88 +93,118 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def piece_table(spark, path: str) -> DataFrame:
-    """(id, piece) of the vocabulary, special tokens included."""
+@lru_cache(maxsize=2)
+def piece_table(path: str) -> list[str]:
+    """Id to piece: a row for each id of the vocabulary, special tokens included."""
     with open(path, encoding="utf-8") as file:
         loaded = json.load(file)
-    rows = [(i, p) for p, i in loaded["model"]["vocab"].items()] + [(t["id"], t["content"]) for t in loaded["added_tokens"]]
-    return spark.createDataFrame(pa.table({"id": [i for i, _ in rows], "piece": [p for _, p in rows]})).dropDuplicates(["id"])
+    rows = {i: p for p, i in loaded["model"]["vocab"].items()} | {t["id"]: t["content"] for t in loaded["added_tokens"]}
+    return [rows.get(i, "") for i in range(max(rows) + 1)]
 
 
 def word_table(counts: DataFrame, path: str) -> DataFrame:
-    """(word, n, n_ids, ids, pieces): every distinct word encoded once; ids and pieces are joined by spaces."""
+    """(word, n, ids): every distinct word encoded once; ids are decimal, joined by spaces."""
 
     def encode(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids = encode_words(part.column("word").to_pylist(), path)
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    encoded = counts.mapInArrow(encode, "word string, n long, ids array<int>")
-    pieces = F.broadcast(piece_table(counts.sparkSession, path))  # as many rows as the vocabulary file has
-    by_word = (
-        encoded.select("word", "n", F.posexplode("ids").alias("at", "id"))
-        .join(pieces, "id")
-        .groupBy("word", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("parts"))
-    )
-    return by_word.select(
-        "word", "n", F.size("parts").alias("n_ids"),
-        F.array_join(F.transform("parts.id", lambda i: i.cast("string")), " ").alias("ids"),
-        F.array_join("parts.piece", " ").alias("pieces"),
-    )
+                ids = [" ".join(map(str, x)) for x in encode_words(part.column("word").to_pylist(), path)]
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.string())], names=["word", "n", "ids"])
+
+    return counts.mapInArrow(encode, "word string, n long, ids string")
+
+
+def pack(ranks: list[int]) -> bytes:
+    """Ranks as bytes of 7 bits, the lowest first, the last without its high bit."""
+    x = np.array(ranks, np.uint32)
+    rows = np.column_stack([x & 127, x >> 7 & 127, x >> 14 & 127, x >> 21]).astype(np.uint8)
+    size = 1 + (x > 0x7F) + (x > 0x3FFF) + (x > 0x1FFFFF)
+    at = np.arange(4)
+    rows[at < (size - 1)[:, None]] |= 128
+    return rows[at < size[:, None]].tobytes()
+
+
+def unpack(packed: bytes) -> list[int]:
+    b = np.frombuffer(packed, np.uint8)
+    if not len(b):
+        return []
+    last = b < 128
+    start = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    return np.add.reduceat((b & 127).astype(np.uint32) << (7 * place).astype(np.uint32), start).tolist()
+
+
+def ranks_of(words: list[str]) -> dict[str, int]:
+    """Word to rank, from 1."""
+    return {w: i for i, w in enumerate(words, 1)}
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of ``docs``; ``full`` adds ids and decoded, both text."""
     path = vocabulary or default_vocabulary()
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     id_type = docs.schema[id_col].dataType.simpleString()
     words = stored(word_table(word_counts(docs, path, text_col), path), "words")
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).select("word", "n_ids", "ids", "pieces").toArrow()
-    known = spark.sparkContext.broadcast({w: (n, i, p) for w, n, i, p in zip(*(top.column(c).to_pylist() for c in top.column_names), strict=True)})
+    top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    known, known_ids = context.broadcast(top.column("word").to_pylist()), context.broadcast(top.column("ids").to_pylist())
+    others = words
+    if len(top):  # words after the last frequent one, in the same order
+        last = {c: top.column(c)[-1].as_py() for c in ("n", "word")}
+        others = words.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"])))
     texts = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).withColumn("key", F.unhex(F.md5("text")))
 
-    def rare(batches):
-        table = known.value
+    def gaps(batches):
+        rank = ranks_of(known.value)
         for batch in batches:
             keys, places, found = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                here = [(at, w) for at, w in enumerate(split_words(text.as_py(), path)) if w not in table]
+                here = [(at, w) for at, w in enumerate(split_words(text.as_py(), path)) if w not in rank]
                 keys += [key] * len(here)
                 places += [at for at, _ in here]
                 found += [w for _, w in here]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(found, pa.string())], names=["key", "at", "word"])
 
-    rest = (
-        texts.select("key", "text").mapInArrow(rare, "key binary, at int, word string")
-        .join(words.select("word", "n_ids", "ids", "pieces"), "word")
+    def ranked(batches):
+        rank = ranks_of(known.value).get
+        for batch in batches:
+            codes = [pack([rank(w, 0) for w in split_words(text.as_py(), path)]) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(codes, pa.binary())], names=["doc_id", "key", "codes"])
+
+    filled = (
+        texts.select("key", "text").mapInArrow(gaps, "key binary, at int, word string")
+        .join(others.select("word", "ids"), "word")
         .groupBy("key")
-        .agg(F.array_agg(F.struct("at", "n_ids", "ids", "pieces")).alias("rest"))
+        .agg(F.array_agg(F.struct("at", "ids")).alias("filled"))
     )
 
     def assemble(batches):
-        table = known.value
+        ids_of, piece = ["", *known_ids.value], piece_table(path)
+        decoded_of: list = [None] * len(ids_of)
+        decode = lambda ids: " ".join([piece[int(i)] for i in ids.split(" ")])
         for batch in batches:
             out = []
-            for text, rest in zip(batch.column("text"), batch.column("rest"), strict=True):
-                own = split_words(text.as_py(), path)
-                parts = [table.get(w) for w in own]
-                for x in rest.as_py() or ():
-                    parts[x["at"]] = (x["n_ids"], x["ids"], x["pieces"])
-                ids, decoded = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-                out.append((sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids if full else None, decoded if full else None))
-            n, a, b, ids, decoded = zip(*out, strict=True) if out else ((),) * 5
+            for codes, filled in zip(batch.column("codes"), batch.column("filled"), strict=True):
+                ranks = unpack(codes.as_py())
+                for r in set(ranks):
+                    if r and decoded_of[r] is None:
+                        decoded_of[r] = decode(ids_of[r])
+                ids, pieces = [ids_of[r] for r in ranks], [decoded_of[r] for r in ranks]
+                for x in filled.as_py() or ():
+                    ids[x["at"]], pieces[x["at"]] = x["ids"], decode(x["ids"])
+                ids, pieces = " ".join(ids), " ".join(pieces)
+                out.append((ids.count(" ") + (ids != ""), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(pieces.encode()).hexdigest(), ids if full else None, pieces if full else None))
+            n, a, b, ids, pieces = zip(*out, strict=True) if out else ((),) * 5
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if full:
-                arrays, names = [*arrays, pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [*names, "ids", "decoded"]
+                arrays, names = [*arrays, pa.array(ids, pa.string()), pa.array(pieces, pa.string())], [*names, "ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return texts.join(rest, "key", "left").select("doc_id", "text", "rest").mapInArrow(
+    coded = texts.mapInArrow(ranked, f"doc_id {id_type}, key binary, codes binary")
+    return coded.join(filled, "key", "left").select("doc_id", "codes", "filled").mapInArrow(
         assemble, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * full
     )
 

@@ -36,3 +36,8 @@ def test_empty_table(spark):
 def test_split_words_then_encode_equals_the_library(text):
     got = [i for ids in bpe.encode_words(bpe.split_words(text, PATH), PATH) for i in ids]
     assert got == bpe.tokenizer(PATH).encode(text, add_special_tokens=False).ids
+
+
+@given(st.lists(st.integers(0, (1 << 28) - 1)))
+def test_pack_round_trip(ranks):
+    assert bpe.unpack(bpe.pack(ranks)) == ranks
