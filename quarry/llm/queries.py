@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, exact_dedup, mixing, quality_rules
+from quarry.llm import bpe, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
