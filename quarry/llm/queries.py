@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules
+from quarry.llm import bpe, chat_format, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
+    "op4_chat_format": chat_format.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
 }
