@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat_format, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, url_filter
+from quarry.llm import bpe, chat_format, exact_dedup, html_extract, mixing, near_dedup, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
