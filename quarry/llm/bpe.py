@@ -25,16 +25,19 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
 
-FREQUENT = 400_000
+FREQUENT = 600_000
 
 # Fixed values of the tokenizer file's kind: special tokens and, below, the split pattern.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -42,9 +45,14 @@ _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
 
 # Up to U+024F nothing composes or decomposes; but for U+0130, str.lower() and plain classes do what the library does. Other texts take its own rules.
 _LATIN_ONLY = re.compile(r"[\x00-įı-ɏ]*")
-_LETTERS = "".join(chr(i) for i in range(0x250) if unicodedata.category(chr(i))[0] == "L")
-_NUMBERS = "".join(chr(i) for i in range(0x250) if unicodedata.category(chr(i))[0] == "N")
-_LATIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t\n\x0b\x0c\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+
+
+def _pattern(below: int) -> re.Pattern:
+    kinds = {k: "".join(chr(i) for i in range(below) if unicodedata.category(chr(i))[0] == k) for k in "LN"}
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^\t\n\x0b\x0c\r \x85\xa0{kinds['L']}{kinds['N']}]+")
+
+
+_LATIN_1_SPLIT, _LATIN_SPLIT = _pattern(0x100), _pattern(0x250)
 
 
 def default_vocabulary() -> str:
@@ -66,6 +74,11 @@ def split_words(text: str | None, path: str) -> list[str]:
         return []
     if "<|" in text and _SPECIAL.search(text):
         return [w for part in _SPECIAL.split(text) for w in ([part] if part in SPECIALS else split_words(part, path))]
+    try:
+        text.encode("latin-1")  # a plain copy, far cheaper than a look at each character
+        return _LATIN_1_SPLIT.findall(text.lower())
+    except UnicodeEncodeError:
+        pass
     if _LATIN_ONLY.fullmatch(text):
         return _LATIN_SPLIT.findall(text.lower())
     text = tokenizer(path).normalizer.normalize_str(text)
@@ -80,15 +93,15 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     """(word, n): distinct words; each task pre-aggregates what it reads, up to a bounded number of words at a time."""
 
     def scan(batches):
-        tally: dict[str, int] = {}
+        tally: Counter[str] = Counter()
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], names=["word", "n"])
         for batch in batches:
             for text in batch.column(0):
-                for word in split_words(text.as_py(), path):
-                    tally[word] = tally.get(word, 0) + 1
+                tally.update(split_words(text.as_py(), path))
                 if len(tally) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], names=["word", "n"])
-                    tally = {}
-        yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], names=["word", "n"])
+                    yield table()
+                    tally.clear()
+        yield table()
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -115,24 +128,43 @@ def word_table(counts: DataFrame, path: str) -> DataFrame:
     return counts.mapInArrow(encode, "word string, n long, ids string")
 
 
-def pack(ranks: list[int]) -> bytes:
-    """Ranks as bytes of 7 bits, the lowest first, the last without its high bit."""
+def pack(ranks: list[int], sizes: list[int]) -> list[bytes]:
+    """Ranks of texts, one after another, as bytes of 7 bits, the lowest first, the last without its high bit; one value for each text."""
     x = np.array(ranks, np.uint32)
     rows = np.column_stack([x & 127, x >> 7 & 127, x >> 14 & 127, x >> 21]).astype(np.uint8)
     size = 1 + (x > 0x7F) + (x > 0x3FFF) + (x > 0x1FFFFF)
     at = np.arange(4)
     rows[at < (size - 1)[:, None]] |= 128
-    return rows[at < size[:, None]].tobytes()
+    packed = rows[at < size[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].tolist()
+    return [packed[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def unpack(packed: bytes) -> list[int]:
-    b = np.frombuffer(packed, np.uint8)
-    if not len(b):
-        return []
+def unpack(packed: list[bytes]) -> tuple[list[int], list[int]]:
+    """(all ranks, where each text's begin, and the end)."""
+    b = np.frombuffer(b"".join(packed), np.uint8)
     last = b < 128
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in packed], dtype=np.int64)])
+    begins = np.concatenate([[0], np.cumsum(last, dtype=np.int64)])[ends].tolist()
+    if not len(b):
+        return [], begins
     start = np.flatnonzero(np.concatenate([[True], last[:-1]]))
     place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
-    return np.add.reduceat((b & 127).astype(np.uint32) << (7 * place).astype(np.uint32), start).tolist()
+    return np.add.reduceat((b & 127).astype(np.uint32) << (7 * place).astype(np.uint32), start).tolist(), begins
+
+
+class Decoded(dict):
+    """Rank to the word's pieces, looked up when first asked for."""
+
+    def __init__(self, ids_of: list[str], piece: list[str]):
+        self.ids_of, self.piece = ids_of, piece
+
+    def of(self, ids: str) -> str:
+        return " ".join([self.piece[int(i)] for i in ids.split(" ")])
+
+    def __missing__(self, rank: int) -> str:
+        self[rank] = pieces = self.of(self.ids_of[rank]) if rank else ""
+        return pieces
 
 
 def ranks_of(words: list[str]) -> dict[str, int]:
@@ -161,7 +193,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQU
         for batch in batches:
             keys, places, found = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                here = [(at, w) for at, w in enumerate(split_words(text.as_py(), path)) if w not in rank]
+                own = split_words(text.as_py(), path)
+                missing = set(own).difference(rank)
+                here = [(at, w) for at, w in enumerate(own) if w in missing] if missing else []
                 keys += [key] * len(here)
                 places += [at for at, _ in here]
                 found += [w for _, w in here]
@@ -170,7 +204,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQU
     def ranked(batches):
         rank = ranks_of(known.value).get
         for batch in batches:
-            codes = [pack([rank(w, 0) for w in split_words(text.as_py(), path)]) for text in batch.column("text")]
+            codes = []
+            for at in range(0, batch.num_rows, 200):
+                own = [split_words(text.as_py(), path) for text in batch.column("text").slice(at, 200)]
+                codes += pack(list(map(rank, chain.from_iterable(own), repeat(0))), [len(w) for w in own])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(codes, pa.binary())], names=["doc_id", "key", "codes"])
 
     filled = (
@@ -181,21 +218,24 @@ def encode(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQU
     )
 
     def assemble(batches):
-        ids_of, piece = ["", *known_ids.value], piece_table(path)
-        decoded_of: list = [None] * len(ids_of)
-        decode = lambda ids: " ".join([piece[int(i)] for i in ids.split(" ")])
+        ids_of = ["", *known_ids.value]
+        decoded = Decoded(ids_of, piece_table(path))
         for batch in batches:
             out = []
-            for codes, filled in zip(batch.column("codes"), batch.column("filled"), strict=True):
-                ranks = unpack(codes.as_py())
-                for r in set(ranks):
-                    if r and decoded_of[r] is None:
-                        decoded_of[r] = decode(ids_of[r])
-                ids, pieces = [ids_of[r] for r in ranks], [decoded_of[r] for r in ranks]
-                for x in filled.as_py() or ():
-                    ids[x["at"]], pieces[x["at"]] = x["ids"], decode(x["ids"])
-                ids, pieces = " ".join(ids), " ".join(pieces)
-                out.append((ids.count(" ") + (ids != ""), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(pieces.encode()).hexdigest(), ids if full else None, pieces if full else None))
+            filled = batch.column("filled")
+            fill_at, fill_ids = filled.flatten().field("at").to_pylist(), filled.flatten().field("ids").to_pylist()
+            many = pa.compute.fill_null(pa.compute.list_value_length(filled), 0).to_pylist()
+            codes, taken = batch.column("codes").to_pylist(), 0
+            for at in range(0, len(codes), 200):
+                ranks, begins = unpack(codes[at : at + 200])
+                for i, (begin, end) in enumerate(zip(begins[:-1], begins[1:], strict=True), at):
+                    own = ranks[begin:end]
+                    ids, pieces = list(map(ids_of.__getitem__, own)), list(map(decoded.__getitem__, own))
+                    for f in range(taken, taken + many[i]):
+                        ids[fill_at[f]], pieces[fill_at[f]] = fill_ids[f], decoded.of(fill_ids[f])
+                    taken += many[i]
+                    ids, pieces = " ".join(ids), " ".join(pieces)
+                    out.append((ids.count(" ") + (ids != ""), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(pieces.encode()).hexdigest(), ids if full else None, pieces if full else None))
             n, a, b, ids, pieces = zip(*out, strict=True) if out else ((),) * 5
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
