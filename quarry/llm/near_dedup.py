@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quarry.llm import textscan as ts
 from quarry.llm.common import broadcast_if_small, stored
@@ -65,14 +66,26 @@ def shingles(words: ts.Tokens) -> tuple[np.ndarray, np.ndarray]:
     return docs, labelled(docs, values)
 
 
+def digests_of(texts: pa.Array) -> list[bytes]:
+    """The digest of each text's words."""
+    out: list[bytes] = []
+    for _, _, data, offsets in ts.pieces(texts):
+        out += _digests(ts.words(_FOLD[data], offsets))
+    return out
+
+
+def _digests(words: ts.Tokens) -> list[bytes]:
+    raw = words.hash.tobytes()
+    return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+
+
 def sketch(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(digest of the words, number of shingles, BANDS keys) of each text; texts of under PICK shingles have keys 0."""
     digests, counts, keys = [], [], []
     for _, _, data, offsets in ts.pieces(texts):
         n = len(offsets) - 1
         words = ts.words(_FOLD[data], offsets)
-        raw = words.hash.tobytes()
-        digests += [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        digests += _digests(words)
         doc, value = shingles(words)
         size = np.bincount(doc, minlength=n)
         out = np.zeros((n, BANDS), np.uint64)
@@ -204,12 +217,7 @@ def node_texts(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            digests = []
-            for _, _, data, offsets in ts.pieces(batch.column("text")):
-                words = ts.words(_FOLD[data], offsets)
-                raw = words.hash.tobytes()
-                digests += [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column("text")], names=["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests_of(batch.column("text")), pa.binary()), batch.column("text")], names=["node", "text"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "node binary, text string")
     return stored(texts.join(broadcast_if_small(nodes), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
@@ -244,11 +252,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary"), "verified")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size, n_texts, kept), a row for each row of ``docs``.
-
-    ``class_id`` is the least id of the class, ``n_texts`` how many different texts it has, ``kept`` whether the row has that id.
-    """
+def placed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, node, component) stored, a row for each row of ``docs``: node is its words' digest, component the least node of its class."""
     rows = sketched(docs, id_col, text_col)
     members = stored(
         rows.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key")), "members"
@@ -278,7 +283,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = links.union(verified(pairs, texts))
     classes = components(links)
     placed = rows.select("doc_id", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = stored(placed.select("doc_id", "node", "component"), "classed")
+    return stored(placed.select("doc_id", "node", "component"), "classed")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size, n_texts, kept), a row for each row of ``docs``.
+
+    ``class_id`` is the least id of the class, ``n_texts`` how many different texts it has, ``kept`` whether the row has that id.
+    """
+    placed = placed_rows(docs, id_col, text_col)
     per_node = placed.groupBy("component", "node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     per_class = per_node.groupBy("component").agg(
         F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts")
@@ -288,5 +301,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, with all its columns: the one with the least id; of repeated rows one."""
+    placed = placed_rows(docs, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    winners = stored(placed.groupBy("component", "node").agg(F.min(order).alias("w")).groupBy("component").agg(F.min("w").alias("w")).select("w.node", F.col("w.doc_id").alias("winner")), "winners")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = StructType([*rows.schema.fields, StructField("node", BinaryType())])
+
+    def scan(batches):
+        for batch in batches:
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([row, pa.array(digests_of(row.field(row.type.get_field_index(text_col)).cast(pa.large_string())), pa.binary())], names=["row", "node"])
+
+    return (
+        rows.mapInArrow(scan, schema).join(winners, "node").where(F.col("row")[id_col].eqNullSafe(F.col("winner")))
+        .groupBy("node").agg(F.first("row").alias("row")).select("row.*")
+    )
+
+
 def op3_near_dedup(spark, sf_dir):
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

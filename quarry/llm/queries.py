@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat_format, exact_dedup, html_extract, mixing, near_dedup, quality_classifier, quality_rules, url_filter
+from quarry.llm import bpe, chat_format, exact_dedup, html_extract, mixing, near_dedup, quality_classifier, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_mixing": mixing.op7_mixing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_bpe": bpe.op10_bpe,
 }
