@@ -1,28 +1,47 @@
-"""The corpus pipeline: stages over ``documents``, each working on what its predecessor kept."""
+"""The corpus pipeline: stages over ``documents``, each working on all its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from quarry.llm import bpe, exact_dedup, mixing, near_dedup, quality_classifier
+
 
-from quarry.llm import exact_dedup, mixing
+def classify_quality(spark, docs, sf_dir):
+    """Documents that the classifier, fitted on the labels of these documents, doesn't reject."""
+    return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark, docs, sf_dir):
-    """Of equal texts (A-Z lower-cased) the row with the largest id stays."""
+    """Of equal texts (A-Z lower-cased) the row with the largest id."""
     return exact_dedup.drop_duplicates(docs, keep="largest")
 
 
+def drop_near_copies(spark, docs, sf_dir):
+    """One document of each near-duplicate class, the one with the least id."""
+    return near_dedup.keep_one(docs)
+
+
 def mix_sources(spark, docs, sf_dir):
     """Documents as often as the mix takes them."""
     return mixing.repeat_documents(docs)
 
 
+def encode_texts(spark, docs, sf_dir):
+    """Token counts and digests of ids and decoded text for each document, repeats included."""
+    return bpe.encode(docs)
+
+
 STAGES = [
+    ("quality classifier", classify_quality),
     ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode_texts),
 ]
 
-#: The quality classifier and the near-duplicate stage cannot be said in SQL.
+#: A trained classifier, sketches and merges cannot be said in SQL; tests/llm/test_pipeline.py holds brute-force versions.
 ORACLE_SQL = None
 
 
