@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
 
-FREQUENT = 600_000
+FREQUENT = 500_000
 
 # Fixed values of the tokenizer file's kind: special tokens and, below, the split pattern.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -52,6 +52,7 @@ def _pattern(below: int) -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^\t\n\x0b\x0c\r \x85\xa0{kinds['L']}{kinds['N']}]+")
 
 
+_LATIN_1_LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
 _LATIN_1_SPLIT, _LATIN_SPLIT = _pattern(0x100), _pattern(0x250)
 
 
@@ -75,9 +76,8 @@ def split_words(text: str | None, path: str) -> list[str]:
     if "<|" in text and _SPECIAL.search(text):
         return [w for part in _SPECIAL.split(text) for w in ([part] if part in SPECIALS else split_words(part, path))]
     try:
-        text.encode("latin-1")  # a plain copy, far cheaper than a look at each character
-        return _LATIN_1_SPLIT.findall(text.lower())
-    except UnicodeEncodeError:
+        return _LATIN_1_SPLIT.findall(text.encode("latin-1").translate(_LATIN_1_LOWER).decode("latin-1"))
+    except UnicodeEncodeError:  # other characters than U+0000 to U+00FF
         pass
     if _LATIN_ONLY.fullmatch(text):
         return _LATIN_SPLIT.findall(text.lower())
