@@ -6,9 +6,11 @@ Each of ``BANDS`` x ``ROWS`` sketches takes the ``PICK`` shingles with the small
 sketches is one key, and nodes with a common key are candidates. A pair of multiset similarity 0.8 is missed in 0.2 % of
 cases, one of 0.85 in 0.01 %.
 
-Candidates are never expanded into all pairs of a bucket. Each node is first checked against the least node of its buckets;
-then, of buckets whose nodes are in several classes yet, every node against the least one; what is still in several
-classes is checked pair by pair across classes, so no link between candidates is lost. A pair is linked if the share of common
+Candidates are never expanded into rows of all pairs of a bucket. Each bucket has a centre, the node with the most bucket mates
+overall, and each node is first checked against the best centre of its buckets, which joins most of a group of any size. In buckets
+whose nodes are in several classes then, those outside the bucket's largest class are compared with the whole bucket in
+blocks of ``BLOCK`` by ``BLOCK`` nodes: a task holds two blocks, counts common shingles through an index of them, and returns links
+only. So no link between candidates is lost, and rows exchanged are in proportion to the bucket. A pair is linked if the share of common
 occurrence-labelled shingles is 0.8 or more, which bounds the edits from above, and if the alignment in the band that
 this bound allows keeps matching 5-word windows in order for 0.8 or more of their union. Classes are the components of the links.
 
@@ -33,6 +35,7 @@ from quarry.llm.components import components
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS, PICK = 20, 2, 3
+BLOCK = 500
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -252,35 +255,75 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(joined.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary"), "verified")
 
 
+def block_links(nodes: list[bytes], classes: list[bytes], left: np.ndarray, right: np.ndarray, texts: list[str]) -> list[tuple[bytes, bytes]]:
+    """Links between nodes of ``left`` and of ``right`` (places in the lists) in different classes: one for each left node and class it reaches."""
+    words = [text_words(t) for t in texts]
+    sets = [shingle_set(w) for w in words]
+    size = np.array([len(x) for x in sets])
+    _, shingle = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+    owner = np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(shingle, kind="stable")
+    owner = owner[order]
+    values = np.sort(np.concatenate([sets[i] for i in right]))
+    found = []
+    for i in left:
+        begin, end = np.searchsorted(values, sets[i]), np.searchsorted(values, sets[i], side="right")
+        many = end - begin
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+        common = np.bincount(owner[at], minlength=len(right))
+        union = size[i] + size[right] - common
+        near = np.flatnonzero(common >= SIMILARITY * union)
+        reached = {classes[i]}
+        for j in near[np.argsort(-common[near] / union[near], kind="stable")]:
+            other = int(right[j])
+            if classes[other] not in reached and similar(words[i], words[other], sets[i], sets[other]):
+                reached.add(classes[other])
+                found.append((nodes[i], nodes[other]))
+    return found
+
+
+def linked_in_blocks(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b), stored, that buckets (key, node) hold beyond what ``classes`` (node, component) knows."""
+    placed = stored(members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = stored(
+        shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        .select("key", F.col("m.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("lefts")),
+        "open",
+    )
+    rows = placed.join(main, "key").withColumn("is_left", F.col("component") != F.col("main"))
+    spread_over = lambda n: F.sequence(F.lit(0), n - 1)
+    block = lambda n: F.pmod(F.xxhash64("node", "key"), n).cast("int")
+    right = rows.select("key", "node", "component", F.explode(spread_over(F.col("lefts"))).alias("l"), block(F.col("rights")).alias("r"), F.lit(False).alias("is_left"))
+    left = rows.where("is_left").select("key", "node", "component", block(F.col("lefts")).alias("l"), F.explode(spread_over(F.col("rights"))).alias("r"), "is_left")
+    blocks = left.unionByName(right).join(texts, "node")
+
+    def compare(_key, table):
+        is_left = np.array(table.column("is_left").to_pylist(), bool)
+        found = []
+        if is_left.any() and not is_left.all():
+            found = block_links(table.column("node").to_pylist(), table.column("component").to_pylist(), np.flatnonzero(is_left), np.flatnonzero(~is_left), table.column("text").to_pylist())
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return stored(blocks.groupBy("key", "l", "r").applyInArrow(compare, "a binary, b binary").distinct(), "block-links")
+
+
 def placed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, component) stored, a row for each row of ``docs``: node is its words' digest, component the least node of its class."""
     rows = sketched(docs, id_col, text_col)
     members = stored(
         rows.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key")), "members"
     )
-    buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(members.join(buckets.select("key", "least"), "key"), "buckets")
+    shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = stored(members.join(shared, "key"), "mates")
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = stored(members.join(weight, "node"), "weighted")
+    centres = members.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("centre"))
     texts = node_texts(docs, text_col, stored(members.select("node").distinct(), "candidates"))
 
-    first = members.where("node <> least").groupBy("node").agg(F.min("least").alias("b")).select(F.col("node").alias("a"), "b")
-    links = verified(first, texts)
-    tested = stored(first, "tested")
-    for expand in (False, True):
-        classes = components(links)
-        placed = stored(
-            members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed"
-        )
-        mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        open_ = placed.join(stored(mixed, "mixed"), "key", "left_semi")
-        if expand:
-            left, right = (open_.select("key", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in ("a", "b"))
-            pairs = left.join(right, "key").where("a > b AND ca <> cb").select("a", "b")
-        else:
-            centre = open_.where("node = least").select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = open_.join(centre, "key").where("component <> cb").select(F.col("node").alias("a"), "b")
-        pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        links = links.union(verified(pairs, texts))
+    best = members.join(centres, "key").groupBy("node").agg(F.max("centre").alias("centre"))
+    links = verified(best.where("node <> centre.node").select(F.col("node").alias("a"), F.col("centre.node").alias("b")), texts)
+    links = links.union(linked_in_blocks(members.select("key", "node"), components(links), texts))
     classes = components(links)
     placed = rows.select("doc_id", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return stored(placed.select("doc_id", "node", "component"), "classed")
