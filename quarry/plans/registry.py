@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import retrieval
+from quarry.plans import analytics, entities, retrieval
 
-FAMILIES = (retrieval,)
+FAMILIES = (retrieval, analytics, entities)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
