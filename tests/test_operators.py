@@ -98,7 +98,7 @@ def test_packing_opens_chunks(spark):
     lines = ["INTRODUCTION PART", "a" * 700, "b" * 700, "c" * 300, "NEXT PART", "d" * 50, "12"]
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "doc_id long, text string")
     got = sorted(ingest.pack(ingest.paragraphs(docs)).select("doc_id", "chunk", "section_title", F.length("content").alias("n")).collect())
-    assert [tuple(r) for r in got] == [(1, 1, "INTRODUCTION PART", 719), (1, 2, None, 1002), (1, 3, "NEXT PART", 61)]
+    assert [tuple(r) for r in got] == [(1, 1, "INTRODUCTION PART", 17 + 2 + 700 + 2 + 700), (1, 2, None, 300), (1, 3, "NEXT PART", 9 + 2 + 50)]
 
 
 def test_overlap_repeats_the_last_piece():
