@@ -11,7 +11,7 @@ the corpus:
 
 A document is kept if that is 0 or more. For ``documents``, the host is ``source`` and the path below it ``lang``.
 
-Defined results: a null text counts as empty; null host or path is a site of its own; null or repeated ids are judged
+Defined results: a null text counts as empty; null host or path counts as the site ""; null or repeated ids are judged
 row by row; unlabelled tables (no usable row of both classes) give evidence 0, so everything is kept; an empty table gives
 an empty result; other columns, whatever their names, pass through ``keep_good`` and are not read otherwise.
 """

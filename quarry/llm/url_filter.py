@@ -117,11 +117,9 @@ def host_verdicts(pages: DataFrame, judged: DataFrame, share: float = SEED_SHARE
 
 
 def filter_urls(pages: DataFrame, rules=RULES, share: float = SEED_SHARE, margin: float = MARGIN) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust), a row for each row of ``pages`` (page_id, url, html); ``rules``: (verdict, host, path)."""
-    spark = pages.sparkSession
-    rule_table = stored(
-        spark.createDataFrame([(h, p, h + p, v) for v, h, p in rules], "rule_host string, path string, rule string, verdict string"), "rules"
-    )
+    """(page_id, host, path, rule, verdict, trust, distrust), a row for each row of ``pages`` (page_id, url, html); ``rules``: (verdict, host, path), one or more."""
+    literal = lambda v, h, p: F.struct(F.lit(h).alias("rule_host"), F.lit(p).alias("path"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))
+    rule_table = stored(pages.sparkSession.range(1).select(F.inline(F.array(*[literal(*r) for r in rules]))), "rules")
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     by_host = stored(rules_of_hosts(named.select("host").distinct(), rule_table), "host-rules").withColumnRenamed("host", "of")
     first = F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"]))
