@@ -1,7 +1,7 @@
 r"""URL filters: rules first, then trust and distrust propagated over the hosts' link graph.
 
 A rule is host and path; it fits its host and all subdomains if the URL's path starts with the rule's, and the longest rule
-that fits decides. Hosts whose pages the rules judge alike (``SEED_SHARE`` of them or more) are seeds: allowed ones trusted, blocked
+that fits decides. Hosts of whose pages the rules judge half or more alike (``SEED_SHARE``) are seeds: allowed ones trusted, blocked
 ones distrusted. Links of the pages become weighted host edges in one grouped count. Personalised PageRank walks the edges from the
 trusted seeds, and the reversed edges from the blocked ones (a host that links to bad hosts is suspect). A host with more distrust
 than trust and at least ``MARGIN`` of an average host's share is blocked where no rule says otherwise.
@@ -24,7 +24,7 @@ from quarry.llm.common import broadcast_if_small, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-SEED_SHARE = 0.9
+SEED_SHARE = 0.5
 MARGIN = 1.0
 DAMPING = 0.85
 ROUNDS = 30
