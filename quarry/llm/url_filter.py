@@ -1,10 +1,12 @@
 r"""URL filters: rules first, then trust and distrust propagated over the hosts' link graph.
 
 A rule is host and path; it fits its host and all subdomains if the URL's path starts with the rule's, and the longest rule
-that fits decides. Hosts of whose pages the rules judge half or more alike (``SEED_SHARE``) are seeds: allowed ones trusted, blocked
-ones distrusted. Links of the pages become weighted host edges in one grouped count. Personalised PageRank walks the edges from the
-trusted seeds, and the reversed edges from the blocked ones (a host that links to bad hosts is suspect). A host with more distrust
-than trust and at least ``MARGIN`` of an average host's share is blocked where no rule says otherwise.
+that fits decides. Every host with a page that a rule judges is a seed: of trust with the share of its own pages that are allowed, of
+distrust with the share that are blocked, so a host's size doesn't count. Links of the pages become weighted host edges in one
+grouped count. Personalised PageRank walks the edges from the trusted seeds, and the reversed edges from the blocked ones (a host
+that links to bad hosts is suspect); ``trust`` and ``distrust`` of all hosts sum up to the seeds' shares. Where no rule says otherwise, a
+host is blocked if it has more distrust than trust and at least ``MARGIN`` of an average host's distrust, or if its own pages say so:
+more of them blocked than allowed, and ``SEED_SHARE`` of them or more, whatever other hosts are like.
 
 All tables are by host: pages are read once for links and once for verdicts, and the host table is broadcast only if it is counted to be
 small; otherwise the join shuffles and adaptive execution splits a host with a third of all pages. Both walks run in the same
@@ -87,11 +89,11 @@ def host_verdicts(pages: DataFrame, judged: DataFrame, share: float = SEED_SHARE
     )
     marked = hosts.select(
         "host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("n")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("n")))).alias("s"), "pages"
-    ).select("host", "s.kind", "s.n", "pages").where((F.col("n") > 0) & (F.col("n") >= share * F.col("pages")))
-    totals = {r["kind"]: r["n"] for r in marked.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    ).where("s.n > 0").select("host", "s.kind", (F.col("s.n") / F.col("pages")).alias("part"))
+    totals = {r["kind"]: r["part"] for r in marked.groupBy("kind").agg(F.sum("part").alias("part")).collect()}
     weight = F.lit(0.0)
-    for kind, n in totals.items():
-        weight = F.when(F.col("kind") == kind, F.col("n") / float(n)).otherwise(weight)
+    for kind, part in totals.items():
+        weight = F.when(F.col("kind") == kind, F.col("part") / part).otherwise(weight)
     seeds = stored(marked.select("kind", "host", weight.alias("weight")), "seeds")
     links = stored(
         pages.select(host_of(F.col("url")).alias("source"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("target"))
@@ -107,13 +109,12 @@ def host_verdicts(pages: DataFrame, judged: DataFrame, share: float = SEED_SHARE
         "edges",
     )
     rank = walk(edges, seeds).groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"),
-        F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"),
+        *[(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)) * totals.get(kind, 0.0)).alias(kind) for kind in ("trust", "distrust")]
     )
-    n_hosts = hosts.count()
-    joined = hosts.select("host").join(rank, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * n_hosts >= margin)
-    return joined.withColumn("host_verdict", F.when(bad, "block").otherwise("allow"))
+    joined = hosts.join(rank, "host", "left").withColumns({kind: F.coalesce(kind, F.lit(0.0)) for kind in ("trust", "distrust")})
+    own = (F.col("blocked") > F.col("allowed")) & (F.col("blocked") >= share * F.col("pages"))
+    led = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * hosts.count() >= margin * totals.get("distrust", 0.0))
+    return joined.select("host", "trust", "distrust", F.when(own | led, "block").otherwise("allow").alias("host_verdict"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, share: float = SEED_SHARE, margin: float = MARGIN) -> DataFrame:

@@ -231,6 +231,21 @@ def test_trust_walks_the_links(spark):
     assert got["spam.test"].verdict == got["farm.test"].verdict == "block" and got["fine.test"].verdict == "allow"
 
 
+def test_hot_host_leaves_other_verdicts(spark):
+    def pages(hosts):  # host: pages blocked by rule, allowed by rule, without a rule
+        paths = [(h, p) for h, ns in hosts.items() for p, n in zip(("bad", "good", "new"), ns, strict=True) for _ in range(n)]
+        return spark.createDataFrame([(i, f"http://{h}/{p}", "") for i, (h, p) in enumerate(paths)], "page_id long, url string, html string")
+
+    def verdicts(hosts):
+        rows = url_filter.filter_urls(pages(hosts), (("block", "test", "/bad"), ("allow", "test", "/good"))).collect()
+        return {r.host: r.verdict for r in rows if r.rule is None}
+
+    hosts = {f"b{i}.test": (5 + i, 0, 4) for i in range(5)} | {"some.test": (4, 0, 6), "mixed.test": (2, 6, 2)} | {f"n{i}.test": (0, 0, 8) for i in range(20)}
+    want = {h: "block" if h[0] in "bs" else "allow" for h in hosts}
+    assert verdicts(hosts) == want
+    assert verdicts(hosts | {"hot.test": (140, 0, 3)}) == want | {"hot.test": "block"}
+
+
 # components --------------------------------------------------------------------------------------------------------
 
 
