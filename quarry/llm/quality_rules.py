@@ -2,13 +2,14 @@ r"""Quality rules: per-document counts and cross-document line frequency.
 
 A line is normalised (lower case, digits to 0, white space to one space, trimmed) and hashed. For each host the
 distinct documents that hold a line are counted, copies of a text once. A line that more than ``share`` of a host's
-documents, and more than ``least`` of them, hold is boilerplate of that host and is removed. A document that then keeps
-fewer than ``min_left`` of its words is depleted and rejected.
+documents, and more than ``least`` of them, hold is boilerplate of that host and is removed (``cleaned`` gives the texts without). A
+document that then keeps fewer than ``min_left`` of its words is depleted and rejected.
 
-Counting is a grouped sum with map-side combine, so one host or line with a third of all rows stays cheap. Verdicts come from a
-join of (document, line) with the boilerplate lines, which are broadcast only if they are counted to be few.
+Counting is a grouped sum with map-side combine, so one host or line with a third of all rows stays cheap. Texts are read once for
+their lines and once more to drop those that a join of (text, line) with the boilerplate lines names; sides are broadcast only if they are
+counted to be few.
 
-Defined results: null text: no words, hence ``base_failed``; a null host is one host; rows that repeat an id are judged
+Defined results: null text: no words, hence ``base_failed``, and a null clean text; a null host is one host; rows that repeat an id are judged
 each by its own text; an empty table gives an empty result; other columns are not read.
 """
 
@@ -58,7 +59,7 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def line_words(texts: pa.Array) -> tuple[list, list, np.ndarray]:
-    """For each text the hashes of its distinct normalised lines, how many words each holds in all, and the text's own hash.
+    """For each text the hashes of its normalised lines that hold words, in order, how many words each holds, and the text's own hash.
 
     A normalised line is the sequence of its folded words, so its hash is made of theirs.
     """
@@ -78,72 +79,95 @@ def line_words(texts: pa.Array) -> tuple[list, list, np.ndarray]:
         # the text itself: the sequence of its lines
         for i in range(len(offsets) - 1):
             mine = slice(*np.searchsorted(doc, [i, i + 1]))
-            own, inverse = np.unique(line[mine], return_inverse=True)
-            hashes.append(own.view(np.int64))
-            weights.append(np.bincount(inverse, (b - a)[mine]).astype(np.int64))
+            hashes.append(line[mine].view(np.int64))
+            weights.append((b - a)[mine])
             power = np.full(max(1, mine.stop - mine.start), ts.BASE, np.uint64)
             power[0] = 1
             whole.append(int((line[mine] * np.multiply.accumulate(power)[: mine.stop - mine.start]).sum(dtype=np.uint64).view(np.int64)))
     return hashes, weights, np.array(whole, np.int64)
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, host, the base counts, text_hash, lines: array of (hash, words)), a row for each row of ``docs``."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _lists(rows: list) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(doc_id, host, text, text_key): equal texts have equal keys."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+
+
+def measured(keyed: DataFrame) -> DataFrame:
+    """(host, text_key, text_hash, lines: array of the distinct lines' hashes), a row for each row of ``keyed``."""
 
     def scan(batches):
         for batch in batches:
-            base = base_counts(batch.column("text"))
-            hashes, weights, whole = line_words(batch.column("text"))
-            at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int32))
-            values = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.int64), *hashes])), pa.array(np.concatenate([np.zeros(0, np.int64), *weights]).astype(np.int64))],
-                names=["hash", "words"],
-            )
+            hashes, _, whole = line_words(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("host"), *(pa.array(v) for v in base.values()), pa.array(whole), pa.ListArray.from_arrays(at, values)],
-                names=["doc_id", "host", *base, "text_hash", "lines"],
+                [batch.column("host"), batch.column("text_key"), pa.array(whole), _lists([np.unique(x) for x in hashes])], names=["host", "text_key", "text_hash", "lines"]
             )
 
-    schema = f"doc_id {id_type}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, lines array<struct<hash:bigint,words:bigint>>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, schema)
+    return keyed.select("host", "text_key", "text").mapInArrow(scan, "host string, text_key long, text_hash long, lines array<long>")
 
 
 def boilerplate(measures: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(host, hash): lines that too many distinct documents of a host hold."""
-    host = F.coalesce(F.col("host"), F.lit("")).alias("host")
     # A text's copies are one document. A group is spread by its hash, and one row for each text and task is exchanged.
-    distinct = stored(measures.groupBy(host, "text_hash").agg(F.first("lines").alias("lines")), "distinct-lines")
+    distinct = stored(measures.groupBy("host", "text_hash").agg(F.first("lines").alias("lines")), "distinct-lines")
     limits = distinct.groupBy("host").agg(F.greatest(F.lit(least), F.count(F.lit(1)) * share).alias("most"))
-    held = distinct.select("host", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    held = distinct.select("host", F.explode("lines").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
     return held.join(broadcast_if_small(stored(limits, "line-limits")), "host").where("n > most").select("host", "hash")
 
 
-def quality_rules(
+def without_lines(texts: pa.Array, dropped: list) -> tuple[pa.Array, np.ndarray]:
+    """The texts without those of their lines whose hashes ``dropped`` has for each (None: none), and the words left in them; other texts are as they were."""
+    hashes, weights, _ = line_words(texts)
+    out, left = texts.to_pylist(), np.array([int(w.sum()) for w in weights], np.int64)
+    for i, gone in enumerate(dropped):
+        if gone:
+            keep = iter(~np.isin(hashes[i], np.array(gone, np.int64)))
+            clean = b"\n".join(x for x in out[i].encode().split(b"\n") if not x.strip() or next(keep))
+            out[i], left[i] = clean.decode(), len(clean.split())
+    return pa.array(out, pa.string()), left
+
+
+def cleaned(
     docs: DataFrame, share: float = SHARE, least: int = LEAST, min_left: float = MIN_LEFT,
     id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
 ) -> DataFrame:
-    """(doc_id, n_words, base counts, base_failed, words_left, kept), a row for each row of ``docs``."""
-    measures = stored(measured(docs, id_col, text_col, host_col), "line-measures")
+    """(doc_id, clean_text, n_words, base counts, base_failed, words_left, kept), a row for each row of ``docs``: the texts without boilerplate."""
+    keyed = _keyed(docs, id_col, text_col, host_col)
+    measures = stored(measured(keyed), "line-measures")
     common = stored(boilerplate(measures, share, least), "boilerplate")
-    of = F.coalesce(F.col("host"), F.lit(""))
-    # Boilerplate is joined once for each distinct text of a host; its verdict then goes back to all copies.
-    texts = measures.select(of.alias("host"), "text_hash", F.explode("lines").alias("line"))
-    lost = (
-        texts.select("host", "text_hash", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-        .join(broadcast_if_small(common), ["host", "hash"])
-        .groupBy("host", "text_hash", "hash").agg(F.first("words").alias("words"))
-        .groupBy("host", "text_hash").agg(F.sum("words").alias("words_lost"))
-    )
-    lost = lost.select(F.col("host").alias("of_host"), F.col("text_hash").alias("of_text"), "words_lost")
+    # Boilerplate is joined once for each distinct text of a host; its lines then go back to all copies. Texts are exchanged only if many hold some.
+    held = measures.select("host", "text_key", F.explode("lines").alias("hash")).join(broadcast_if_small(common), ["host", "hash"])
+    held = stored(held.groupBy("host", "text_key").agg(F.collect_set("hash").alias("dropped")), "boilerplate-of-texts")
+
+    def scan(batches):
+        for batch in batches:
+            base = base_counts(batch.column("text"))
+            texts, left = without_lines(batch.column("text"), batch.column("dropped").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, *(pa.array(v) for v in base.values()), pa.array(left)], names=["doc_id", "clean_text", *base, "words_left"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {id_type}, clean_text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, words_left long"
+    done = keyed.join(broadcast_if_small(held), ["host", "text_key"], "left").select("doc_id", "text", "dropped").mapInArrow(scan, schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = F.col("n_words") - F.coalesce("words_lost", F.lit(0))
-    return measures.join(lost, (of == F.col("of_host")) & (F.col("text_hash") == F.col("of_text")), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), left.alias("words_left"), (~failed & (left >= min_left * F.col("n_words"))).alias("kept"),
+    return done.select(
+        "doc_id", "clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), "words_left", (~failed & (F.col("words_left") >= min_left * F.col("n_words"))).alias("kept"),
     )
 
 
+def quality_rules(
+    docs: DataFrame, share: float = SHARE, least: int = LEAST, min_left: float = MIN_LEFT,
+    id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+) -> DataFrame:
+    """(doc_id, n_words, base counts, base_failed, words_left, kept) of the cleaned texts, a row for each row of ``docs``."""
+    return cleaned(docs, share, least, min_left, id_col, text_col, host_col).drop("clean_text")
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -174,6 +174,16 @@ def test_quality_rules_against_sql_with_nulls(spark):
     assert quality_rules.quality_rules(docs_of(spark, [])).count() == 0
 
 
+def test_cleaned_texts_have_no_boilerplate(spark):
+    own = lambda i: "Own " + " ".join(f"{chr(97 + i)}w{k}" for k in range(60))
+    rows = [(i, f"Share THIS page {i % 10}\n\n{own(i)}\nAll rights\t reserved 2024\nall RIGHTS reserved 1999", "h") for i in range(15)]
+    rows += [(20, "é alone\r\n", "h"), (21, None, "h"), (22, "share this page 7", "h"), (23, "share this page 7", None), (24, f"\nshare this page 0\n{own(0)}\n", "h"), (0, rows[0][1], "h")]
+    got = quality_rules.cleaned(docs_of(spark, rows).repartition(3)).collect()
+    want = [(i, f"\n{own(i)}") for i in [*range(15), 0]] + [(20, "é alone\r\n"), (21, None), (22, ""), (23, "share this page 7"), (24, f"\n{own(0)}\n")]
+    assert sorted(((r.doc_id, r.clean_text) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.words_left == len((r.clean_text or "").split()) for r in got) and {r.doc_id for r in got if r.kept} == {*range(15), 24}
+
+
 # URL filters -------------------------------------------------------------------------------------------------------
 
 
