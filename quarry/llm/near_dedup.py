@@ -3,8 +3,9 @@
 Words are maximal runs without white space, A-Z in lower case. Texts with equal words are one node from the start, so copies
 cost nothing later. A text's shingles are its 5-word windows (fewer words: one shingle), labelled with their occurrence number.
 Each of ``BANDS`` x ``ROWS`` sketches takes the ``PICK`` shingles with the smallest hashes and keeps them in text order; a band of
-sketches is one key, and nodes with a common key are candidates. A pair of multiset similarity 0.8 is missed in 0.2 % of
-cases, one of 0.85 in 0.01 %.
+sketches is one key, and nodes with a common key are candidates. A pair of long texts of multiset similarity 0.8 is missed in 0.2 % of
+cases, one of 0.85 in 0.01 %. Sketches of few shingles agree less often, so texts of up to ``SHORT`` shingles also get their rarest
+shingles as keys, as many as two texts of similarity 0.8 can't differ in (a prefix filter): no pair with a text of under 50 is missed.
 
 Candidates are never expanded into rows of all pairs of a bucket. Each bucket has a centre, the node with the most bucket mates
 overall, and each node is first checked against the best centre of its buckets, which joins most of a group of any size. In buckets
@@ -36,6 +37,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS, PICK = 20, 2, 3
 BLOCK = 500
+#: The most shingles a text may have that is linked to one of under 50.
+SHORT = int(49 / SIMILARITY)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -82,15 +85,17 @@ def _digests(words: ts.Tokens) -> list[bytes]:
     return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
 
 
-def sketch(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(digest of the words, number of shingles, BANDS keys) of each text; texts of under PICK shingles have keys 0."""
-    digests, counts, keys = [], [], []
+def sketch(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(digest of the words, number of shingles, BANDS keys, shingles) of each text; under PICK shingles keys are 0, over SHORT shingles are left out."""
+    digests, counts, keys, few = [], [], [], []
     for _, _, data, offsets in ts.pieces(texts):
         n = len(offsets) - 1
         words = ts.words(_FOLD[data], offsets)
         digests += _digests(words)
         doc, value = shingles(words)
         size = np.bincount(doc, minlength=n)
+        ends = np.cumsum(size)
+        few += [value[e - k : e] if k <= SHORT else value[:0] for k, e in zip(size, ends, strict=True)]
         out = np.zeros((n, BANDS), np.uint64)
         able = np.flatnonzero(size >= PICK)
         mine = size[doc] >= PICK
@@ -114,7 +119,7 @@ def sketch(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
                 out[able, j // ROWS] = band
         counts.append(size)
         keys.append(out)
-    return digests, np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros((0, BANDS), np.uint64), *keys])
+    return digests, np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros((0, BANDS), np.uint64), *keys]), few
 
 
 def text_words(text: str | None) -> np.ndarray:
@@ -200,21 +205,32 @@ def similar(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, least:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, keys) stored: node is the digest of the words, keys the bands."""
+    """(doc_id, node, keys, few) stored: node is the digest of the words, keys the bands, few the shingles of a short text."""
 
     def scan(batches):
         for batch in batches:
-            digests, size, keys = sketch(batch.column("text"))
+            digests, size, keys, few = sketch(batch.column("text"))
             rows = [k.view(np.int64) if s >= PICK else np.zeros(0, np.int64) for s, k in zip(size, keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rows, [f.view(np.int64) for f in few])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), *lists], names=["doc_id", "node", "keys", "few"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return stored(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"doc_id {id_type}, node binary, keys array<long>"),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"doc_id {id_type}, node binary, keys array<long>, few array<long>"),
         "sketches",
     )
 
 
+def rarest(nodes: DataFrame) -> DataFrame:
+    """(node, key): of each text's n shingles ``few`` the n - ceil(SIMILARITY * n) + 1 rarest, without those that no other text has."""
+    items = stored(nodes.where("size(few) > 1").select("node", F.size("few").alias("size"), F.explode("few").alias("key")), "shingles")
+    common = stored(items.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common-shingles")
+    ordered = items.join(broadcast_if_small(common), "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("o"))
+    own = F.col("size") - F.size("o")  # shingles of this text alone come first
+    most = F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1
+    return ordered.select("node", F.explode(F.slice("o.key", F.lit(1), F.greatest(most - own, F.lit(0)).cast("int"))).alias("key"))
+
+
 def node_texts(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
     """(node, text) stored: one text for each of ``nodes``."""
 
@@ -311,9 +327,8 @@ def linked_in_blocks(members: DataFrame, classes: DataFrame, texts: DataFrame) -
 def placed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, component) stored, a row for each row of ``docs``: node is its words' digest, component the least node of its class."""
     rows = sketched(docs, id_col, text_col)
-    members = stored(
-        rows.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key")), "members"
-    )
+    nodes = stored(rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("few").alias("few")), "nodes")
+    members = stored(nodes.select("node", F.explode("keys").alias("key")).union(rarest(nodes)), "members")
     shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = stored(members.join(shared, "key"), "mates")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))

@@ -65,6 +65,18 @@ def test_equals_all_pairs(spark):
     assert all(rows[i].class_size == sizes[want[i]] and rows[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
+def test_short_texts_at_the_threshold(spark):
+    rng = random.Random(5)
+    texts = []
+    for i in range(300):
+        words = [f"{rng.choice('abc')}{i}.{j}" for j in range((9, 13, 53)[i % 3])]
+        texts += [" ".join(words), " ".join(words[:-1] if i % 3 == 0 else words[: -((len(words) - 4) // 5)])]
+    shared = [f"s{j}" for j in range(12)]  # common to all, but not enough to link them
+    texts += [" ".join([f"x{i}", f"y{i}", f"z{i}", *shared, f"e{i}"]) for i in range(60)]
+    rows = nd.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i - i % 2 if i < 600 else i for i in range(len(texts))}
+
+
 def test_nulls_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g"), (5, "a b c d e f g"), (5, "a b c d e f g"), (7, None)], "doc_id long, text string")
     got = sorted(map(tuple, nd.near_classes(docs).collect()), key=str)
