@@ -32,14 +32,15 @@ SHARE = 0.2
 #: Containers nested deeper count to the one at this depth.
 DEEPEST = 100
 
+# A quoted value may have any length and hold ">"; a tag whose quote is never closed ends at the first ">".
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|button|audio|video)\b(?>[^>\"']+|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+>(?:.*?</\1\s*>|.*\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]{0,4000}\"|'[^']{0,4000}')*+|[^>]*)/?>"
+    r"|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|button|audio|video)\b(?:(?>[^>\"']+|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>(?:.*?</\1\s*>|.*\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*+\"|'[^']*+')*+|[^>]*)/?>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 CONTAINERS = frozenset("html head body div article main section aside nav header footer form table tbody thead tfoot tr td th ul ol dl dd li blockquote figure figcaption details dialog fieldset address center".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre br hr dt caption legend summary option".split())

@@ -54,6 +54,23 @@ def test_data_equals_article_of_each_page(spark):
         assert got[r.page_id] == want
 
 
+@pytest.mark.parametrize("size", [5_000, 100_000])
+@pytest.mark.parametrize("quote", "\"'")
+def test_long_attributes_are_no_text(size, quote):
+    value = f"={quote}" + ("a > <p>no</p> " * size)[:size] + quote
+    tags = f"<div data-x{value}>", f"<script data-x{value}>var a = 'no'</script>", f"<iframe srcdoc{value}>no</iframe>", f"<video poster{value}>no</video>"
+    page = f"<body><article><p>{P}</p>{''.join(tags)}<p>{P}</p></div></article></body>"
+    assert " ".join("".join(text for _, text, _, _ in hx.runs(page)).split()) == f"{P} {P}"
+
+
+def test_unclosed_quote_ends_at_its_tag():
+    page = f"<body><script data-x=\"a>var no</script><p>{P}</p><div class='b><p>{P}</p></body>"
+    assert " ".join("".join(text for _, text, _, _ in hx.runs(page)).split()) == f"{P} {P}"
+    began = time.time()
+    hx.runs("<div data-x='" + "x" * 200_000 + ">")
+    assert time.time() - began < 5
+
+
 def test_hostile_input_is_linear():
     began = time.time()
     hx.runs("<div class=\"" * 20_000)
