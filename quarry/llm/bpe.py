@@ -1,16 +1,16 @@
 """BPE encoding and decoding with a distinct-word table.
 
-Texts are normalised and split into words in Spark tasks. The corpus's distinct words are counted by a grouped
-aggregate, and each is encoded exactly once: the word table. Ids return to the texts by position:
+Texts are normalised and split into words in Spark tasks. The corpus's distinct words are counted by a grouped aggregate, and each is
+encoded exactly once: the word table, stored in buckets by word. Its ids are decoded by a join with the id-to-piece table, which has
+the vocabulary's rows and is broadcast. Ids and pieces then return to the texts by position, in a join in two parts:
 
-* the ``frequent`` most frequent words (a fixed number, so a proven bound) are ranked and broadcast, and a text becomes its words'
-  ranks, one to three bytes each, 0 where the word is not among them;
-* each of those gaps is a row (text, position, word), joined with the word table and gathered for each text;
-* texts as ranks join their gaps, and ids, counts and digests follow. A text with many copies has frequent words, so few gap
-  rows stem from copies; adaptive execution splits the skewed key of the last join.
+* words with at least 1 / ``SHARE`` of all occurrences, and ``MOST_FREQUENT`` of them at most, so a bounded table whatever the corpus, are
+  broadcast and ranked. A text becomes its words' ranks, one to three bytes each, 0 where the word is not among them;
+* the rest, a share of all occurrences and so in proportion to the input, is a row (text, position, word) each. These are exchanged by word,
+  joined with the buckets of the word table, and gathered for each text.
 
-Decoding looks every id up in the id-to-piece table. That has exactly the vocabulary's rows, so it is broadcast to the tasks that
-hold the ids; exploding every id of the corpus into a row for the same lookup would exchange several times the input.
+Equal texts are filled once and their result joins all rows that hold them, by the text's digest. A text's gap rows are made for each copy,
+but are equal, so they collapse in the set of each task before anything is exchanged by text: the work is linear in the copies.
 
 The vocabulary file is a parameter; executors load it from the same path, as a tokenizer's files are installed on each.
 
@@ -32,12 +32,13 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import broadcast_if_small, stored, stored_by
 
-FREQUENT = 500_000
+#: Words with this share of all occurrences are broadcast, up to so many and of up to so many characters; all others take the exchange.
+SHARE, MOST_FREQUENT, LONGEST = 20_000_000, 1_000_000, 32
 
 # Fixed values of the tokenizer file's kind: special tokens and, below, the split pattern.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -107,25 +108,37 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 @lru_cache(maxsize=2)
-def piece_table(path: str) -> list[str]:
-    """Id to piece: a row for each id of the vocabulary, special tokens included."""
+def vocabulary_rows(path: str) -> pa.Table:
+    """(id, piece) of the vocabulary, special tokens included."""
     with open(path, encoding="utf-8") as file:
         loaded = json.load(file)
     rows = {i: p for p, i in loaded["model"]["vocab"].items()} | {t["id"]: t["content"] for t in loaded["added_tokens"]}
-    return [rows.get(i, "") for i in range(max(rows) + 1)]
+    return pa.table({"id": pa.array(rows.keys(), pa.int32()), "piece": pa.array(rows.values(), pa.string())})
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece): a row for each id of the vocabulary."""
+    return spark.createDataFrame(vocabulary_rows(path))
 
 
 def word_table(counts: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): every distinct word encoded once; ids are decimal, joined by spaces."""
+    """(word, n, ids: array) stored in buckets by word: every distinct word encoded once."""
 
     def encode(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids = [" ".join(map(str, x)) for x in encode_words(part.column("word").to_pylist(), path)]
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.string())], names=["word", "n", "ids"])
+                ids = pa.array(encode_words(part.column("word").to_pylist(), path), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), ids], names=["word", "n", "ids"])
+
+    return stored_by(counts.mapInArrow(encode, "word string, n long, ids array<int>"), "words", "word")
 
-    return counts.mapInArrow(encode, "word string, n long, ids string")
+
+def decoded(words: DataFrame, path: str) -> DataFrame:
+    """(word, n, ids, pieces) of a word table: ids joined with their pieces, both in order and joined by spaces. Buckets by word make it free of exchanges."""
+    found = words.select("word", "n", F.posexplode_outer("ids").alias("at", "id")).join(broadcast_if_small(piece_table(words.sparkSession, path)), "id", "left")
+    gathered = found.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece")))).alias("o"))
+    return gathered.select("word", "n", F.array_join(F.transform("o.id", lambda i: i.cast("string")), " ").alias("ids"), F.array_join("o.piece", " ").alias("pieces"))
 
 
 def pack(ranks: list[int], sizes: list[int]) -> list[bytes]:
@@ -153,43 +166,31 @@ def unpack(packed: list[bytes]) -> tuple[list[int], list[int]]:
     return np.add.reduceat((b & 127).astype(np.uint32) << (7 * place).astype(np.uint32), start).tolist(), begins
 
 
-class Decoded(dict):
-    """Rank to the word's pieces, looked up when first asked for."""
-
-    def __init__(self, ids_of: list[str], piece: list[str]):
-        self.ids_of, self.piece = ids_of, piece
-
-    def of(self, ids: str) -> str:
-        return " ".join([self.piece[int(i)] for i in ids.split(" ")])
-
-    def __missing__(self, rank: int) -> str:
-        self[rank] = pieces = self.of(self.ids_of[rank]) if rank else ""
-        return pieces
-
-
 def ranks_of(words: list[str]) -> dict[str, int]:
     """Word to rank, from 1."""
     return {w: i for i, w in enumerate(words, 1)}
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
+def frequent_words(words: DataFrame, path: str, share: int = SHARE, most: int = MOST_FREQUENT) -> pa.Table:
+    """(word, ids, pieces) of the words that are broadcast, most frequent first: ``most`` rows of ``LONGEST`` characters at most."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    often = words.where((F.col("n") * share >= total) & (F.length("word") <= LONGEST))
+    return decoded(often, path).orderBy(F.desc("n"), "word").limit(most).toArrow()
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row of ``docs``; ``full`` adds ids and decoded, both text."""
     path = vocabulary or default_vocabulary()
     context = docs.sparkSession.sparkContext
-    id_type = docs.schema[id_col].dataType.simpleString()
-    words = stored(word_table(word_counts(docs, path, text_col), path), "words")
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    known, known_ids = context.broadcast(top.column("word").to_pylist()), context.broadcast(top.column("ids").to_pylist())
-    others = words
-    if len(top):  # words after the last frequent one, in the same order
-        last = {c: top.column(c)[-1].as_py() for c in ("n", "word")}
-        others = words.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"])))
-    texts = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    ).withColumn("key", F.unhex(F.md5("text")))
+    words = word_table(word_counts(docs, path, text_col), path)
+    known = frequent_words(words, path, share)
+    shared = context.broadcast({c: known.column(c).to_pylist() for c in ("word", "ids", "pieces")})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("key"))
+    texts = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
     def gaps(batches):
-        rank = ranks_of(known.value)
+        rank = ranks_of(shared.value["word"])
         for batch in batches:
             keys, places, found = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
@@ -202,51 +203,43 @@ def encode(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQU
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(found, pa.string())], names=["key", "at", "word"])
 
     def ranked(batches):
-        rank = ranks_of(known.value).get
+        rank = ranks_of(shared.value["word"]).get
         for batch in batches:
             codes = []
             for at in range(0, batch.num_rows, 200):
                 own = [split_words(text.as_py(), path) for text in batch.column("text").slice(at, 200)]
                 codes += pack(list(map(rank, chain.from_iterable(own), repeat(0))), [len(w) for w in own])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(codes, pa.binary())], names=["doc_id", "key", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary())], names=["key", "codes"])
 
-    filled = (
-        texts.select("key", "text").mapInArrow(gaps, "key binary, at int, word string")
-        .join(others.select("word", "ids"), "word")
-        .groupBy("key")
-        .agg(F.array_agg(F.struct("at", "ids")).alias("filled"))
-    )
+    rare = texts.mapInArrow(gaps, "key binary, at int, word string").join(decoded(words, path).select("word", "ids", "pieces"), "word")
+    filled = rare.groupBy("key").agg(F.collect_set(F.struct("at", "ids", "pieces")).alias("filled"))
+    coded = texts.mapInArrow(ranked, "key binary, codes binary").groupBy("key").agg(F.first("codes").alias("codes"))
 
     def assemble(batches):
-        ids_of = ["", *known_ids.value]
-        decoded = Decoded(ids_of, piece_table(path))
+        ids_of, pieces_of = (["", *shared.value[c]] for c in ("ids", "pieces"))
         for batch in batches:
-            out = []
-            filled = batch.column("filled")
-            fill_at, fill_ids = filled.flatten().field("at").to_pylist(), filled.flatten().field("ids").to_pylist()
-            many = pa.compute.fill_null(pa.compute.list_value_length(filled), 0).to_pylist()
-            codes, taken = batch.column("codes").to_pylist(), 0
+            out, taken = [], 0
+            gap = batch.column("filled").flatten()
+            gap_at, gap_ids, gap_pieces = (gap.field(c).to_pylist() for c in ("at", "ids", "pieces"))
+            many = pa.compute.fill_null(pa.compute.list_value_length(batch.column("filled")), 0).to_pylist()
+            codes = batch.column("codes").to_pylist()
             for at in range(0, len(codes), 200):
                 ranks, begins = unpack(codes[at : at + 200])
                 for i, (begin, end) in enumerate(zip(begins[:-1], begins[1:], strict=True), at):
                     own = ranks[begin:end]
-                    ids, pieces = list(map(ids_of.__getitem__, own)), list(map(decoded.__getitem__, own))
+                    ids, pieces = list(map(ids_of.__getitem__, own)), list(map(pieces_of.__getitem__, own))
                     for f in range(taken, taken + many[i]):
-                        ids[fill_at[f]], pieces[fill_at[f]] = fill_ids[f], decoded.of(fill_ids[f])
+                        ids[gap_at[f]], pieces[gap_at[f]] = gap_ids[f], gap_pieces[f]
                     taken += many[i]
-                    ids, pieces = " ".join(ids), " ".join(pieces)
-                    out.append((ids.count(" ") + (ids != ""), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(pieces.encode()).hexdigest(), ids if full else None, pieces if full else None))
-            n, a, b, ids, pieces = zip(*out, strict=True) if out else ((),) * 5
-            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                arrays, names = [*arrays, pa.array(ids, pa.string()), pa.array(pieces, pa.string())], [*names, "ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    coded = texts.mapInArrow(ranked, f"doc_id {id_type}, key binary, codes binary")
-    return coded.join(filled, "key", "left").select("doc_id", "codes", "filled").mapInArrow(
-        assemble, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * full
-    )
+                    ids, pieces = " ".join(filter(None, ids)), " ".join(filter(None, pieces))
+                    out.append((ids.count(" ") + (ids != ""), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(pieces.encode()).hexdigest(), *((ids, pieces) if full else ())))
+            columns = list(zip(*out, strict=True)) if out else [()] * (5 if full else 3)
+            arrays = [batch.column("key"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), *[pa.string()] * 4)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(arrays)])
+
+    schema = "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * full
+    done = coded.join(filled, "key", "left").select("key", "codes", "filled").mapInArrow(assemble, schema)
+    return rows.join(done, "key").drop("key")
 
 
 def op10_bpe(spark, sf_dir):

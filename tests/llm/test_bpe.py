@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -19,14 +20,41 @@ def reference(text):
     return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("frequent", [0, 3, 100_000])
-def test_equals_the_library(spark, frequent):
+@pytest.mark.parametrize("share", [1, 30, bpe.SHARE])
+def test_equals_the_library(spark, share):
     rows = [(i, t) for i, t in enumerate(TRICKY * 2)] + [(None, "null id"), (0, "id repeated")]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, word string, n int")
-    got = sorted((tuple(r) for r in bpe.encode(docs, frequent=frequent).collect()), key=str)
+    got = sorted((tuple(r) for r in bpe.encode(docs, share=share).collect()), key=str)
     assert got == sorted(((i, *reference(t)) for i, t in rows), key=str)
 
 
+def test_copies_with_rare_words_are_linear(spark):
+    text = " ".join(f"rare{a}word" for a in "abcdefghijklm")
+    took = {}
+    for copies in (20, 2_000):
+        docs = spark.createDataFrame([(i, text) for i in range(copies)], "doc_id long, text string")
+        began = time.time()
+        got = {tuple(r)[1:] for r in bpe.encode(docs, share=1).collect()}
+        took[copies] = time.time() - began
+        assert got == {reference(text)}
+    assert took[2_000] < 5 * took[20] + 10
+
+
+def test_full_gives_ids_and_decoded_text(spark):
+    docs = spark.createDataFrame([(1, "Hello WORLD"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode(docs, full=True).collect()}
+    t = bpe.tokenizer(PATH)
+    ids = t.encode("Hello WORLD", add_special_tokens=False).ids
+    assert got == {1: (" ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)), 2: ("", "")}
+
+
+def test_most_frequent_words_bound_the_broadcast(spark):
+    docs = spark.createDataFrame([(1, "a a a b b c d"), (2, "a" * 40)], "doc_id long, text string")
+    words = bpe.word_table(bpe.word_counts(docs, PATH), PATH)
+    assert bpe.frequent_words(words, PATH, most=2).column("word").to_pylist() == ["a", "b"]
+    assert bpe.frequent_words(words, PATH).num_rows == 4
+
+
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
