@@ -1,8 +1,9 @@
 """HTML extraction by consensus host paths.
 
-A page becomes runs of text, each with the containers it stands in; a container is named by its generalised path of tags and
-classes (digits dropped, no positions), so pages of one layout agree on names. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are left out by tag, role, class and id. On each page containers are scored by the
+A page becomes runs of text, each with the container it stands in; a container is named by the hash of its generalised path of tags and
+classes (digits dropped, no positions), made of its parent's hash and its own name, so pages of one layout agree on names at any depth. Menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag, and elements of any kind by role, class,
+id and visibility. On each page containers are scored by the
 text of the paragraphs in them, halved for each level up, times the share that is not links; a page votes for its best one. Spark
 sums the votes of all pages of a host; paths with ``SHARE`` of them win. Pages are then read again: the first winning path
 that has text on the page gives the page's text; where none has, the page's own best container does.
@@ -17,6 +18,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
@@ -29,8 +31,6 @@ from quarry.llm.common import broadcast_if_small, stored
 from quarry.llm.url_filter import host_of
 
 SHARE = 0.2
-#: Containers nested deeper count to the one at this depth.
-DEEPEST = 100
 
 # A quoted value may have any length and hold ">"; a tag whose quote is never closed ends at the first ">".
 _TOKEN = re.compile(
@@ -40,13 +40,16 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 CONTAINERS = frozenset("html head body div article main section aside nav header footer form table tbody thead tfoot tr td th ul ol dl dd li blockquote figure figcaption details dialog fieldset address center".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre br hr dt caption legend summary option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre li dt dd td th blockquote figcaption".split())
 #: Containers that a path doesn't name and that are never scored themselves.
 PARTS = frozenset("tbody thead tfoot tr td th ul ol dl dd li blockquote figure figcaption table".split())
+LISTS = ("ul", "ol", "table", "dl")
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head nav header footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _UNWANTED = re.compile(
@@ -64,7 +67,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _unwanted(tag: str, named: dict[str, str], inside: bool) -> bool:
-    """Whether a container is page furniture; ``inside``: within an article, whose own header stays."""
+    """Whether an element is page furniture; ``inside``: within an article, whose own header stays."""
     if tag in DROPPED and not (tag == "header" and inside):
         return True
     if tag in ("body", "html", "article", "main"):
@@ -72,119 +75,165 @@ def _unwanted(tag: str, named: dict[str, str], inside: bool) -> bool:
     if named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", ""):
         return True
     words = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{named.get('class', '')} {named.get('id', '')}")
-    if inside and re.search(r"(?:^|[-_\s])(?:entry|post|article)-?header(?:$|[-_\s])", words, re.I):
-        return False
+    if tag in HEADINGS or (inside and re.search(r"(?:^|[-_\s])(?:entry|post|article)-?header(?:$|[-_\s])", words, re.I)):
+        words = re.sub(r"(?i)header|masthead", "", words)
     return bool(_UNWANTED.search(words))
 
 
-def runs(page: str | None) -> list[tuple[tuple[str, ...], str, bool, bool]]:
-    """(container names from the outside in, text, whether linked, whether in a paragraph) of a page's wanted text, with its breaks as spaces."""
-    out: list = []
-    if not page:
-        return out
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name, dropped, in an article
-    page = page[: page.rfind(">") + 1] + page[page.rfind(">") + 1 :].partition("<")[0]  # a cut-off tag at the end is no text
-    names: tuple[str, ...] = ()
-    dropped = linked = paragraph = inside = False
-    at = 0
-
-    def settle():
-        nonlocal names, dropped, inside
-        names = tuple([s[1] for s in stack[:DEEPEST] if s[1]])
-        dropped, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-
-    for token in _TOKEN.finditer(page):
-        if token.start() > at and not dropped:
-            out.append((names, entities.unescape(page[at : token.start()]), linked, paragraph))
-        at = token.end()
-        tag = (token[3] or "").lower()
-        if not tag:
-            continue
-        closing = token[2] == "/"
-        if tag == "a":
-            linked = not closing
-            continue
-        if tag not in BREAKS:
-            continue
-        if not dropped:
-            out.append((names, " ", linked, paragraph))
-        if tag in PARAGRAPHS:
-            paragraph = not closing
-        if tag not in CONTAINERS:
-            continue
-        linked = False
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
-                settle()
-            continue
-        if tag in ("article", "main") and dropped and not any(s[0] in ("aside", "footer", "form") for s in stack):
-            stack = [s for s in stack if not s[2]]  # an unclosed menu or header doesn't swallow the article
+class Page:
+    """A page's wanted text in runs (container, text, whether linked, whether in a paragraph), with its breaks as spaces.
+
+    Containers are numbered as they come, the page itself is 0: ``parent``, ``name``, ``depth`` and ``path`` (the hash of the names from the outside in).
+    """
+
+    def __init__(self, page: str | None):
+        self.parent, self.name, self.depth, self.path = [-1], [""], [0], [b""]
+        self._number: dict[tuple[int, str], int] = {}
+        self.runs: list[tuple[int, str, bool, bool]] = []
+        if page:
+            self._read(page)
+
+    def container(self, parent: int, name: str) -> int:
+        """The number of the container of that name in ``parent``; without a name it is ``parent`` itself."""
+        if not name:
+            return parent
+        found = self._number.get((parent, name))
+        if found is None:
+            found = self._number[parent, name] = len(self.name)
+            self.parent.append(parent)
+            self.name.append(name)
+            self.depth.append(self.depth[parent] + 1)
+            self.path.append(hashlib.blake2b(self.path[parent] + name.encode(), digest_size=16).digest())
+        return found
+
+    def _read(self, page: str) -> None:
+        page = page[: page.rfind(">") + 1] + page[page.rfind(">") + 1 :].partition("<")[0]  # a cut-off tag at the end is no text
+        stack: list[tuple[str, int, bool, bool]] = []  # tag, container, dropped, in an article
+        places: dict[str, list[int]] = defaultdict(list)  # tag to its places in the stack
+        node, dropped, linked, paragraph, inside = 0, False, False, False, False
+        lost: list[str] = []  # an unwanted element that is no container, and those of its tag in it
+        at = 0
+
+        def settle():
+            nonlocal node, dropped, inside
+            node, dropped, inside = stack[-1][1:] if stack else (0, False, False)
+
+        def cut(depth: int):
+            while len(stack) > depth:
+                places[stack.pop()[0]].pop()
             settle()
-        if tag == "body":
-            stack = [s for s in stack if s[0] == "html"]
+
+        def retain(wanted):
+            kept = [s for s in stack if wanted(s)]
+            cut(0)
+            for s in kept:
+                places[s[0]].append(len(stack))
+                stack.append(s)
             settle()
-        if tag in ("li", "tr", "td", "th", "dd"):  # these close their like
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (tag, "ul", "ol", "table", "dl")), None)
-            if depth is not None and stack[depth][0] == tag:
-                del stack[depth:]
-                settle()
-        named = _attributes(token[4]) if token[4] and not token[4].isspace() else {}
-        out_of_sight = dropped or _unwanted(tag, named, inside)
-        name = "" if tag in PARTS or tag == "html" else _DIGITS.sub("", ".".join([tag, *sorted(named.get("class", "").split())]))
-        stack.append((tag, name, out_of_sight, inside or tag in ("article", "main")))
-        settle()
-    if at < len(page) and not dropped:
-        out.append((names, entities.unescape(page[at:]), linked, paragraph))
-    return out
-
-
-def scores(found) -> dict[tuple[str, ...], float]:
-    """Path to score: paragraphs' characters at the container, halved for each level up, times the share outside links; hints double it."""
-    direct: dict = defaultdict(float)
-    total: dict = defaultdict(float)
-    links: dict = defaultdict(float)
-    for names, text, linked, paragraph in found:
-        size = len(text.strip())
-        if not size:
-            continue
-        if linked:
-            links[names] += size
-        total[names] += size
-        if not linked:
-            direct[names] += size if paragraph else size * 0.5
-    out: dict = defaultdict(float)
-    under: dict = defaultdict(float)
-    under_links: dict = defaultdict(float)
-    for names, size in total.items():
-        for depth in range(len(names), 0, -1):
-            under[names[:depth]] += size
-            under_links[names[:depth]] += links[names]
-        for up in range(3):
-            if len(names) - up > 0:
-                out[names[: len(names) - up]] += direct[names] / 2**up
-    for path in out:
-        tag, *classes = path[-1].split(".")
-        hint = 2.0 if tag in ("article", "main") or _WANTED.search(" ".join(classes)) else 1.0 if tag != "body" else 0.5
-        out[path] *= hint * (1 - under_links[path] / max(under[path], 1.0))
-    return out
-
-
-def best(found) -> tuple[str, ...]:
-    """The path of the best container; ties go to the outer one, then by name."""
-    scored = scores(found)
-    return max(sorted(scored, key=lambda p: (len(p), p)), key=lambda p: scored[p], default=())
-
-
-def text_of(found, path: tuple[str, ...]) -> str:
-    """The text of all containers with that path, white space collapsed."""
-    n = len(path)
-    return " ".join("".join(text if names[:n] == path else " " for names, text, _, _ in found).split())
-
-
-def _joined(path: tuple[str, ...]) -> str:
-    return ">".join(path)
+
+        for token in _TOKEN.finditer(page):
+            if token.start() > at and not dropped and not lost:
+                self.runs.append((node, entities.unescape(page[at : token.start()]), linked, paragraph))
+            at = token.end()
+            tag = (token[3] or "").lower()
+            if not tag:
+                continue
+            closing = token[2] == "/"
+            if tag in BREAKS:
+                lost.clear()  # an inline element that is never closed ends with its block
+            elif lost:
+                if tag == lost[0] and closing:
+                    lost.pop()
+                elif tag == lost[0]:
+                    lost.append(tag)
+                continue
+            named = _attributes(token[4]) if not closing and token[4] and not token[4].isspace() else {}
+            if tag not in CONTAINERS and tag not in VOID and not closing and not dropped and named and _unwanted(tag, named, inside):
+                self.runs.append((node, " ", linked, paragraph))
+                lost.append(tag)
+                continue
+            if tag == "a":
+                linked = not closing
+                continue
+            if tag not in BREAKS:
+                continue
+            if not dropped:
+                self.runs.append((node, " ", linked, paragraph))
+            if tag in PARAGRAPHS:
+                paragraph = not closing
+            if tag not in CONTAINERS:
+                continue
+            linked = False
+            if closing:
+                if places[tag]:
+                    cut(places[tag][-1])
+                continue
+            if tag in ("article", "main") and dropped and not any(places[t] for t in ("aside", "footer", "form")):
+                retain(lambda s: not s[2])  # an unclosed menu or header doesn't swallow the article
+            if tag == "body":
+                retain(lambda s: s[0] == "html")
+            if tag in ("li", "tr", "td", "th", "dd") and places[tag] and places[tag][-1] > max((places[t][-1] for t in LISTS if places[t]), default=-1):
+                cut(places[tag][-1])  # these close their like
+            out_of_sight = dropped or _unwanted(tag, named, inside)
+            name = "" if tag in PARTS or tag == "html" else _DIGITS.sub("", ".".join([tag, *sorted(named.get("class", "").split())]))
+            places[tag].append(len(stack))
+            stack.append((tag, self.container(node, name), out_of_sight, inside or tag in ("article", "main")))
+            settle()
+        if at < len(page) and not dropped and not lost:
+            self.runs.append((node, entities.unescape(page[at:]), linked, paragraph))
+
+    def scores(self) -> list[float]:
+        """Of each container: paragraphs' characters at it, halved for each level up, times the share outside links; hints double it."""
+        n = len(self.name)
+        direct, under, links, out = ([0.0] * n for _ in range(4))
+        for node, text, linked, paragraph in self.runs:
+            size = len(text.strip())
+            under[node] += size
+            if linked:
+                links[node] += size
+            else:
+                direct[node] += size if paragraph else size * 0.5
+        for node in range(n - 1, 0, -1):  # parents have smaller numbers
+            under[self.parent[node]] += under[node]
+            links[self.parent[node]] += links[node]
+        for node in range(1, n):
+            share, up = direct[node], node
+            for _ in range(3):
+                out[up] += share
+                share, up = share / 2, self.parent[up]
+                if up <= 0:
+                    break
+        for node in range(1, n):
+            tag, *classes = self.name[node].split(".")
+            hint = 2.0 if tag in ("article", "main") or _WANTED.search(" ".join(classes)) else 1.0 if tag != "body" else 0.5
+            out[node] *= hint * (1 - links[node] / max(under[node], 1.0))
+        return out
+
+    def best(self) -> int:
+        """The container with the highest score; ties go to the outer one, then to the first; the page itself if it has none with text."""
+        scored = self.scores()
+        chosen = max(range(len(scored)), key=lambda i: (scored[i], -self.depth[i], -i))
+        return chosen if scored[chosen] > 0 else min(1, len(scored) - 1)
+
+    def find(self, path: bytes) -> int | None:
+        """The container with that path."""
+        return self.path.index(path) if path in self.path else None
+
+    def text_of(self, container: int) -> str:
+        """The text in a container, white space collapsed."""
+        inside = [False] * len(self.name)
+        inside[container] = True
+        for node in range(container + 1, len(self.name)):
+            inside[node] = inside[self.parent[node]]
+        return " ".join("".join(text if inside[node] else " " for node, text, _, _ in self.runs).split())
+
+    def names(self, container: int) -> str:
+        """The readable path, for reports."""
+        out = []
+        while container > 0:
+            out.append(self.name[container])
+            container = self.parent[container]
+        return ">".join(reversed(out))
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -194,14 +243,14 @@ def votes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             tally: dict = defaultdict(int)
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                path = best(runs(page.as_py()))
-                if path:
-                    tally[host, _joined(path)] += 1
+                found = Page(page.as_py())
+                if found.runs:
+                    tally[host, found.path[found.best()]] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in tally], pa.string()), pa.array([p for _, p in tally], pa.string()), pa.array(tally.values(), pa.int64())], names=["host", "path", "votes"]
+                [pa.array([h for h, _ in tally], pa.string()), pa.array([p for _, p in tally], pa.binary()), pa.array(tally.values(), pa.int64())], names=["host", "path", "votes"]
             )
 
-    return pages.select("host", "html").mapInArrow(scan, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    return pages.select("host", "html").mapInArrow(scan, "host string, path binary, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
 def winners(counted: DataFrame, share: float = SHARE) -> DataFrame:
@@ -223,17 +272,17 @@ def extract(pages: DataFrame, share: float = SHARE, id_col: str = "page_id", url
         for batch in batches:
             texts, used = [], []
             for page, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True):
-                found = runs(page.as_py())
-                text, path = "", ""
+                found = Page(page.as_py())
+                text, chosen = "", None
                 for path in paths or ():
-                    text = text_of(found, tuple(path.split(">")))
-                    if text:
+                    chosen = found.find(path)
+                    if chosen is not None and (text := found.text_of(chosen)):
                         break
                 if not text:
-                    own = best(found)
-                    text, path = text_of(found, own), _joined(own)
+                    chosen = found.best()
+                    text = found.text_of(chosen)
                 texts.append(text)
-                used.append(path)
+                used.append(found.names(chosen))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(used, pa.string())],
                 names=["page_id", "url", "text", "n_chars", "path"],
