@@ -45,6 +45,30 @@ def test_exact_dedup(spark, keep):
     assert exact_dedup.exact_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_runs_are_sorted_and_merged_in_rounds(spark):
+    rows = spark.createDataFrame([(i, bytes([i % 7]), "") for i in range(100)], "id long, digest binary, variant string")
+    plan = exact_dedup.merge_runs(rows, runs=16, fan_in=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 6 and plan.count("HashAggregate") == 0
+    assert plan.count("Sort [run") == 4 and plan.count("Exchange hashpartitioning(run") == 3  # each run, each round's merge
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_texts_of_one_digest_are_told_apart(spark, keep):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"{'xy'[i % 2]}{i % 5}", "a") for i in range(40)] + [(None, "x0", "a"), (50, None, "a"), (51, "", "a"), (52, "z alone", "a")]
+    weak = lambda text: F.substring(F.unhex(F.md5(F.substring(text, 1, 1))), 1, 4)
+    got = exact_dedup.exact_dedup(docs_of(spark, rows), keep=keep, digest=weak).collect()
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[t or ""].append(i)
+    best = min if keep == "smallest" else max
+    want = [(i, best(x for x in groups[t or ""] if x is not None), len(groups[t or ""])) for i, t, _ in rows]
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=str) == sorted(want, key=str)
+    left = exact_dedup.drop_duplicates(docs_of(spark, rows), keep=keep, digest=weak)
+    assert sorted(r.doc_id for r in left.collect()) == sorted({k for _, k, _ in want})
+
+
 def test_exact_dedup_sql_says_the_same(spark):
     rows = [(1, "A\nb"), (2, "a\nB"), (3, None), (4, ""), (5, "É"), (6, "é")]
     con = duckdb.connect()
