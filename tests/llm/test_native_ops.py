@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -123,12 +124,62 @@ def test_mixing(spark, seed):
     assert repeated.columns == frame.columns and repeated.count() == sum(r.copies for r in got)
 
 
-def test_newton_solves_the_dual(spark):
-    frame = spark.createDataFrame([(1000, 70.0), (1000, 2999.0), (1000, 3000.0), (10, 0.0), (0, 0.0), (5, 0.001)], "total long, target double")
-    from pyspark.sql import functions as F
+def plain_dual(cells, targets, ridge=mixing.RIDGE, cap=3.0):
+    """Multipliers by source and the length's, by plain coordinate descent with bisection on the dual's gradient."""
+    total = sum(n * s for _, s, n in cells)
+    centre = sum(n * s * math.log(s) for _, s, n in cells) / total
+    width = max((sum(n * s * math.log(s) ** 2 for _, s, n in cells) / total - centre**2) ** 0.5, 1e-3)
+    z = {s: (math.log(s) - centre) / width for _, s, _ in cells}
+    words = lambda own, mult, tilt, k: sum(n * s * min(cap, math.exp(mult + tilt * z[s])) * z[s] ** k for s, n in own)
+
+    def root(f, low, high):
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if f(mid) < 0 else (low, mid)
+        return low
+
+    by = defaultdict(list)
+    for source, s, n in cells:
+        by[source].append((s, n))
 
-    rates = [r[0] for r in frame.select(mixing.newton_rate(F.col("total"), F.col("target"))).collect()]
-    assert all(abs(a - b) < 1e-9 for a, b in zip(rates, [0.07, 2.999, 3.0, 0.0, 0.0, 0.0002], strict=True))
+    def multipliers(tilt):
+        return {k: root(lambda m, k=k: words(by[k], m, tilt, 0) - targets[k], -30, 30) for k in by if targets[k] < cap * sum(s * n for s, n in by[k])}
+
+    capped = sum(cap * n * s * z[s] for k in by if targets[k] >= cap * sum(s * n for s, n in by[k]) for s, n in by[k])
+    tilt = root(lambda t: sum(words(by[k], m, t, 1) for k, m in multipliers(t).items()) + capped + ridge * total * t, -5, 5)
+    return multipliers(tilt), tilt
+
+
+def test_newton_solves_the_dual(spark):
+    rng = random.Random(3)
+    cells = [(s, size, rng.randrange(1, 40)) for s, sizes in {"a": (3, 20, 90), "b": (40, 900, 5000), "c": (1, 2), "d": (50, 60, 7000)}.items() for size in sizes]
+    of = {k: sum(s * n for source, s, n in cells if source == k) for k in "abcd"}
+    targets = {"a": 2.2 * of["a"], "b": 0.4 * of["b"], "c": 3.0 * of["c"], "d": 0.9 * of["d"]}
+    want, want_tilt = plain_dual(cells, targets)
+    frame = spark.createDataFrame(cells, "source string, size long, n long")
+    table = spark.createDataFrame([(k, of[k], float(targets[k])) for k in of], "source string, source_size long, target double")
+    sources, found = mixing.balance(frame, table)
+    got = {r.source: r.multiplier for r in sources.collect()}
+    assert abs(found["tilt"] - want_tilt) < 1e-4 and abs(want_tilt) > 0.01
+    assert all(abs(got[k] - want[k]) < 1e-3 for k in want) and got["c"] > 50
+
+
+def test_rates_differ_within_a_source_and_lengths_stay(spark):
+    rows = [(i, "w " * (5 if i % 3 else 400), "short" if i % 5 else "long") for i in range(600)] + [(1000 + i, "w " * 900, "long") for i in range(60)]
+    got = mixing.mix(docs_of(spark, rows)).collect()
+    assert len({round(r.rate, 6) for r in got if r.source == "long"}) > 1
+    for source in ("short", "long"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.rate * r.size for r in own) - own[0].target) < 1e-4 * own[0].target
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target
+
+
+def test_hot_cell_is_split_into_items(spark):
+    rows = [(i, "same text of six words here", "hot") for i in range(3_000)] + [(5_000 + i, "w " * 7, "b") for i in range(2_000)]
+    got = mixing.mix(docs_of(spark, rows)).collect()
+    for source in ("hot", "b"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.005 * own[0].target and len({r.copies for r in own}) <= 2
 
 
 # chat formatting ---------------------------------------------------------------------------------------------------
