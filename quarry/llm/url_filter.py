@@ -2,15 +2,15 @@ r"""URL filters: rules first, then trust and distrust propagated over the hosts'
 
 A rule is host and path; it fits its host and all subdomains if the URL's path starts with the rule's, and the longest rule
 that fits decides. Every host with a page that a rule judges is a seed: of trust with the share of its own pages that are allowed, of
-distrust with the share that are blocked, so a host's size doesn't count. Links of the pages become weighted host edges in one
+distrust with the share that are blocked, so a host's size doesn't count. Links of the pages' ``a`` elements become weighted host edges in one
 grouped count. Personalised PageRank walks the edges from the trusted seeds, and the reversed edges from the blocked ones (a host
-that links to bad hosts is suspect); ``trust`` and ``distrust`` of all hosts sum up to the seeds' shares. Where no rule says otherwise, a
+that links to bad hosts is suspect), until what is still on its way is less than ``TOLERANCE`` of what an average host has; ``trust`` and ``distrust`` of all hosts sum up to the seeds' shares. Where no rule says otherwise, a
 host is blocked if it has more distrust than trust and at least ``MARGIN`` of an average host's distrust, or if its own pages say so:
 more of them blocked than allowed, and ``SEED_SHARE`` of them or more, whatever other hosts are like.
 
 All tables are by host: pages are read once for links and once for verdicts, and the host table is broadcast only if it is counted to be
 small; otherwise the join shuffles and adaptive execution splits a host with a third of all pages. Both walks run in the same
-rounds, each round a join and a grouped sum, stored in the shared folder.
+rounds, each round a join and a grouped sum over the mass that still moves, stored in the shared folder.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule, and the method's verdict for the
 empty host; null html has no links; links of a host to itself don't count; repeated rows are judged alike and count as pages; an
@@ -22,16 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import broadcast_if_small, stored
+from quarry.llm.common import broadcast_if_small, discard, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 SEED_SHARE = 0.5
 MARGIN = 1.0
 DAMPING = 0.85
-ROUNDS = 30
-TOLERANCE = 1e-6
-_LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
+TOLERANCE = 1e-3
+MOST_ROUNDS = 400
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_LINK = r"""(?i)<a\s(?:[^>]*?(?<![\w-]))?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -51,30 +52,35 @@ def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host").agg(ordered.alias("rules"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, rank): personalised PageRank of each kind; edges (kind, source, target, share), seeds (kind, host, weight) with sum 1."""
-    rank = stored(seeds.select("kind", "host", F.col("weight").alias("rank")), "rank")
-    for _ in range(rounds):
-        moved = stored(
-            edges.join(rank, (edges["kind"] == rank["kind"]) & (edges["source"] == rank["host"]))
-            .groupBy(edges["kind"], "target").agg(F.sum(F.col("rank") * F.col("share")).alias("mass")),
-            "moved",
-        )
-        total = {r["kind"]: r["mass"] for r in moved.groupBy("kind").agg(F.sum("mass").alias("mass")).collect()}  # two rows at most
-        lost = F.lit(1.0)
-        for kind, mass in total.items():  # mass of hosts without links returns to the seeds
-            lost = F.when(F.col("kind") == kind, F.lit(1 - mass)).otherwise(lost)
-        new = stored(
-            seeds.select("kind", "host", (F.col("weight") * (1 - damping + damping * lost)).alias("rank"))
-            .union(moved.select("kind", "target", F.col("mass") * damping))
-            .groupBy("kind", "host").agg(F.sum("rank").alias("rank")),
-            "rank",
-        )
-        change = new.union(rank.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("d")).agg(F.sum(F.abs("d"))).first()[0]
-        rank = new
-        if (change or 0.0) < TOLERANCE:
+def walk(edges: DataFrame, seeds: DataFrame, least: float, damping: float = DAMPING, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(kind, host, rank) stored: personalised PageRank of each kind; edges (kind, source, target, share), seeds (kind, host, weight) with sum 1.
+
+    A round moves the mass of the one before along the edges, damped; a host's rank is the sum of all that came by. Mass of hosts without links
+    is lost and returns to the seeds in proportion, which scales all ranks of a kind alike, so they are scaled to the sum 1 at the end.
+    Rounds end when less than ``least`` of the mass is still to come.
+    """
+    moving = [stored(seeds.select("kind", "host", F.col("weight").alias("mass")), "moving")]
+    for _ in range(most_rounds):
+        last = moving[-1]
+        left = last.groupBy("kind").agg(F.sum("mass").alias("mass")).agg(F.max("mass")).first()[0] or 0.0
+        if left * damping / (1 - damping) < least:
             break
-    return rank
+        moving.append(
+            stored(
+                edges.join(last, (edges["kind"] == last["kind"]) & (edges["source"] == last["host"]))
+                .groupBy(edges["kind"], F.col("target").alias("host")).agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("mass")),
+                "moving",
+            )
+        )
+    else:
+        raise RuntimeError(f"after {most_rounds} rounds {left} of the mass still moves")
+    came = moving[0]
+    for more in moving[1:]:
+        came = came.union(more)
+    rank = stored(came.groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "came")
+    discard(*moving)
+    total = rank.groupBy("kind").agg(F.sum("mass").alias("total")).withColumnRenamed("kind", "of")
+    return rank.join(F.broadcast(total), F.col("kind") == F.col("of")).select("kind", "host", (F.col("mass") / F.col("total")).alias("rank"))  # two rows at most
 
 
 def host_verdicts(pages: DataFrame, judged: DataFrame, share: float = SEED_SHARE, margin: float = MARGIN) -> DataFrame:
@@ -96,7 +102,7 @@ def host_verdicts(pages: DataFrame, judged: DataFrame, share: float = SEED_SHARE
         weight = F.when(F.col("kind") == kind, F.col("part") / part).otherwise(weight)
     seeds = stored(marked.select("kind", "host", weight.alias("weight")), "seeds")
     links = stored(
-        pages.select(host_of(F.col("url")).alias("source"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("target"))
+        pages.select(host_of(F.col("url")).alias("source"), F.explode(F.regexp_extract_all(F.regexp_replace("html", _COMMENT, ""), F.lit(_LINK), F.lit(1))).alias("target"))
         .select("source", F.translate("target", UPPER, UPPER.lower()).alias("target"))
         .where("source <> target AND source <> ''")
         .groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")),
@@ -108,12 +114,13 @@ def host_verdicts(pages: DataFrame, judged: DataFrame, share: float = SEED_SHARE
         both.join(out.withColumnRenamed("kind", "k"), (F.col("kind") == F.col("k")) & (F.col("source") == F.col("of"))).select("kind", "source", "target", (F.col("n") / F.col("total")).alias("share")),
         "edges",
     )
-    rank = walk(edges, seeds).groupBy("host").agg(
+    n_hosts = hosts.count()
+    rank = walk(edges, seeds, TOLERANCE / max(n_hosts, 1)).groupBy("host").agg(
         *[(F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)) * totals.get(kind, 0.0)).alias(kind) for kind in ("trust", "distrust")]
     )
     joined = hosts.join(rank, "host", "left").withColumns({kind: F.coalesce(kind, F.lit(0.0)) for kind in ("trust", "distrust")})
     own = (F.col("blocked") > F.col("allowed")) & (F.col("blocked") >= share * F.col("pages"))
-    led = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * hosts.count() >= margin * totals.get("distrust", 0.0))
+    led = (F.col("distrust") > F.col("trust")) & (F.col("distrust") * n_hosts >= margin * totals.get("distrust", 0.0))
     return joined.select("host", "trust", "distrust", F.when(own | led, "block").otherwise("allow").alias("host_verdict"))
 
 
