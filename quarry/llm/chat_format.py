@@ -11,9 +11,12 @@ Control strings inside texts get one backslash after their first character (and
 the reverse takes away, so every text comes back as it was. The loss mask holds the spans, in code points, of the assistants' texts.
 
 Defined results: a null record or one that no mapping fits has no turns and an empty layout; null texts and roles are
-empty; empty turns are kept; turns with the same number are ordered by role, then text; null conversation ids are one
-conversation; an empty table gives an empty result. A conversation is one output record, so its turns meet in one row; all
-others are spread by id.
+empty; empty turns are kept; turns with the same number are ordered by role, then text; a row without conversation id is a
+conversation of its own; an empty table gives an empty result; other columns are not read. A conversation is one output record, so its turns
+meet in one row, and the longest one bounds a task's memory; all others are spread by id.
+
+The registered query has rows by turn, so it first writes each conversation as a record in one of the declared layouts, by its id (``records_of``); the
+fingerprint alone tells the formatter which.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 #: Layouts: ``turns`` says which list holds the turns and which fields role and text; ``fields`` lists (role, fields joined by a blank line).
 MAPPINGS = (
     {"name": "messages", "needs": ["messages[].role", "messages[].content"], "turns": ("messages", "role", "content")},
-    {"name": "message parts", "needs": ["messages[].role", "messages[].content[].text"], "turns": ("messages", "role", "content")},
-    {"name": "conversations", "needs": ["conversations[].from", "conversations[].value"], "turns": ("conversations", "from", "value"), "first": [("system", ["system"])]},
+    {"name": "message parts", "needs": ["messages[].role", "messages[].content", "messages[].content[].text"], "turns": ("messages", "role", "content")},
+    {"name": "conversations", "needs": ["conversations[].from", "conversations[].value"], "turns": ("conversations", "from", "value"), "first": [("system", ["system"])], "roles": True},
     {"name": "dialogue", "needs": ["dialogue[].speaker", "dialogue[].text"], "turns": ("dialogue", "speaker", "text")},
     {"name": "turns", "needs": ["turns[].role", "turns[].text"], "turns": ("turns", "role", "text")},
     {"name": "instruction", "needs": ["instruction", "output"], "fields": [("system", ["system"]), ("user", ["instruction", "input"]), ("assistant", ["output"])]},
@@ -43,6 +46,7 @@ MAPPINGS = (
     {"name": "prompt messages", "needs": ["prompt[].role", "prompt[].content", "completion[].content"], "lists": [("prompt", "role", "content"), ("completion", "role", "content")]},
 )
 
+#: Names of roles in layouts with ``roles``; others keep the names they have.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -119,7 +123,7 @@ def canonical(record: str | None) -> tuple[str, str | None, list[tuple[str, str]
         for turn in value.get(where) or ():
             if isinstance(turn, dict):
                 name = _text(turn.get(role))
-                turns.append((ROLES.get(name, name), _text(turn.get(text))))
+                turns.append((ROLES.get(name, name) if mapping.get("roles") else name, _text(turn.get(text))))
     return print_, mapping["name"], turns
 
 
@@ -185,32 +189,62 @@ def digests(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(scan, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, fingerprint string, mapping string")
 
 
-def message_records(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, record): the ``messages`` layout, turns in order."""
-    said = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said")).select(
-        "conv_id", F.to_json(F.struct(F.transform("said", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("record")
+#: Layouts in which ``records_of`` writes conversations, by id modulo their number; "prompt, completion" takes a question and its answer alone.
+WRITTEN = ("messages", "message parts", "conversations", "dialogue", "turns", "prompt, completion")
+
+
+def records_of(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) -> (conv_id, record): each conversation as JSON in the layout that its id says, turns in order."""
+    said = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())  # no id: a group for each row
+    talks = turns.groupBy("conv_id", own.alias("own")).agg(F.sort_array(F.collect_list(said)).alias("said"))
+    items = lambda **fields: F.transform("said", lambda x: F.struct(*[value(x).alias(name) for name, value in fields.items()]))
+    role, text = lambda x: x["role"], lambda x: x["text"]
+    half = lambda x: F.floor(F.length(x["text"]) / 2).cast("int")
+    parts = lambda x: F.array(F.struct(F.lit("text").alias("type"), F.substring(x["text"], F.lit(1), half(x)).alias("text")), F.struct(F.lit("text").alias("type"), F.substring(x["text"], half(x) + 1, F.length(x["text"])).alias("text")))
+    speaker = lambda x: F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"])
+    layout = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(len(WRITTEN)))
+    one = lambda name, value: F.to_json(F.struct(value.alias(name)))
+    record = (
+        F.when(layout == 1, one("messages", items(role=role, content=parts)))
+        .when((layout == 2) & ~F.exists("said", lambda x: x["role"].isin(*ROLES)), one("conversations", items(**{"from": speaker, "value": text})))
+        .when(layout == 3, one("dialogue", items(speaker=role, text=text)))
+        .when(layout == 4, one("turns", items(role=role, text=text)))
+        .when((layout == 5) & (F.array_join("said.role", " ") == "user assistant") & (F.size("said") == 2), F.to_json(F.struct(F.col("said.text")[0].alias("prompt"), F.col("said.text")[1].alias("completion"))))
+        .otherwise(one("messages", items(role=role, content=text)))
     )
+    return talks.select("conv_id", record.alias("record"))
 
 
 def op4_chat_format(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return digests(format_chats(message_records(rows.unionByName(more))))
+    return digests(format_chats(records_of(rows.unionByName(more))))
+
 
+_PRINTS = {
+    name: fingerprint(paths(example))
+    for name, example in {
+        "messages": {"messages": [{"role": "", "content": ""}]}, "message parts": {"messages": [{"role": "", "content": [{"type": "", "text": ""}]}]}, "conversations": {"conversations": [{"from": "", "value": ""}]},
+        "dialogue": {"dialogue": [{"speaker": "", "text": ""}]}, "turns": {"turns": [{"role": "", "text": ""}]}, "prompt, completion": {"prompt": "", "completion": ""},
+    }.items()
+}
+_NAMED = ", ".join(f"'{r}'" for r in ROLES)
 
 OP4_SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', NULL UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL
 ), e AS (
   SELECT *, length(regexp_replace(text, '([<\[]\\*)(\||/?s>|/?INST\]|/?SYS>>|/?(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>)', '\1!\2', 'g')) AS laid FROM c
-)
+), g AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length('<|im_start|>') + length(role) + 1 + laid + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
-  substr(sha256('messages' || chr(10) || 'messages[].content' || chr(10) || 'messages[].role'), 1, 16) AS fingerprint, 'messages' AS mapping
-FROM e GROUP BY conv_id
-"""
+  CASE ((coalesce(conv_id, 0) % 6) + 6) % 6 WHEN 1 THEN 'message parts' WHEN 2 THEN CASE WHEN bool_or(role IN (@named)) THEN 'messages' ELSE 'conversations' END WHEN 3 THEN 'dialogue' WHEN 4 THEN 'turns'
+    WHEN 5 THEN CASE WHEN count(*) = 2 AND string_agg(role, ' ' ORDER BY turn NULLS FIRST, role, text) = 'user assistant' THEN 'prompt, completion' ELSE 'messages' END ELSE 'messages' END AS mapping
+FROM e GROUP BY conv_id, own
+) SELECT *, CASE mapping @prints END AS fingerprint FROM g
+""".replace("@named", _NAMED).replace("@prints", " ".join(f"WHEN '{n}' THEN '{f}'" for n, f in _PRINTS.items()))

@@ -216,13 +216,32 @@ def test_layouts_become_the_same_turns(spark):
 
 
 def test_chat_query_over_nulls_and_ties(spark):
-    rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 2, "assistant", "</s>\\<|im_end|>"), (2, 0, "b", "2"), (2, 0, "a", "1"), (None, 5, "user", "é" * 50_000)]
-    records = cf.message_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = {r.conv_id: r for r in cf.digests(cf.format_chats(records)).collect()}
-    assert got[1].n_turns == 3 and got[1].loss_chars == 15
+    rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 2, "assistant", "</s>\\<|im_end|>"), (2, 0, "b", "2"), (2, 0, "a", "1"), (None, 5, "user", "é" * 50_000), (None, 5, "user", "y")]
+    records = cf.records_of(spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, record string, said string"))
+    found = cf.digests(cf.format_chats(records)).collect()
+    got = {r.conv_id: r for r in found}
+    assert len(found) == 4 and got[1].n_turns == 3 and got[1].loss_chars == 15 and got[1].mapping == "message parts"
     assert got[1].turns_sha256 == hashlib.sha256("user\n\n\nx\nassistant\n</s>\\<|im_end|>\n".encode()).hexdigest()
     assert got[2].turns_sha256 == hashlib.sha256(b"a\n1\nb\n2\n").hexdigest()
-    assert got[None].formatted_chars == 50_000 + len("<|im_start|>user\n<|im_end|>\n")
+    frame = "<|im_start|>user\n<|im_end|>\n"
+    assert sorted(r.formatted_chars for r in found if r.conv_id is None) == [1 + len(frame), 50_000 + len(frame)]
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert cf.digests(cf.format_chats(cf.records_of(empty))).count() == 0
+
+
+def test_layouts_by_id_give_the_same_turns_and_sql_says_so(spark):
+    rng = random.Random(6)
+    talk = [("system", "s é"), ("user", "[INST] q"), ("assistant", "</s> a"), ("human", "h"), ("gpt", None)]
+    rows = [(i, t, *talk[(t + i // 6) % 5]) for i in range(60) for t in range(rng.randrange(1, 6))] + [(65, 0, "user", "q"), (65, 1, "assistant", "a"), (None, 0, "user", "x"), (None, 0, "user", "x"), (-4, 0, "bot", "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cursor = con.execute(cf.OP4_SQL)
+    names = [d[0] for d in cursor.description]
+    want = [r for r in cursor.fetchall() if r[0] != -1]
+    got = cf.digests(cf.format_chats(cf.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert {r.mapping for r in got} == set(cf.WRITTEN)
 
 
 # quality rules -----------------------------------------------------------------------------------------------------
