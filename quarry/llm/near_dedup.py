@@ -300,7 +300,11 @@ def block_links(nodes: list[bytes], classes: list[bytes], left: np.ndarray, righ
 
 def linked_in_blocks(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The links (a, b), stored, that buckets (key, node) hold beyond what ``classes`` (node, component) knows."""
-    placed = stored(members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    # Bands often hold the same nodes: of buckets with equal members, by number and two sums of hashes, one is looked at.
+    same = [F.count(F.lit(1)), *[F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2)]]
+    signed = members.groupBy("key").agg(*[c.alias(f"s{i}") for i, c in enumerate(same)])
+    distinct = signed.groupBy("s0", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    placed = stored(members.join(distinct, "key").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = stored(
         shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")

@@ -2,14 +2,16 @@
 
 A logistic regression on counts of the whole text gives each document's evidence, a log-odds against the global prior. It is fitted
 by Newton's method in numpy on at most ``sample`` labelled rows, taken in hash order of their ids. Evidence is summed over all
-documents for each (host, path) in one grouped aggregation with map-side combine. Moments of the hosts' means give the strength of the
-global prior, moments of the paths' means that of the host's, so a sparse path is drawn to its host and a sparse host to
-the corpus:
+documents for each (host, path) in one grouped aggregation with map-side combine. The variance between hosts, less what sampling within them
+explains, gives the strength M of the global prior, the variance between a host's paths, likewise, that of the host's, K (both as within / between
+variance, in documents), so a sparse path is drawn to its host and a sparse host to the corpus:
 
     host = (sum_host + M * global) / (n_host + M)        path = (sum_path + K * host) / (n_path + K)
     log-odds = evidence + logit(path) - logit(global)
 
-A document is kept if that is 0 or more. For ``documents``, the host is ``source`` and the path below it ``lang``.
+A document is kept if that is 0 or more. Host and path come from a URL column (``url_col``: its host and first path segment) or from two columns. The
+table ``documents`` has no URLs, so there ``source`` stands for the host and ``lang`` for the path below it: a limitation of that table. Texts are
+read once for their evidence, which is stored.
 
 Defined results: a null text counts as empty; null host or path counts as the site ""; null or repeated ids are judged
 row by row; unlabelled tables (no usable row of both classes) give evidence 0, so everything is kept; an empty table gives
@@ -26,6 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.llm import textscan as ts
 from quarry.llm.common import broadcast_if_small, stored
+from quarry.llm.url_filter import host_of, path_of
 
 SAMPLE = 20_000
 RIDGE = 1.0
@@ -127,62 +130,79 @@ def evidence(rows: DataFrame, model, text_field: str = "text") -> DataFrame:
     return rows.mapInArrow(scan, schema)
 
 
+def prior_weight(n: float, groups: float, within: float, between: float, spread: tuple[float, float]) -> float:
+    """Within over between variance of nested groups, from 0.01 to 1,000,000 documents.
+
+    ``within``: squares around the groups' means, with ``n`` - ``groups`` degrees of freedom. ``between``: squares of the groups' means around their
+    parents'. ``spread``: its degrees of freedom, so that sampling's share can be taken off, and how often it then holds the variance between.
+    """
+    if n <= groups:
+        return 1e6
+    noise = within / (n - groups)
+    signal = (between - spread[0] * noise) / spread[1] if spread[1] > 0 else 0.0
+    return float(min(max(noise / signal, 0.01), 1e6)) if signal > 0 else 1e6
+
+
 def sites(scored: DataFrame) -> tuple[DataFrame, float]:
     """((host, path, prior), global mean) from all documents' evidence; ``prior`` is the path's posterior mean."""
-    path = stored(
-        scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / (1 + F.exp(-F.col("evidence")))).alias("good")), "sites"
+    good = 1 / (1 + F.exp(-F.col("evidence")))
+    path = stored(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("good"), F.sum(good * good).alias("squares")), "sites")
+    host = stored(
+        path.groupBy("host").agg(
+            F.sum("n").alias("n_host"), F.sum("good").alias("good_host"), F.sum("squares").alias("squares_host"), F.count(F.lit(1)).alias("paths"), F.sum(F.col("n") * F.col("n")).alias("n2")
+        ),
+        "hosts",
     )
-    host = path.groupBy("host").agg(F.sum("n").alias("n_host"), F.sum("good").alias("good_host"))
-    total = host.agg(F.sum("n_host").alias("n"), F.sum("good_host").alias("good")).first()
-    if not total["n"]:
+    by_host = host.agg(
+        F.sum("n_host").alias("n"), F.sum("good_host").alias("good"), F.count(F.lit(1)).alias("hosts"), F.sum("paths").alias("paths"), F.sum(F.col("n_host") * F.col("n_host")).alias("n2"),
+        F.sum(F.col("squares_host") - F.pow("good_host", F.lit(2)) / F.col("n_host")).alias("within"), F.sum(F.pow("good_host", F.lit(2)) / F.col("n_host")).alias("means2"), F.sum(F.col("n2") / F.col("n_host")).alias("n2_host"),
+    ).first()
+    n = by_host["n"]
+    if not n:
         return path.select("host", "path", F.lit(0.5).alias("prior")), 0.5
-    mean = min(max(total["good"] / total["n"], 1e-6), 1 - 1e-6)
-
-    def strength(n, gap) -> float:
-        """mean (1 - mean) / variance - 1, the Beta prior's weight in documents, from 1 to 10,000."""
-        variance = (n[gap] / n["n"]) if n["n"] else 0.0
-        return float(min(max(mean * (1 - mean) / max(variance, 1e-9) - 1, 1.0), 1e4))
-
-    by_host = host.agg(F.sum("n_host").alias("n"), F.sum(F.col("n_host") * F.pow(F.col("good_host") / F.col("n_host") - mean, 2)).alias("gap")).first()
-    m = strength(by_host, "gap")
-    joined = path.join(host, "host").withColumn("host_mean", (F.col("good_host") + m * mean) / (F.col("n_host") + m))
-    joined = stored(joined, "site-means")
-    by_path = joined.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("host_mean"), 2)).alias("gap")).first()
-    k = strength(by_path, "gap")
+    mean = min(max(by_host["good"] / n, 1e-6), 1 - 1e-6)
+    by_path = path.agg(F.sum(F.col("squares") - F.pow("good", F.lit(2)) / F.col("n")).alias("within"), F.sum(F.pow("good", F.lit(2)) / F.col("n")).alias("means2")).first()
+    m = prior_weight(n, by_host["hosts"], by_host["within"], by_host["means2"] - by_host["good"] ** 2 / n, (by_host["hosts"] - 1, n - by_host["n2"] / n))
+    k = prior_weight(n, by_host["paths"], by_path["within"], by_path["means2"] - by_host["means2"], (by_host["paths"] - by_host["hosts"], n - by_host["n2_host"]))
+    joined = path.join(host.select("host", ((F.col("good_host") + m * mean) / (F.col("n_host") + m)).alias("host_mean")), "host")
     return joined.select("host", "path", ((F.col("good") + k * F.col("host_mean")) / (F.col("n") + k)).alias("prior")), mean
 
 
-def judged(docs: DataFrame, model, host_col: str = "source", path_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(row, host, path, evidence, prior, log_odds) for each row of ``docs``, which lies whole in ``row``."""
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
-        F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"),
-    )
-    slim = rows.select(F.struct(F.col("row")[text_col].alias(text_col)).alias("row"), "host", "path")
-    priors, mean = sites(evidence(slim, model, text_col).select("host", "path", "evidence"))
+def site_columns(host_col: str, path_col: str, url_col: str | None):
+    """(host, path) of a row."""
+    if url_col:
+        return host_of(F.col(url_col)), F.regexp_extract(path_of(F.col(url_col)), r"^/[^/]*", 0)
+    return F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.coalesce(F.col(path_col).cast("string"), F.lit(""))
+
+
+def with_log_odds(scored: DataFrame) -> DataFrame:
+    """``scored`` (host, path, evidence, ...), a stored table, with prior and log_odds."""
+    priors, mean = sites(scored)
     logit = lambda p: F.log(p / (1 - p))
     prior = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("prior")))
-    return (
-        evidence(rows, model, text_col)
-        .join(broadcast_if_small(stored(priors, "priors")), ["host", "path"])
-        .withColumn("log_odds", F.col("evidence") + logit(prior) - logit(F.lit(mean)))
-    )
+    return scored.join(broadcast_if_small(stored(priors, "priors")), ["host", "path"]).withColumn("log_odds", F.col("evidence") + logit(prior) - logit(F.lit(mean)))
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host_col: str = "source", path_col: str = "lang", where=None) -> DataFrame:
+def quality(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host_col: str = "source", path_col: str = "lang", url_col: str | None = None, where=None
+) -> DataFrame:
     """(doc_id, host, path, evidence, prior, score, kept), a row for each row of ``docs``."""
-    slim = docs.select("doc_id", "text", host_col, path_col)
-    return judged(slim, train(slim, labels, sample, where=where), host_col, path_col).select(
-        F.col("row.doc_id").alias("doc_id"), "host", "path", "evidence", "prior",
-        (1 / (1 + F.exp(-F.col("log_odds")))).alias("score"), (F.col("log_odds") >= 0).alias("kept"),
+    host, path = site_columns(host_col, path_col, url_col)
+    rows = docs.select(F.struct("doc_id", "text").alias("row"), host.alias("host"), path.alias("path"))
+    scored = stored(evidence(rows, train(docs.select("doc_id", "text"), labels, sample, where=where)).select(F.col("row.doc_id").alias("doc_id"), "host", "path", "evidence"), "evidence")
+    return with_log_odds(scored).select(
+        "doc_id", "host", "path", "evidence", "prior", (1 / (1 + F.exp(-F.col("log_odds")))).alias("score"), (F.col("log_odds") >= 0).alias("kept")
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host_col: str = "source", path_col: str = "lang") -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, host_col: str = "source", path_col: str = "lang", url_col: str | None = None
+) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    slim = docs.select("doc_id", "text")
-    return judged(docs, train(slim, labels, sample), host_col, path_col).where("log_odds >= 0").select("row.*")
+    host, path = site_columns(host_col, path_col, url_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), host.alias("host"), path.alias("path"))
+    scored = stored(evidence(rows, train(docs.select("doc_id", "text"), labels, sample)), "evidence")
+    return with_log_odds(scored).where("log_odds >= 0").select("row.*")
 
 
 def op1_quality_classifier(spark, sf_dir):

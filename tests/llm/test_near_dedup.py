@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import near_dedup as nd
@@ -77,6 +78,33 @@ def test_short_texts_at_the_threshold(spark):
     assert {r.doc_id: r.class_id for r in rows} == {i: i - i % 2 if i < 600 else i for i in range(len(texts))}
 
 
+@pytest.mark.parametrize(("low", "high", "least"), [(0.80, 0.82, 0.97), (0.85, 0.9, 0.995)])
+def test_recall_of_planted_pairs(low, high, least):
+    """The share of pairs of long texts, by similarity, that meet in a band."""
+    rng = random.Random(int(high * 100))
+    found = []
+    while len(found) < 400:
+        base = [f"w{rng.randrange(5_000)}" for _ in range(rng.randrange(120, 400))]
+        copy = base[:]
+        for _ in range(rng.randrange(1, max(2, len(base) // 30))):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(5_000)}"
+        a, b = (set(zip(*[w[i:] for i in range(5)])) for w in (base, copy))
+        if low <= len(a & b) / len(a | b) < high:
+            _, _, keys, _ = nd.sketch(pa.array([" ".join(base), " ".join(copy)]))
+            found.append(bool((keys[0] == keys[1]).any()))
+    assert np.mean(found) >= least
+
+
+def test_open_bucket_of_many_classes(spark):
+    rng = random.Random(2)
+    shared = [f"s{i}" for i in range(400)]
+    texts = [" ".join(shared + [f"own{i}.{j}" for j in range(160)]) for i in range(40)]
+    texts += [t + f" end{i}" for i, t in enumerate(texts[:10])]
+    rng.shuffle(texts)
+    rows = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute(texts)
+
+
 def test_nulls_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g"), (5, "a b c d e f g"), (5, "a b c d e f g"), (7, None)], "doc_id long, text string")
     got = sorted(map(tuple, nd.near_classes(docs).collect()), key=str)

@@ -4,6 +4,8 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.llm import quality_classifier as qc
@@ -29,21 +31,25 @@ def rows_of(rng):
 
 def site_priors(rows):
     """{(host, path): posterior mean} and the global mean, from (host, path, evidence)."""
-    path = defaultdict(lambda: [0, 0.0])
+    path, host, all_ = defaultdict(list), defaultdict(list), []
     for h, p, e in rows:
-        path[h, p][0] += 1
-        path[h, p][1] += 1 / (1 + math.exp(-e))
-    host = defaultdict(lambda: [0, 0.0])
-    for (h, _), (n, s) in path.items():
-        host[h][0] += n
-        host[h][1] += s
-    total = sum(n for n, _ in host.values())
-    mean = sum(s for _, s in host.values()) / total
-    strength = lambda gap: min(max(mean * (1 - mean) / max(gap / total, 1e-9) - 1, 1), 1e4)
-    m = strength(sum(n * (s / n - mean) ** 2 for n, s in host.values()))
-    of_host = {h: (s + m * mean) / (n + m) for h, (n, s) in host.items()}
-    k = strength(sum(n * (s / n - of_host[h]) ** 2 for (h, _), (n, s) in path.items()))
-    return {(h, p): (s + k * of_host[h]) / (n + k) for (h, p), (n, s) in path.items()}, mean
+        for group in (path[h, p], host[h], all_):
+            group.append(1 / (1 + math.exp(-e)))
+    average = lambda v: sum(v) / len(v)
+    mean, n = average(all_), len(all_)
+
+    def weight(groups, parent_mean, freedom, spread):
+        if n <= len(groups):
+            return 1e6
+        noise = sum((v - average(g)) ** 2 for g in groups.values() for v in g) / (n - len(groups))
+        between = sum(len(g) * (average(g) - parent_mean(k)) ** 2 for k, g in groups.items())
+        signal = (between - freedom * noise) / spread if spread > 0 else 0
+        return min(max(noise / signal, 0.01), 1e6) if signal > 0 else 1e6
+
+    m = weight(host, lambda _: mean, len(host) - 1, n - sum(len(g) ** 2 for g in host.values()) / n)
+    k = weight(path, lambda key: average(host[key[0]]), len(path) - len(host), n - sum(len(g) ** 2 / len(host[key[0]]) for key, g in path.items()))
+    of_host = {h: (sum(g) + m * mean) / (len(g) + m) for h, g in host.items()}
+    return {(h, p): (sum(g) + k * of_host[h]) / (len(g) + k) for (h, p), g in path.items()}, mean
 
 
 def test_posteriors_equal_plain_python(spark):
@@ -66,6 +72,43 @@ def test_posteriors_equal_plain_python(spark):
     assert abs(priors["sparse", ""] - mean) < abs(own - mean)
 
 
+def plain_features(text):
+    """The figures of one text, from its words and lines."""
+    data = (text or "").encode()
+    words, lines = data.split(), [x for x in data.split(b"\n") if x]
+    letters, size = sum(chr(c).isalpha() for c in data if c < 128) + 1, len(data) + 1
+    upper = sum(65 <= c <= 90 for c in data)
+    share = lambda chars: math.sqrt(sum(c in chars for c in data) / size)
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    again = lambda items: sum(v in items[:i] for i, v in enumerate(items))
+    per = lambda n: n / (len(words) + 1)
+    return [
+        math.log1p(len(words)), math.log1p(len(lines)), math.log1p(len(words) / (len(lines) + 1)), per(sum(map(len, words))) / 10, upper / letters,
+        share(b"#*$%&|<>=_~^{}[]\\@+"), share(b"!?"), share(b".,;:"), share(b"0123456789"), per(again(words)), per(sum(a == b for a, b in zip(words, words[1:]))),
+        per(again(triples)), again(lines) / (len(lines) + 1), per(sum(len(w) == 1 for w in words)),
+    ]
+
+
+def test_features_equal_plain_python():
+    rng = random.Random(8)
+    texts = [None, "", " \n\n", "a", "Ab ab AB\nab ab ab\nAb ab AB", good(rng), junk(rng), "é ü! x x x y x x x?\r\n#1 {2}", "w " * 500]
+    got = qc.features(pa.array(texts, pa.string()))
+    assert np.allclose(got, [plain_features(t) for t in texts])
+
+
+def test_sites_of_urls(spark):
+    rng = random.Random(9)
+    rows, labels = rows_of(rng)
+    docs = spark.createDataFrame([(r[0], r[1], f"http://{r[2]}.Test/{r[3]}/p?q" if r[0] != 7 else None) for r in rows], "doc_id long, text string, url string")
+    got = qc.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int"), url_col="url").collect()
+    assert {(r.host, r.path) for r in got} == {(f"{h}.test", f"/{p}") for h in "abc" for p in ("en", "de")} | {("", ""), ("none.test", "/None"), ("sparse.test", "/None")}
+
+
+def test_sampling_noise_is_no_variance_between_sites():
+    assert qc.prior_weight(1000, 500, 50.0, 50.5, (499, 998.0)) > 100
+    assert qc.prior_weight(1000, 2, 50.0, 100.0, (1, 500.0)) < 1
+
+
 def test_without_labels_and_empty(spark):
     rows, _ = rows_of(random.Random(4))
     docs, none = spark.createDataFrame(rows, CLASH), spark.createDataFrame([], "doc_id long, quality int")

@@ -24,6 +24,35 @@ def test_edges_and_case_do_not_matter():
     assert (lexicon(["Word, ('word') WORD!!"]).sequence == 0).all()
 
 
+def test_forward_equals_a_plain_loop():
+    lex = lexicon(["one two three four", "five"])
+    model = tx.start_model(4)
+    windows, _ = lex.windows()
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    inputs = lex.inputs(model).astype(float)
+    h_size = tx.HIDDEN
+
+    def run(words, direction):
+        h, out = np.zeros(h_size), []
+        for w in words:
+            x = inputs[w] @ model["in"][direction] + model["bias"][direction][0]
+            gates = sigmoid(x[: 2 * h_size] + h @ model["gates"][direction])
+            z, r = gates[:h_size], gates[h_size:]
+            h = z * h + (1 - z) * np.tanh(x[2 * h_size :] + r * (h @ model["new"][direction]))
+            out.append(h)
+        return out
+
+    want = []
+    for window in windows:
+        words = [w for w in window if w >= 0]
+        seen = [np.concatenate([a, b]) for a, b in zip(run(words, 0), run(words[::-1], 1)[::-1], strict=True)]
+        energy = np.array([np.tanh(s @ model["look"]) @ model["weigh"] for s in seen])
+        weight = np.exp(energy - energy.max())
+        pooled = sum(w * s for w, s in zip(weight / weight.sum(), seen, strict=True))
+        want.append(pooled @ model["out"] + model["shift"][0])
+    assert np.allclose(tx.forward(model, tx.project(model, lex.inputs(model)), windows), want, atol=1e-5)
+
+
 def test_gradients_equal_finite_differences():
     rng = np.random.default_rng(1)
     lex = lexicon(["one two three four five six", "seven eight"])
