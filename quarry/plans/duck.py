@@ -49,7 +49,7 @@ CORPUS = f"""corpus AS (
 )"""
 
 QUESTIONS = """questions AS (
-  SELECT item_id AS query_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 6), ' ') AS query FROM benchmark
+  SELECT item_id AS query_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS query FROM benchmark
 )"""
 
 FEATURES = f"""{CORPUS}, {QUESTIONS}, f AS (

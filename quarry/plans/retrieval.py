@@ -12,15 +12,15 @@ from quarry.operators import retrieval as R
 from quarry.plans import duck as D
 from quarry.sources import adapters as A
 
-# Procedures that a question may name (order, id, title, keywords) with summaries left to the catalogue's owner.
+#: Invented procedures of a student office: order, id, title, keywords.
 PROCEDURES = (
-    (1, "bao_luu", "Thủ tục xin bảo lưu học tập", ["bảo lưu", "tạm ngừng học"]),
-    (2, "xac_nhan_sinh_vien", "Thủ tục xin giấy xác nhận sinh viên", ["xác nhận sinh viên", "giấy xác nhận", "vay vốn"]),
-    (3, "mien_giam_hoc_phi", "Thủ tục xin miễn giảm học phí", ["miễn giảm học phí", "hỗ trợ học phí", "học phí ưu tiên"]),
-    (4, "rut_hoc_phan", "Thủ tục xin rút học phần", ["rút học phần", "hủy môn", "rút môn học"]),
-    (5, "hoc_lai_cai_thien", "Thủ tục đăng ký học lại hoặc cải thiện điểm", ["học lại", "cải thiện điểm", "đăng ký học lại"]),
-    (6, "dang_ky_thuc_tap", "Thủ tục đăng ký thực tập", ["đăng ký thực tập", "thực tập", "đơn thực tập"]),
-    (7, "hoan_nghia_vu_hoc_tap", "Thủ tục xin hoãn nghĩa vụ học tập", ["hoãn nghĩa vụ học tập", "gia hạn học tập", "hoãn nghĩa vụ"]),
+    (1, "doi_phong", "Quy trình đổi phòng ký túc xá", ["đổi phòng", "chuyển phòng ký túc"]),
+    (2, "muon_sach", "Quy trình mượn sách liên thư viện", ["mượn sách", "thư viện", "phiếu mượn"]),
+    (3, "cap_the", "Quy trình cấp lại thẻ gửi xe", ["cấp lại thẻ", "thẻ gửi xe", "mất thẻ"]),
+    (4, "doi_nhom", "Quy trình đổi nhóm thực hành", ["đổi nhóm", "nhóm thực hành"]),
+    (5, "dat_phong_hoc", "Quy trình đặt phòng tự học", ["đặt phòng", "phòng tự học"]),
+    (6, "mo_tai_khoan", "Quy trình mở tài khoản máy chủ", ["tài khoản máy chủ", "mở tài khoản"]),
+    (7, "hoan_thi", "Quy trình dời buổi kiểm tra", ["dời buổi kiểm tra", "kiểm tra bù"]),
 )
 
 
@@ -39,22 +39,19 @@ def lexical_excerpts(spark, sf_dir):
 KINDS = ("table_row", "chunk", "course_record", "faq")
 
 
-def _profiled(spark, sf_dir):
+def lexical_scores_profiled(spark, sf_dir):
+    """Entries take kinds and tags by id; questions get tuition words in front, some a track."""
     corpus = A.corpus(spark, sf_dir)
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("id") % 4 + 1).cast("int"))
     tags = F.when(F.col("id") % 3 == 0, F.array(F.lit("chinh_quy"))).when(F.col("id") % 3 == 1, F.array(F.lit("cao_hoc"), F.lit("chinh_quy"))).otherwise(F.array().cast("array<string>"))
     corpus = corpus.withColumns({"source_kind": kind, "tags": tags, "basis": F.when(F.col("id") % 2 == 0, F.array(F.lit("per_credit"))).otherwise(F.array(F.lit("full_program")))})
     asked = A.question_set(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("học phí tín chỉ "), F.col("query"))).when(F.col("query_id") % 5 == 1, F.concat(F.lit("mức thu cao học "), F.col("query"))).otherwise(F.col("query")))
-    return R.profiled(R.lexical_pairs(corpus, asked))
-
-
-def lexical_scores_profiled(spark, sf_dir):
-    return R.top_k(_profiled(spark, sf_dir), 3, "id").select("query_id", "rank", "id", "score")
+    return R.profiled_top_k(R.corpus_features(corpus), asked, 3)
 
 
 _PROFILED_SQL = (
     "WITH " + D.FEATURES.replace("lang AS category, source AS source_kind", "lang AS category, ['table_row', 'chunk', 'course_record', 'faq'][doc_id % 4 + 1] AS source_kind").replace(
-        ", ' ') AS query FROM benchmark", ", ' ') AS query0 FROM benchmark"
+        "AS query FROM benchmark", "AS query0 FROM benchmark"
     ).replace("questions AS (\n  SELECT item_id", "questions AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'học phí tín chỉ ' || query0 WHEN query_id % 5 = 1 THEN 'mức thu cao học ' || query0 ELSE query0 END AS query FROM (\n  SELECT item_id").replace("FROM benchmark\n)", "FROM benchmark)\n)")
     + f""", p AS (
   SELECT *, CASE id % 3 WHEN 0 THEN ['chinh_quy'] WHEN 1 THEN ['cao_hoc', 'chinh_quy'] ELSE list_filter([{", ".join(f"CASE WHEN {D.any_of('blob', w)} THEN '{n}' END" for n, w in R.TRACKS)}], lambda x: x IS NOT NULL) END AS tags,
@@ -73,12 +70,13 @@ _PROFILED_SQL = (
       + CASE WHEN len(asked_tracks) > 0 THEN CASE WHEN list_has_any(tags, asked_tracks) THEN 24 - 6 * conflicts WHEN source_kind = 'table_row' THEN -18 ELSE 0 END
         ELSE CASE WHEN list_contains(tags, 'chinh_quy') AND odd = 0 THEN 26 WHEN list_contains(tags, 'chinh_quy') THEN 10 ELSE 0 END - 14 * odd END
       ELSE 0 END)::BIGINT AS score FROM allowed
-) SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bonus) WHERE rank <= 3"""
+) SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bonus WHERE score > 0) WHERE rank <= 3"""
 )
 
 
 def _queries_of_vectors(vectors):
-    return vectors.where("vec_id < 10")
+    """The stated query set of a vector search: every vector whose id 100 divides."""
+    return vectors.where("vec_id % 100 = 0")
 
 
 def cosine_topk(spark, sf_dir):
@@ -88,26 +86,32 @@ def cosine_topk(spark, sf_dir):
 
 def cosine_topk_filtered(spark, sf_dir):
     vectors = A.table(spark, sf_dir, "embeddings")
-    return _rounded(R.cosine_top_k(vectors, _queries_of_vectors(vectors), same="label"), "similarity")
+    asked = _queries_of_vectors(vectors).withColumn("label", F.when(F.col("vec_id") % 300 != 0, F.col("label")))  # some ask without a label
+    return _rounded(R.cosine_top_k(vectors, asked, same="label"), "similarity")
 
 
 _COSINE = """
-WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, a.label AS q_label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND a.vec_id <> b.vec_id {same})
+WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, a.label AS q_label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id {same})
 SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 
+def _near_questions(spark, sf_dir, k):
+    """(query_id, id, similarity): question j takes vector j, entry i vector i; the ``k`` nearest entries that have vectors."""
+    vectors, asked = A.table(spark, sf_dir, "embeddings"), A.question_set(spark, sf_dir).select(F.col("query_id").alias("vec_id"))
+    entries = vectors.join(A.corpus(spark, sf_dir).select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    near = R.cosine_top_k(entries, vectors.join(F.broadcast(asked), "vec_id", "left_semi"), k, itself=True)
+    return near.select("query_id", F.col("vec_id").alias("id"), F.round("similarity", 6).alias("similarity"))
+
+
 def hybrid_topk(spark, sf_dir):
-    """Entry i and question j take the vectors with their numbers, so every pair has a similarity where both vectors exist."""
-    pairs = R.lexical_pairs(A.corpus(spark, sf_dir), A.question_set(spark, sf_dir)).select("query_id", "id", "score")
-    vectors = R.with_norms(A.table(spark, sf_dir, "embeddings"))
-    asked = vectors.join(A.question_set(spark, sf_dir).select("query_id"), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    near = vectors.crossJoin(R.query_set(asked)).select("query_id", F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), F.col("qe"), F.col("norm"), F.col("qn")), 6).alias("similarity"))
-    return R.hybrid_top_k(pairs, near)
+    """The twelve nearest entries bring 60 times their similarity."""
+    lexical = R.lexical_points(R.corpus_features(A.corpus(spark, sf_dir)), A.question_set(spark, sf_dir))
+    return R.hybrid_top_k(lexical, _near_questions(spark, sf_dir, 12))
 
 
 _HYBRID_SQL = "WITH " + D.FEATURES + """, near AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT query_id FROM questions)
-), top AS (SELECT query_id, id, greatest(similarity, 0) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM near) WHERE r <= 12
+  SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT query_id FROM questions) AND b.vec_id IN (SELECT id FROM corpus)
+), top AS (SELECT query_id, id, greatest(round(similarity, 6), 0) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM near) WHERE r <= 12
 ), c AS (SELECT query_id, id, round_even(score + 60.0 * coalesce(similarity, 0), 0)::BIGINT AS score, score + 60.0 * coalesce(similarity, 0) AS combined FROM scored LEFT JOIN top USING (query_id, id))
 SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c WHERE combined > 0) WHERE rank <= 3"""
 
@@ -118,9 +122,15 @@ def _lectures(spark, sf_dir):
 
 
 def lecture_score(spark, sf_dir):
-    pairs = _lectures(spark, sf_dir).crossJoin(R.query_set(A.question_set(spark, sf_dir)))
-    scored = pairs.withColumn("score", R.lecture_score(F.col("query"), F.col("content"), F.col("subject"), F.col("chapter"), F.col("style")))
-    return R.top_k(scored.select("query_id", "id", "score"), 4, "id").select("query_id", "rank", "id", "score")
+    return R.lecture_top_k(_lectures(spark, sf_dir), A.question_set(spark, sf_dir))
+
+
+def lecture_hybrid(spark, sf_dir):
+    """Lecture search with vectors: every chunk that has one brings 50 times its similarity."""
+    vectors = A.table(spark, sf_dir, "embeddings")
+    near = _near_questions(spark, sf_dir, max(vectors.count(), 1))
+    scored = R.lecture_top_k(_lectures(spark, sf_dir), A.question_set(spark, sf_dir), near=near)
+    return scored.withColumn("score", F.round("score", 5))
 
 
 def _style_sql(x):
@@ -138,12 +148,19 @@ _LECTURE_SQL = _LECTURE + """, s AS (
 SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 4"""
 
 
+_LECTURE_HYBRID_SQL = _LECTURE + """, s AS (
+  SELECT query_id, id, (CASE WHEN contains(q, lower(subject)) THEN 10 ELSE 0 END + CASE WHEN contains(q, lower(chapter)) THEN 8 ELSE 0 END + 2 * len(list_intersect(q_words, words))
+    + CASE WHEN len(list_filter(string_split(lower(style), ' → '), lambda x: contains(q, x))) > 0 THEN 5 ELSE 0 END)::DOUBLE AS score FROM w, q
+), near AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b
+), t AS (SELECT query_id, id, score + 50.0 * coalesce(similarity, 0) AS score FROM s LEFT JOIN near USING (query_id, id))
+SELECT query_id, rank, id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM t) WHERE rank <= 4"""
+
+
 def lecture_lexical(spark, sf_dir):
     """Lexical lecture search with the soft chapter filter: the chapter "src1" where any of its chunks scores, else all."""
-    pairs = _lectures(spark, sf_dir).crossJoin(R.query_set(A.question_set(spark, sf_dir)))
-    scored = pairs.withColumn("score", R.lecture_lexical_score(F.col("query"), F.col("content"), F.col("style")))
-    kept = R.soft_filter(scored.select("query_id", "id", "score", "chapter"), F.contains(F.lower("chapter"), F.lit("src1")) & (F.col("score") > 10))
-    return R.top_k(kept, 4, "id").select("query_id", "rank", "id", "score", (F.col("score") >= 60).alias("confident"))
+    scored = R.lecture_lexical(_lectures(spark, sf_dir), A.question_set(spark, sf_dir))
+    kept = R.soft_top_k(scored, F.contains(F.lower("chapter"), F.lit("src1")) & (F.col("score") > 10), 4, "id")
+    return kept.select("query_id", "rank", "id", "score", (F.col("score") >= 60).alias("confident"))
 
 
 _LECTURE_LEXICAL_SQL = _LECTURE + """, s AS (
@@ -153,18 +170,25 @@ _LECTURE_LEXICAL_SQL = _LECTURE + """, s AS (
 SELECT query_id, rank, id, score, score >= 60 AS confident FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k WHERE hit OR NOT any_hit) WHERE rank <= 4"""
 
 
+STYLES_ASKED = ("bài tập", "ví dụ")
+
+
 def lecture_by_style(spark, sf_dir):
-    """Of each subject the four chunks that fit the style "exercise" best."""
-    style = "bài tập"
-    rows = _lectures(spark, sf_dir).where(F.contains("style", F.lit(style)) | F.contains(F.lower("content"), F.lit("theorem")) | (F.length("content") > 500))
-    score = F.when(F.contains("style", F.lit(style)), 20).otherwise(0) + F.when(F.contains(F.lower("content"), F.lit("theorem")), 10).otherwise(0) + F.when(F.length("content") > 500, 5).otherwise(0)
-    return R.top_k(rows.withColumn("score", score), 4, "id", by="subject").select("subject", "rank", "id", "score")
+    """Of each subject and asked style the four chunks that fit best: the style in the hint 20 points, in the content 10, over 500 characters 5."""
+    asked = spark.createDataFrame([(s,) for s in STYLES_ASKED], "asked string")
+    rows = _lectures(spark, sf_dir).withColumn("content", F.when(F.col("id") % 7 == 0, F.concat(F.lit("Ví dụ: "), F.col("content"))).when(F.col("id") % 5 == 0, F.concat(F.lit("exercise "), F.col("content"))).otherwise(F.col("content")))
+    rows = rows.withColumn("style", T.style_hint(F.col("content"))).crossJoin(F.broadcast(asked))
+    hinted, said = F.contains("style", F.col("asked")), F.contains(F.lower("content"), F.col("asked"))
+    score = F.when(hinted, 20).otherwise(0) + F.when(said, 10).otherwise(0) + F.when(F.length("content") > 500, 5).otherwise(0)
+    scored = rows.where(hinted | said).select("subject", "asked", "id", score.alias("score")).withColumn("by", F.struct("subject", "asked"))
+    return R.top_k(scored, 4, "id", by="by").select("subject", "asked", "rank", "id", "score")
 
 
-_BY_STYLE_SQL = f"""WITH {D.CORPUS}, l AS (SELECT id, content, category AS subject, {_style_sql('content')} AS style FROM corpus), s AS (
-  SELECT subject, id, CASE WHEN contains(style, 'bài tập') THEN 20 ELSE 0 END + CASE WHEN contains(lower(content), 'theorem') THEN 10 ELSE 0 END + CASE WHEN length(content) > 500 THEN 5 ELSE 0 END AS score FROM l
-  WHERE contains(style, 'bài tập') OR contains(lower(content), 'theorem') OR length(content) > 500)
-SELECT subject, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 4"""
+_BY_STYLE_SQL = f"""WITH l AS (SELECT doc_id AS id, lang AS subject, CASE WHEN doc_id % 7 = 0 THEN 'Ví dụ: ' || text WHEN doc_id % 5 = 0 THEN 'exercise ' || text ELSE text END AS content FROM documents
+), h AS (SELECT *, {_style_sql('content')} AS style FROM l), a AS (SELECT unnest([{D.words(STYLES_ASKED)}]) AS asked), s AS (
+  SELECT subject, asked, id, CASE WHEN contains(style, asked) THEN 20 ELSE 0 END + CASE WHEN contains(lower(content), asked) THEN 10 ELSE 0 END + CASE WHEN length(content) > 500 THEN 5 ELSE 0 END AS score FROM h, a
+  WHERE contains(style, asked) OR contains(lower(content), asked))
+SELECT subject, asked, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY subject, asked ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 4"""
 
 
 def catalog_rerank(spark, sf_dir):
@@ -210,12 +234,12 @@ def procedure_match(spark, sf_dir):
 
 
 def form_match(spark, sf_dir):
-    forms = _procedures(spark).select("ord", F.concat(F.lit("form-"), "id").alias("id"), F.replace("title", F.lit("Thủ tục"), F.lit("Đơn")).alias("title"), F.lit("biểu mẫu").alias("category"), F.lit("mẫu đơn sinh viên").alias("description"), "keywords")
+    forms = _procedures(spark).select("ord", F.concat(F.lit("form-"), "id").alias("id"), F.replace("title", F.lit("Quy trình"), F.lit("Đơn")).alias("title"), F.lit("biểu mẫu").alias("category"), F.lit("mẫu đơn sinh viên").alias("description"), "keywords")
     return R.catalogue_match(_user_questions(spark, sf_dir), forms, category=True)
 
 
 def _match_sql(forms: bool) -> str:
-    rows = ", ".join("(" + ", ".join([str(o), f"'form-{i}'" if forms else f"'{i}'", D.words([t.replace("Thủ tục", "Đơn") if forms else t]), "[" + D.words(k) + "]"]) + ")" for o, i, t, k in PROCEDURES)
+    rows = ", ".join("(" + ", ".join([str(o), f"'form-{i}'" if forms else f"'{i}'", D.words([t.replace("Quy trình", "Đơn") if forms else t]), "[" + D.words(k) + "]"]) + ")" for o, i, t, k in PROCEDURES)
     last = "[" + D.words(k[-1] for _, _, _, k in PROCEDURES) + "]"
     extra = "'biểu mẫu' || ' ' || 'mẫu đơn sinh viên' || ' '" if forms else "''"
     more = " + CASE WHEN contains(n, 'bieu mau') THEN 4 ELSE 0 END + CASE WHEN contains(n, 'mau don sinh vien') THEN 2 ELSE 0 END" if forms else ""
@@ -229,8 +253,10 @@ SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query
 
 
 def domain_filtered_topk(spark, sf_dir):
-    pairs = R.lexical_pairs(A.corpus(spark, sf_dir), A.question_set(spark, sf_dir)).where("score > 0").select("query_id", "id", "score", "category")
-    return R.domain_top_k(pairs, F.col("category").isin("fr", "de"), 3, 4).select("query_id", "rank", "id", "score")
+    features = R.corpus_features(A.corpus(spark, sf_dir))
+    wide = R.top_k(R.lexical_points(features, A.question_set(spark, sf_dir)), 12, "id").drop("rank")  # the best 3 x 4
+    scored = features.select("id", "category").join(F.broadcast(wide), "id")  # twelve rows for each question
+    return R.domain_top_k(scored, F.col("category").isin("fr", "de"), 3, 4).select("query_id", "rank", "id", "score")
 
 
 _DOMAIN_SQL = "WITH " + D.FEATURES + """, w AS (SELECT * FROM (SELECT query_id, id, score, category, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM scored WHERE score > 0) WHERE r <= 12),
@@ -317,7 +343,7 @@ SELECT id, CASE WHEN contains(a, 'chrome') THEN 'Chrome' WHEN contains(a, 'firef
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_topk, lexical_excerpts, lexical_scores_profiled, cosine_topk, cosine_topk_filtered, hybrid_topk, lecture_score, lecture_lexical, lecture_by_style, catalog_rerank, procedure_match, form_match,
+        lexical_topk, lexical_excerpts, lexical_scores_profiled, cosine_topk, cosine_topk_filtered, hybrid_topk, lecture_score, lecture_hybrid, lecture_lexical, lecture_by_style, catalog_rerank, procedure_match, form_match,
         domain_filtered_topk, router_intents, intent_counts, subject_fallback, style_hints, chapters, user_agents,
     )
 }
@@ -329,9 +355,10 @@ ORACLES = {
 SELECT query_id, id, length(excerpt)::BIGINT AS n_excerpt, md5(excerpt) AS excerpt_md5 FROM cut""",
     "lexical_scores_profiled": _PROFILED_SQL,
     "cosine_topk": _COSINE.format(same=""),
-    "cosine_topk_filtered": _COSINE.format(same="AND a.label = b.label"),
+    "cosine_topk_filtered": _COSINE.format(same="AND (a.label = b.label OR a.vec_id % 300 = 0)"),
     "hybrid_topk": _HYBRID_SQL,
     "lecture_score": _LECTURE_SQL,
+    "lecture_hybrid": _LECTURE_HYBRID_SQL,
     "lecture_lexical": _LECTURE_LEXICAL_SQL,
     "lecture_by_style": _BY_STYLE_SQL,
     "catalog_rerank": _CATALOG_SQL,
