@@ -158,8 +158,7 @@ SELECT query_id, rank, id, round(score, 5) AS score FROM (SELECT *, row_number()
 
 def lecture_lexical(spark, sf_dir):
     """Lexical lecture search with the soft chapter filter: the chapter "src1" where any of its chunks scores, else all."""
-    scored = R.lecture_lexical(_lectures(spark, sf_dir), A.question_set(spark, sf_dir))
-    kept = R.soft_top_k(scored, F.contains(F.lower("chapter"), F.lit("src1")) & (F.col("score") > 10), 4, "id")
+    kept = R.lecture_lexical_top_k(_lectures(spark, sf_dir), A.question_set(spark, sf_dir), F.contains(F.lower("chapter"), F.lit("src1")))
     return kept.select("query_id", "rank", "id", "score", (F.col("score") >= 60).alias("confident"))
 
 
