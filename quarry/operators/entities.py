@@ -77,9 +77,11 @@ def keep_only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key), key, "left_semi")
 
 
-def first_of(rows: DataFrame, key: list[str], *order) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
+def first_of(rows: DataFrame, key: list[str], *order: str, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key in ``order``: a minimum that each task takes first, so a hot key sends one row for each task."""
+    whole, place = F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order)
+    best = F.max_by(whole, place) if last else F.min_by(whole, place)
+    return rows.groupBy(*key).agg(best.alias("_row")).select("_row.*")
 
 
 def numbered(rows: DataFrame, key: list[str], *order, name: str = "row_order") -> DataFrame:

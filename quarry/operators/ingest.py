@@ -29,6 +29,8 @@ def pack(paragraphs: DataFrame, target: int = TARGET, most: int = MOST) -> DataF
     reached ``target``. The fold runs over one document's paragraphs, which are its own size; documents are spread by id.
     """
 
+    kind = paragraphs.schema["doc_id"].dataType.simpleString()
+
     def fold(table):
         rows = sorted(zip(table.column("position").to_pylist(), table.column("paragraph").to_pylist(), table.column("heading").to_pylist(), strict=True))
         chunks, current, size = [], [], 0
@@ -41,11 +43,11 @@ def pack(paragraphs: DataFrame, target: int = TARGET, most: int = MOST) -> DataF
         chunks += [current] if current else []
         n = len(chunks)
         return pa.table({
-            "doc_id": pa.array([table.column("doc_id")[0].as_py()] * n, pa.int64()), "chunk": pa.array(range(1, n + 1), pa.int32()), "content": pa.array(["\n\n".join(r[1] for r in c).strip() for c in chunks], pa.string()),
+            "doc_id": pa.array([table.column("doc_id")[0].as_py()] * n, table.schema.field("doc_id").type), "chunk": pa.array(range(1, n + 1), pa.int32()), "content": pa.array(["\n\n".join(r[1] for r in c).strip() for c in chunks], pa.string()),
             "section_title": pa.array([next((r[1] for r in c if r[2]), None) for c in chunks], pa.string()), "first_position": pa.array([c[0][0] for c in chunks], pa.int32()), "last_position": pa.array([c[-1][0] for c in chunks], pa.int32()),
         })
 
-    packed = paragraphs.groupBy("doc_id").applyInArrow(fold, "doc_id long, chunk int, content string, section_title string, first_position int, last_position int")
+    packed = paragraphs.groupBy("doc_id").applyInArrow(fold, f"doc_id {kind}, chunk int, content string, section_title string, first_position int, last_position int")
     return packed.where((F.length("content") >= LEAST) & ~T.is_contents(F.col("content"))).withColumn("summary", T.summary(F.col("content")))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import analytics as N
-from quarry.operators import classify as C
 from quarry.sources import adapters as A
 from quarry.streaming import counters as S
 
@@ -53,10 +52,6 @@ def layer_counts(spark, sf_dir):
     return N.layer_counts(**{t: A.table(spark, sf_dir, t) for t in ("documents", "labels", "conversations", "orders", "lineitem", "customer", "supplier", "part", "nation", "region")})
 
 
-def subject_counts(spark, sf_dir):
-    return N.histogram(A.corpus(spark, sf_dir).select(C.subject(F.col("content")).alias("subject"), "category"), "category")
-
-
 def semester_summary(spark, sf_dir):
     """Nations as catalogues, parts as courses: track from the part's type, semester from its size, credits from the quantity sold."""
     courses = (
@@ -122,7 +117,7 @@ def ttl_last_state(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        feedback_summary, top_questions, top_tools, tool_call_count, intent_quality, top_procedures_json, overview, status_histogram, layer_counts, subject_counts, semester_summary, conversation_latest, since_last_user,
+        feedback_summary, top_questions, top_tools, tool_call_count, intent_quality, top_procedures_json, overview, status_histogram, layer_counts, semester_summary, conversation_latest, since_last_user,
         history_context, messages_per_user, pipeline_success, span_latency, duration_ms, tumbling_minute_counts, tumbling_day_counts, rate_limit_admission, ttl_last_state,
     )
 }
@@ -142,7 +137,6 @@ ORACLES = {
       (SELECT count(quality) AS total, count(*) FILTER (quality = 1) AS helpful, count(*) FILTER (quality <> 1) AS unhelpful FROM labels), (SELECT count(*) AS tool_calls, count(DISTINCT event_type) AS tools FROM events)""",
     "status_histogram": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
     "layer_counts": " UNION ALL ".join(f"SELECT '{t}' AS layer, count(*) AS n FROM {t}" for t in ("documents", "labels", "conversations", "orders", "lineitem", "customer", "supplier", "part", "nation", "region")),
-    "subject_counts": "SELECT lang AS category, count(*) AS n FROM documents GROUP BY 1",
     "semester_summary": """WITH c AS (SELECT s_nationkey AS catalog_id, coalesce(nullif(CASE WHEN p_partkey % 9 <> 0 THEN p_type END, ''), 'khac') AS track, coalesce((CASE WHEN p_size <= 8 THEN p_size END)::VARCHAR, 'Khong ro hoc ky') AS semester,
       l_orderkey, l_linenumber, l_partkey, p_name, l_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)
       SELECT catalog_id, track, semester, count(*) AS courses, sum(l_quantity)::BIGINT AS credits, array_to_string(list_slice(list(p_name ORDER BY l_orderkey, l_linenumber, l_partkey, p_name), 1, 20), '; ') AS first_names FROM c GROUP BY ALL""",

@@ -33,7 +33,7 @@ def sorted_nulls(spark, sf_dir):
 def active_versions(spark, sf_dir):
     """Each customer's latest order as its active version, with the order's lines as files."""
     orders = A.table(spark, sf_dir, "orders")
-    active = E.first_of(orders, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey"))
+    active = E.first_of(orders, ["o_custkey"], "o_orderdate", "o_orderkey", last=True)
     files = A.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("files"))
     joined = A.table(spark, sf_dir, "customer").join(active, F.col("c_custkey") == F.col("o_custkey")).join(files, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return joined.select("c_custkey", "o_orderkey", F.coalesce("files", F.lit(0)).cast("bigint").alias("files"))
@@ -41,7 +41,7 @@ def active_versions(spark, sf_dir):
 
 def published_snapshot(spark, sf_dir):
     """Lines of published (status F) active orders."""
-    active = E.first_of(A.table(spark, sf_dir, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).where("o_orderstatus = 'F'")
+    active = E.first_of(A.table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey", last=True).where("o_orderstatus = 'F'")
     return A.table(spark, sf_dir, "lineitem").join(active, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
@@ -64,7 +64,7 @@ def snapshot_union(spark, sf_dir):
 
 
 def anti_missing_sources(spark, sf_dir):
-    return E.without(A.table(spark, sf_dir, "customer"), A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+    return E.without(A.table(spark, sf_dir, "customer"), A.table(spark, sf_dir, "orders").where("o_orderdate >= DATE '2001-06-01'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
 
 
 def keep_set_delete(spark, sf_dir):
@@ -89,7 +89,7 @@ def source_versions(spark, sf_dir):
     ranked = E.numbered(orders, ["o_custkey"], "o_orderdate", "o_orderkey", name="version")
     top = orders.groupBy("o_custkey").agg(F.count("*").cast("int").alias("last"))
     current = ranked.join(top, "o_custkey").where("o_custkey % 7 <> 0").select(F.col("o_custkey").alias("source_id"), "version", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("checksum"), (F.col("version") == F.col("last")).alias("is_active"))
-    latest = E.first_of(orders, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey"))
+    latest = E.first_of(orders, ["o_custkey"], "o_orderdate", "o_orderkey", last=True)
     incoming = latest.where("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("source_id"), F.sha2(F.when(F.col("o_custkey") % 3 == 0, F.lit("new")).otherwise(F.col("o_orderkey").cast("string")), 256).alias("checksum"))
     return E.next_versions(current, incoming)
 
@@ -106,7 +106,7 @@ def array_contains_subscribers(spark, sf_dir):
 
 
 def like_disjunction(spark, sf_dir):
-    return A.table(spark, sf_dir, "part").where(E.like_any(F.col("p_name"), "green", "1", "%")).select("p_partkey", "p_name")
+    return A.table(spark, sf_dir, "part").where(E.like_any(F.concat_ws(" ", F.when(F.col("p_partkey") % 4 == 0, "100%_free"), "p_name", "p_type"), "cold", "no such", "%_f")).select("p_partkey", "p_name")
 
 
 def null_predicates(spark, sf_dir):
@@ -237,7 +237,7 @@ ORACLES = {
     "table_row_entries": "SELECT o_custkey || '-' || o_orderkey || '-' || lpad(l_linenumber::VARCHAR, 2, '0') AS entry_id, l_extendedprice AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "chunk_entries": f"WITH {D.CORPUS} SELECT id, category, summary, quality FROM corpus JOIN labels ON id = doc_id",
     "snapshot_union": "SELECT 'd' || doc_id AS id, 'document' AS kind, lang AS category, NULL::BIGINT AS size FROM documents UNION ALL SELECT 'b' || item_id, 'chunk', NULL, length(text) FROM benchmark UNION ALL SELECT 'p' || p_partkey, 'table_row', p_brand, NULL FROM part",
-    "anti_missing_sources": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_missing_sources": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-06-01')",
     "keep_set_delete": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "feedback_upsert_latest": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
     "partial_update": "SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 'renamed' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier",
@@ -248,7 +248,7 @@ ORACLES = {
       UNION ALL SELECT source_id, (coalesce(prev, 0) + 1)::INT, checksum, true FROM s""",
     "conversation_nested": "SELECT conv_id AS conversation_id, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY 1",
     "array_contains_subscribers": "SELECT s_suppkey, event_type AS event, count(*) AS n FROM supplier JOIN events ON list_contains(CASE WHEN s_suppkey % 2 = 0 THEN ['click', 'view'] ELSE ['purchase'] END, event_type) GROUP BY 1, 2",
-    "like_disjunction": "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'green') OR contains(p_name, '1') OR contains(p_name, '%')",
+    "like_disjunction": "SELECT p_partkey, p_name FROM (SELECT *, concat_ws(' ', CASE WHEN p_partkey % 4 = 0 THEN '100%_free' END, p_name, p_type) AS t FROM part) WHERE contains(t, 'cold') OR contains(t, 'no such') OR contains(t, '%_f')",
     "null_predicates": "SELECT doc_id, quality IS NOT NULL AS judged FROM documents LEFT JOIN labels USING (doc_id) WHERE lang = 'en' AND NOT coalesce(toxic = 1, false)",
     "admin_search": "SELECT c_custkey, c_mktsegment FROM customer WHERE contains(lower(c_name), 'building') OR contains(lower(c_mktsegment), 'building')",
     "dup_keep_first": "SELECT min(doc_id) AS id, md5(string_split(text, chr(10))[1]) AS title_md5 FROM documents GROUP BY 2",
