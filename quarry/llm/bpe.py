@@ -171,11 +171,12 @@ def ranks_of(words: list[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(words, 1)}
 
 
-def frequent_words(words: DataFrame, path: str, share: int = SHARE, most: int = MOST_FREQUENT) -> pa.Table:
-    """(word, ids, pieces) of the words that are broadcast, most frequent first: ``most`` rows of ``LONGEST`` characters at most."""
+def frequent_words(words: DataFrame, path: str, share: int = SHARE, most: int = MOST_FREQUENT) -> tuple[pa.Table, DataFrame]:
+    """((word, ids, pieces) of the words that are broadcast, most frequent first: ``most`` rows of ``LONGEST`` characters at most; a table that holds all others)."""
     total = words.agg(F.sum("n")).first()[0] or 0
-    often = words.where((F.col("n") * share >= total) & (F.length("word") <= LONGEST))
-    return decoded(often, path).orderBy(F.desc("n"), "word").limit(most).toArrow()
+    often = (F.col("n") * share >= total) & (F.length("word") <= LONGEST)
+    known = decoded(words.where(often), path).orderBy(F.desc("n"), "word").limit(most).toArrow()
+    return known, words.where(~often) if len(known) < most else words
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
@@ -183,7 +184,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, i
     path = vocabulary or default_vocabulary()
     context = docs.sparkSession.sparkContext
     words = word_table(word_counts(docs, path, text_col), path)
-    known = frequent_words(words, path, share)
+    known, others = frequent_words(words, path, share)
     shared = context.broadcast({c: known.column(c).to_pylist() for c in ("word", "ids", "pieces")})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("key"))
@@ -211,7 +212,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, i
                 codes += pack(list(map(rank, chain.from_iterable(own), repeat(0))), [len(w) for w in own])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary())], names=["key", "codes"])
 
-    rare = texts.mapInArrow(gaps, "key binary, at int, word string").join(decoded(words, path).select("word", "ids", "pieces"), "word")
+    rare = texts.mapInArrow(gaps, "key binary, at int, word string").join(decoded(others, path).select("word", "ids", "pieces"), "word")
     filled = rare.groupBy("key").agg(F.collect_set(F.struct("at", "ids", "pieces")).alias("filled"))
     coded = texts.mapInArrow(ranked, "key binary, codes binary").groupBy("key").agg(F.first("codes").alias("codes"))
 

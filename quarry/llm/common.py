@@ -1,68 +1,16 @@
-"""Helpers that several operators share: tables in the shared folder and checked broadcasts."""
+"""Helpers that several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows that a side may have, by count, before it is broadcast.
-BROADCAST_ROWS = 100_000
-
-#: A word: bytes or characters other than space, tab, \n, \v, \f and \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary folder of this machine takes its place, but only if all tasks run here too.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
+from quarry.tables import broadcast_if_small, discard, shared_dir, stored, stored_by
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
+__all__ = ["WORD", "broadcast_if_small", "discard", "shared_dir", "spread", "stored", "stored_by", "table"]
 
-
-def discard(*tables: DataFrame) -> None:
-    """Removes stored tables that nothing reads any more."""
-    for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As ``stored``, in buckets by ``key``: joins and groups by it need no exchange of this side. The catalog keeps no entry."""
-    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    out = spark.table(table)
-    spark.sql(f"DROP TABLE {table}")
-    return out
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have ``rows`` rows at most; give it a stored table.
-
-    Beyond that the join shuffles, and adaptive execution splits its skewed keys.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: A word: bytes or characters other than space, tab, \\n, \\v, \\f and \\r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def spread(column: Column, ways: int) -> Column:

@@ -51,8 +51,10 @@ def test_full_gives_ids_and_decoded_text(spark):
 def test_most_frequent_words_bound_the_broadcast(spark):
     docs = spark.createDataFrame([(1, "a a a b b c d"), (2, "a" * 40)], "doc_id long, text string")
     words = bpe.word_table(bpe.word_counts(docs, PATH), PATH)
-    assert bpe.frequent_words(words, PATH, most=2).column("word").to_pylist() == ["a", "b"]
-    assert bpe.frequent_words(words, PATH).num_rows == 4
+    known, others = bpe.frequent_words(words, PATH, most=2)
+    assert known.column("word").to_pylist() == ["a", "b"] and others.count() == 5
+    known, others = bpe.frequent_words(words, PATH)
+    assert known.num_rows == 4 and [r.word for r in others.collect()] == ["a" * 40]
 
 
 def test_empty_table(spark):
