@@ -67,10 +67,28 @@ def test_regular_track_beats_graduate_track_unless_named(spark):
     rows = [("regular", "Học phí chính quy", ["chinh_quy"]), ("graduate", "Học phí cao học", ["cao_hoc"])]
     corpus = spark.createDataFrame([(i, t, "fees", "table_row", t, t, ["fees"], tags, ["per_credit"]) for i, t, tags in rows], "id string, title string, category string, source_kind string, content string, summary string, keywords array<string>, tags array<string>, basis array<string>")
     asked = spark.createDataFrame([(1, "học phí một tín chỉ"), (2, "học phí cao học")], "query_id int, query string")
-    best = retrieval.top_k(retrieval.profiled(retrieval.lexical_pairs(corpus, asked)), 1, "id").collect()
+    best = retrieval.profiled_top_k(retrieval.corpus_features(corpus), asked, 1).collect()
     assert {r.query_id: r.id for r in best} == {1: "regular", 2: "graduate"}
 
 
+def test_index_finds_parts_of_words_and_short_questions(spark):
+    """Phrases that begin and end inside words, questions inside words, questions without tokens: points as counted by hand."""
+    entries = [("a", "t", "xab cdef"), ("b", "t", "nothing here"), ("c", "ab cd", "ab cd"), ("d", "t", None), ("e", "t", "?!")]
+    corpus = spark.createDataFrame([(i, t, "k", "s", c, "", []) for i, t, c in entries], "id string, title string, category string, source_kind string, content string, summary string, keywords array<string>")
+    asked = spark.createDataFrame([(1, "ab cd"), (2, "othin"), (3, "?!"), (4, "")], "query_id int, query string")
+    got = {(r.query_id, r.id): r.score for r in retrieval.lexical_points(retrieval.corpus_features(corpus), asked).collect()}
+    # c: both tokens in title and content (12), cubed (8), the phrase (13), the whole question (17)
+    assert got == {(1, "a"): 4 + 5, (1, "c"): 12 + 8 + 13 + 17, (2, "b"): 5, (3, "e"): 5}
+
+
+def test_bonus_alone_can_win(spark):
+    points = spark.createDataFrame([(1, "a", 3)], "query_id int, id string, score long")
+    entries = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("d", "z")], "id string, kind string")
+    bonus = spark.createDataFrame([(1, "x", 0), (1, "y", 5), (2, "y", -1)], "query_id int, kind string, bonus long")
+    got = sorted(map(tuple, retrieval.top_k_with_bonus(points, entries, bonus, 2).collect()))
+    assert got == [(1, 1, "b", 5), (1, 2, "c", 5)]
+
+
 def test_soft_filter_falls_back(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "query_id int, v string")
     assert sorted(map(tuple, retrieval.soft_filter(rows, F.col("v") == "a").collect())) == [(1, "a"), (2, "b")]
