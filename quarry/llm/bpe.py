@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import broadcast_if_small, stored, stored_by
 
 #: Words with this share of all occurrences are broadcast, up to so many and of up to so many characters; all others take the exchange.
-SHARE, MOST_FREQUENT, LONGEST = 20_000_000, 1_000_000, 32
+SHARE, MOST_FREQUENT, LONGEST = 5_000_000, 1_000_000, 32
 
 # Fixed values of the tokenizer file's kind: special tokens and, below, the split pattern.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -213,15 +213,14 @@ def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, i
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary())], names=["key", "codes"])
 
     rare = texts.mapInArrow(gaps, "key binary, at int, word string").join(decoded(others, path).select("word", "ids", "pieces"), "word")
-    filled = rare.groupBy("key").agg(F.collect_set(F.struct("at", "ids", "pieces")).alias("filled"))
+    filled = rare.groupBy("key").agg(F.collect_set(F.concat_ws("\t", F.col("at").cast("string"), "ids", "pieces")).alias("filled"))  # one string takes half of a struct's bytes
     coded = texts.mapInArrow(ranked, "key binary, codes binary").groupBy("key").agg(F.first("codes").alias("codes"))
 
     def assemble(batches):
         ids_of, pieces_of = (["", *shared.value[c]] for c in ("ids", "pieces"))
         for batch in batches:
             out, taken = [], 0
-            gap = batch.column("filled").flatten()
-            gap_at, gap_ids, gap_pieces = (gap.field(c).to_pylist() for c in ("at", "ids", "pieces"))
+            gaps = [g.split("\t", 2) for g in batch.column("filled").flatten().to_pylist()]
             many = pa.compute.fill_null(pa.compute.list_value_length(batch.column("filled")), 0).to_pylist()
             codes = batch.column("codes").to_pylist()
             for at in range(0, len(codes), 200):
@@ -229,8 +228,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, i
                 for i, (begin, end) in enumerate(zip(begins[:-1], begins[1:], strict=True), at):
                     own = ranks[begin:end]
                     ids, pieces = list(map(ids_of.__getitem__, own)), list(map(pieces_of.__getitem__, own))
-                    for f in range(taken, taken + many[i]):
-                        ids[gap_at[f]], pieces[gap_at[f]] = gap_ids[f], gap_pieces[f]
+                    for place, own_ids, own_pieces in gaps[taken : taken + many[i]]:
+                        ids[int(place)], pieces[int(place)] = own_ids, own_pieces
                     taken += many[i]
                     ids, pieces = " ".join(filter(None, ids)), " ".join(filter(None, pieces))
                     out.append((ids.count(" ") + (ids != ""), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(pieces.encode()).hexdigest(), *((ids, pieces) if full else ())))
