@@ -18,15 +18,6 @@ other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
-import hashlib
-import hashlib
-import hashlib
-import hashlib
-import hashlib
-import hashlib
-import hashlib
-import hashlib
 import hashlib
 import html as entities
 import re
@@ -54,38 +45,11 @@ _ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)(?:\s*=\s*(?:\"([^\"]*)
 CONTAINERS = frozenset("html head body div article main section aside nav header footer form table tbody thead tfoot tr td th ul ol dl dd li blockquote figure figcaption details dialog fieldset address center".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre br hr dt caption legend summary option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre li dt dd td th blockquote figcaption".split())
 #: Containers that a path doesn't name and that are never scored themselves.
 PARTS = frozenset("tbody thead tfoot tr td th ul ol dl dd li blockquote figure figcaption table".split())
 LISTS = ("ul", "ol", "table", "dl")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LISTS = ("ul", "ol", "table", "dl")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LISTS = ("ul", "ol", "table", "dl")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LISTS = ("ul", "ol", "table", "dl")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LISTS = ("ul", "ol", "table", "dl")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LISTS = ("ul", "ol", "table", "dl")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LISTS = ("ul", "ol", "table", "dl")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LISTS = ("ul", "ol", "table", "dl")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LISTS = ("ul", "ol", "table", "dl")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LISTS = ("ul", "ol", "table", "dl")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head nav header footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _UNWANTED = re.compile(

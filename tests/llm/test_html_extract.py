@@ -23,105 +23,6 @@ PAGES = {
 
 
 
-def text_of(page):
-    found = hx.Page(page)
-    return found.text_of(found.best())
-
-
-def said(page):
-    return " ".join("".join(text for _, text, _, _ in hx.Page(page).runs).split())
-
-
-
-
-def text_of(page):
-    found = hx.Page(page)
-    return found.text_of(found.best())
-
-
-def said(page):
-    return " ".join("".join(text for _, text, _, _ in hx.Page(page).runs).split())
-
-
-
-
-def text_of(page):
-    found = hx.Page(page)
-    return found.text_of(found.best())
-
-
-def said(page):
-    return " ".join("".join(text for _, text, _, _ in hx.Page(page).runs).split())
-
-
-
-
-def text_of(page):
-    found = hx.Page(page)
-    return found.text_of(found.best())
-
-
-def said(page):
-    return " ".join("".join(text for _, text, _, _ in hx.Page(page).runs).split())
-
-
-
-
-def text_of(page):
-    found = hx.Page(page)
-    return found.text_of(found.best())
-
-
-def said(page):
-    return " ".join("".join(text for _, text, _, _ in hx.Page(page).runs).split())
-
-
-
-
-def text_of(page):
-    found = hx.Page(page)
-    return found.text_of(found.best())
-
-
-def said(page):
-    return " ".join("".join(text for _, text, _, _ in hx.Page(page).runs).split())
-
-
-
-
-def text_of(page):
-    found = hx.Page(page)
-    return found.text_of(found.best())
-
-
-def said(page):
-    return " ".join("".join(text for _, text, _, _ in hx.Page(page).runs).split())
-
-
-
-
-def text_of(page):
-    found = hx.Page(page)
-    return found.text_of(found.best())
-
-
-def said(page):
-    return " ".join("".join(text for _, text, _, _ in hx.Page(page).runs).split())
-
-
-
-
-def text_of(page):
-    found = hx.Page(page)
-    return found.text_of(found.best())
-
-
-def said(page):
-    return " ".join("".join(text for _, text, _, _ in hx.Page(page).runs).split())
-
-
-
-
 def text_of(page):
     found = hx.Page(page)
     return found.text_of(found.best())
@@ -176,267 +77,6 @@ NOISE = {
 }
 
 
-@pytest.mark.parametrize("wrap", WRAPS)
-@pytest.mark.parametrize("noise", NOISE)
-def test_layouts_with_noise_inside_the_article(wrap, noise):
-    begin, end = WRAPS[wrap]
-    page = f"<html><body>{FURNITURE}{begin}<h2 class='page-header'>Title</h2><p>{P}</p>{NOISE[noise]}<p>Then {P}</p>{end}{TAIL if wrap != 'unclosed' else ''}</body></html>"
-    assert text_of(page) == f"Title {P} Then {P}"
-
-
-def test_clashing_columns_and_very_long_pages(spark):
-    page = "<body><div class='post'>" + f"<p>{P}</p>" * 20_000 + "</div></body>"
-    columns = "page_id long, url string, html string, host string, path string, votes long, paths string, text string"
-    got = hx.extract(spark.createDataFrame([(1, "http://a.test/", page, "h", "p", 3, "q", "t"), (1, "http://a.test/", page, "h", "p", 3, "q", "t")], columns)).collect()
-    assert len(got) == 2 and all(r.text == " ".join([P] * 20_000) and r.n_chars == len(r.text) for r in got)
-
-
-WRAPS = {
-    "article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "post": ("<div class='post-body x9'>", "</div>"), "id": ("<div id='story'>", "</div>"),
-    "section": ("<section class='entry'>", "</section>"), "cell": ("<table><tr><td class='content'>", "</td></tr></table>"), "plain": ("<div>", "</div>"), "unclosed": ("<div class=text>", ""),
-    "deep": ("<div>" * 150 + "<div class='post'>", "</div>" * 151),
-}
-NOISE = {
-    "advert": "<p class='advert'>Buy now</p>", "comment": "<p class='comment'>First!</p>", "heading": "<h4 class='sidebar'>More</h4>", "hidden": "<span class='hidden'>secret</span>",
-    "bare hidden": "<p hidden>secret</p>", "display": "<b style='display: none'>secret</b>", "aria": "<span aria-hidden=true>x <span>y</span> z</span>", "role": "<ul role=navigation><li>Menu</ul>",
-    "block advert": "<div class='ad-slot'><p>Buy</p></div>", "comments": "<ol class='comment-list'><li><p>" + P + "</p></li></ol>", "share link": "<a class='share-button' href=/s>Share</a>",
-    "unclosed inline": "<span class='ads'>Buy<p></p>", "long": "<iframe srcdoc='" + "<p>no</p> " * 700 + "'></iframe>", "script": "<script data-x='" + "> " * 3000 + "'>var leaked = 1</script>",
-    "alt": "<img alt='" + "5 > 4 " * 1000 + "tail'>", "newsletter": "<form class=newsletter>Join<input></form>", "notice": "<div class='cookie-notice'>We use cookies</div>", "style": "<style>p{}</style>",
-}
-
-
-@pytest.mark.parametrize("wrap", WRAPS)
-@pytest.mark.parametrize("noise", NOISE)
-def test_layouts_with_noise_inside_the_article(wrap, noise):
-    begin, end = WRAPS[wrap]
-    page = f"<html><body>{FURNITURE}{begin}<h2 class='page-header'>Title</h2><p>{P}</p>{NOISE[noise]}<p>Then {P}</p>{end}{TAIL if wrap != 'unclosed' else ''}</body></html>"
-    assert text_of(page) == f"Title {P} Then {P}"
-
-
-def test_clashing_columns_and_very_long_pages(spark):
-    page = "<body><div class='post'>" + f"<p>{P}</p>" * 20_000 + "</div></body>"
-    columns = "page_id long, url string, html string, host string, path string, votes long, paths string, text string"
-    got = hx.extract(spark.createDataFrame([(1, "http://a.test/", page, "h", "p", 3, "q", "t"), (1, "http://a.test/", page, "h", "p", 3, "q", "t")], columns)).collect()
-    assert len(got) == 2 and all(r.text == " ".join([P] * 20_000) and r.n_chars == len(r.text) for r in got)
-
-
-WRAPS = {
-    "article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "post": ("<div class='post-body x9'>", "</div>"), "id": ("<div id='story'>", "</div>"),
-    "section": ("<section class='entry'>", "</section>"), "cell": ("<table><tr><td class='content'>", "</td></tr></table>"), "plain": ("<div>", "</div>"), "unclosed": ("<div class=text>", ""),
-    "deep": ("<div>" * 150 + "<div class='post'>", "</div>" * 151),
-}
-NOISE = {
-    "advert": "<p class='advert'>Buy now</p>", "comment": "<p class='comment'>First!</p>", "heading": "<h4 class='sidebar'>More</h4>", "hidden": "<span class='hidden'>secret</span>",
-    "bare hidden": "<p hidden>secret</p>", "display": "<b style='display: none'>secret</b>", "aria": "<span aria-hidden=true>x <span>y</span> z</span>", "role": "<ul role=navigation><li>Menu</ul>",
-    "block advert": "<div class='ad-slot'><p>Buy</p></div>", "comments": "<ol class='comment-list'><li><p>" + P + "</p></li></ol>", "share link": "<a class='share-button' href=/s>Share</a>",
-    "unclosed inline": "<span class='ads'>Buy<p></p>", "long": "<iframe srcdoc='" + "<p>no</p> " * 700 + "'></iframe>", "script": "<script data-x='" + "> " * 3000 + "'>var leaked = 1</script>",
-    "alt": "<img alt='" + "5 > 4 " * 1000 + "tail'>", "newsletter": "<form class=newsletter>Join<input></form>", "notice": "<div class='cookie-notice'>We use cookies</div>", "style": "<style>p{}</style>",
-}
-
-
-@pytest.mark.parametrize("wrap", WRAPS)
-@pytest.mark.parametrize("noise", NOISE)
-def test_layouts_with_noise_inside_the_article(wrap, noise):
-    begin, end = WRAPS[wrap]
-    page = f"<html><body>{FURNITURE}{begin}<h2 class='page-header'>Title</h2><p>{P}</p>{NOISE[noise]}<p>Then {P}</p>{end}{TAIL if wrap != 'unclosed' else ''}</body></html>"
-    assert text_of(page) == f"Title {P} Then {P}"
-
-
-def test_clashing_columns_and_very_long_pages(spark):
-    page = "<body><div class='post'>" + f"<p>{P}</p>" * 20_000 + "</div></body>"
-    columns = "page_id long, url string, html string, host string, path string, votes long, paths string, text string"
-    got = hx.extract(spark.createDataFrame([(1, "http://a.test/", page, "h", "p", 3, "q", "t"), (1, "http://a.test/", page, "h", "p", 3, "q", "t")], columns)).collect()
-    assert len(got) == 2 and all(r.text == " ".join([P] * 20_000) and r.n_chars == len(r.text) for r in got)
-
-
-WRAPS = {
-    "article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "post": ("<div class='post-body x9'>", "</div>"), "id": ("<div id='story'>", "</div>"),
-    "section": ("<section class='entry'>", "</section>"), "cell": ("<table><tr><td class='content'>", "</td></tr></table>"), "plain": ("<div>", "</div>"), "unclosed": ("<div class=text>", ""),
-    "deep": ("<div>" * 150 + "<div class='post'>", "</div>" * 151),
-}
-NOISE = {
-    "advert": "<p class='advert'>Buy now</p>", "comment": "<p class='comment'>First!</p>", "heading": "<h4 class='sidebar'>More</h4>", "hidden": "<span class='hidden'>secret</span>",
-    "bare hidden": "<p hidden>secret</p>", "display": "<b style='display: none'>secret</b>", "aria": "<span aria-hidden=true>x <span>y</span> z</span>", "role": "<ul role=navigation><li>Menu</ul>",
-    "block advert": "<div class='ad-slot'><p>Buy</p></div>", "comments": "<ol class='comment-list'><li><p>" + P + "</p></li></ol>", "share link": "<a class='share-button' href=/s>Share</a>",
-    "unclosed inline": "<span class='ads'>Buy<p></p>", "long": "<iframe srcdoc='" + "<p>no</p> " * 700 + "'></iframe>", "script": "<script data-x='" + "> " * 3000 + "'>var leaked = 1</script>",
-    "alt": "<img alt='" + "5 > 4 " * 1000 + "tail'>", "newsletter": "<form class=newsletter>Join<input></form>", "notice": "<div class='cookie-notice'>We use cookies</div>", "style": "<style>p{}</style>",
-}
-
-
-@pytest.mark.parametrize("wrap", WRAPS)
-@pytest.mark.parametrize("noise", NOISE)
-def test_layouts_with_noise_inside_the_article(wrap, noise):
-    begin, end = WRAPS[wrap]
-    page = f"<html><body>{FURNITURE}{begin}<h2 class='page-header'>Title</h2><p>{P}</p>{NOISE[noise]}<p>Then {P}</p>{end}{TAIL if wrap != 'unclosed' else ''}</body></html>"
-    assert text_of(page) == f"Title {P} Then {P}"
-
-
-def test_clashing_columns_and_very_long_pages(spark):
-    page = "<body><div class='post'>" + f"<p>{P}</p>" * 20_000 + "</div></body>"
-    columns = "page_id long, url string, html string, host string, path string, votes long, paths string, text string"
-    got = hx.extract(spark.createDataFrame([(1, "http://a.test/", page, "h", "p", 3, "q", "t"), (1, "http://a.test/", page, "h", "p", 3, "q", "t")], columns)).collect()
-    assert len(got) == 2 and all(r.text == " ".join([P] * 20_000) and r.n_chars == len(r.text) for r in got)
-
-
-WRAPS = {
-    "article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "post": ("<div class='post-body x9'>", "</div>"), "id": ("<div id='story'>", "</div>"),
-    "section": ("<section class='entry'>", "</section>"), "cell": ("<table><tr><td class='content'>", "</td></tr></table>"), "plain": ("<div>", "</div>"), "unclosed": ("<div class=text>", ""),
-    "deep": ("<div>" * 150 + "<div class='post'>", "</div>" * 151),
-}
-NOISE = {
-    "advert": "<p class='advert'>Buy now</p>", "comment": "<p class='comment'>First!</p>", "heading": "<h4 class='sidebar'>More</h4>", "hidden": "<span class='hidden'>secret</span>",
-    "bare hidden": "<p hidden>secret</p>", "display": "<b style='display: none'>secret</b>", "aria": "<span aria-hidden=true>x <span>y</span> z</span>", "role": "<ul role=navigation><li>Menu</ul>",
-    "block advert": "<div class='ad-slot'><p>Buy</p></div>", "comments": "<ol class='comment-list'><li><p>" + P + "</p></li></ol>", "share link": "<a class='share-button' href=/s>Share</a>",
-    "unclosed inline": "<span class='ads'>Buy<p></p>", "long": "<iframe srcdoc='" + "<p>no</p> " * 700 + "'></iframe>", "script": "<script data-x='" + "> " * 3000 + "'>var leaked = 1</script>",
-    "alt": "<img alt='" + "5 > 4 " * 1000 + "tail'>", "newsletter": "<form class=newsletter>Join<input></form>", "notice": "<div class='cookie-notice'>We use cookies</div>", "style": "<style>p{}</style>",
-}
-
-
-@pytest.mark.parametrize("wrap", WRAPS)
-@pytest.mark.parametrize("noise", NOISE)
-def test_layouts_with_noise_inside_the_article(wrap, noise):
-    begin, end = WRAPS[wrap]
-    page = f"<html><body>{FURNITURE}{begin}<h2 class='page-header'>Title</h2><p>{P}</p>{NOISE[noise]}<p>Then {P}</p>{end}{TAIL if wrap != 'unclosed' else ''}</body></html>"
-    assert text_of(page) == f"Title {P} Then {P}"
-
-
-def test_clashing_columns_and_very_long_pages(spark):
-    page = "<body><div class='post'>" + f"<p>{P}</p>" * 20_000 + "</div></body>"
-    columns = "page_id long, url string, html string, host string, path string, votes long, paths string, text string"
-    got = hx.extract(spark.createDataFrame([(1, "http://a.test/", page, "h", "p", 3, "q", "t"), (1, "http://a.test/", page, "h", "p", 3, "q", "t")], columns)).collect()
-    assert len(got) == 2 and all(r.text == " ".join([P] * 20_000) and r.n_chars == len(r.text) for r in got)
-
-
-WRAPS = {
-    "article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "post": ("<div class='post-body x9'>", "</div>"), "id": ("<div id='story'>", "</div>"),
-    "section": ("<section class='entry'>", "</section>"), "cell": ("<table><tr><td class='content'>", "</td></tr></table>"), "plain": ("<div>", "</div>"), "unclosed": ("<div class=text>", ""),
-    "deep": ("<div>" * 150 + "<div class='post'>", "</div>" * 151),
-}
-NOISE = {
-    "advert": "<p class='advert'>Buy now</p>", "comment": "<p class='comment'>First!</p>", "heading": "<h4 class='sidebar'>More</h4>", "hidden": "<span class='hidden'>secret</span>",
-    "bare hidden": "<p hidden>secret</p>", "display": "<b style='display: none'>secret</b>", "aria": "<span aria-hidden=true>x <span>y</span> z</span>", "role": "<ul role=navigation><li>Menu</ul>",
-    "block advert": "<div class='ad-slot'><p>Buy</p></div>", "comments": "<ol class='comment-list'><li><p>" + P + "</p></li></ol>", "share link": "<a class='share-button' href=/s>Share</a>",
-    "unclosed inline": "<span class='ads'>Buy<p></p>", "long": "<iframe srcdoc='" + "<p>no</p> " * 700 + "'></iframe>", "script": "<script data-x='" + "> " * 3000 + "'>var leaked = 1</script>",
-    "alt": "<img alt='" + "5 > 4 " * 1000 + "tail'>", "newsletter": "<form class=newsletter>Join<input></form>", "notice": "<div class='cookie-notice'>We use cookies</div>", "style": "<style>p{}</style>",
-}
-
-
-@pytest.mark.parametrize("wrap", WRAPS)
-@pytest.mark.parametrize("noise", NOISE)
-def test_layouts_with_noise_inside_the_article(wrap, noise):
-    begin, end = WRAPS[wrap]
-    page = f"<html><body>{FURNITURE}{begin}<h2 class='page-header'>Title</h2><p>{P}</p>{NOISE[noise]}<p>Then {P}</p>{end}{TAIL if wrap != 'unclosed' else ''}</body></html>"
-    assert text_of(page) == f"Title {P} Then {P}"
-
-
-def test_clashing_columns_and_very_long_pages(spark):
-    page = "<body><div class='post'>" + f"<p>{P}</p>" * 20_000 + "</div></body>"
-    columns = "page_id long, url string, html string, host string, path string, votes long, paths string, text string"
-    got = hx.extract(spark.createDataFrame([(1, "http://a.test/", page, "h", "p", 3, "q", "t"), (1, "http://a.test/", page, "h", "p", 3, "q", "t")], columns)).collect()
-    assert len(got) == 2 and all(r.text == " ".join([P] * 20_000) and r.n_chars == len(r.text) for r in got)
-
-
-WRAPS = {
-    "article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "post": ("<div class='post-body x9'>", "</div>"), "id": ("<div id='story'>", "</div>"),
-    "section": ("<section class='entry'>", "</section>"), "cell": ("<table><tr><td class='content'>", "</td></tr></table>"), "plain": ("<div>", "</div>"), "unclosed": ("<div class=text>", ""),
-    "deep": ("<div>" * 150 + "<div class='post'>", "</div>" * 151),
-}
-NOISE = {
-    "advert": "<p class='advert'>Buy now</p>", "comment": "<p class='comment'>First!</p>", "heading": "<h4 class='sidebar'>More</h4>", "hidden": "<span class='hidden'>secret</span>",
-    "bare hidden": "<p hidden>secret</p>", "display": "<b style='display: none'>secret</b>", "aria": "<span aria-hidden=true>x <span>y</span> z</span>", "role": "<ul role=navigation><li>Menu</ul>",
-    "block advert": "<div class='ad-slot'><p>Buy</p></div>", "comments": "<ol class='comment-list'><li><p>" + P + "</p></li></ol>", "share link": "<a class='share-button' href=/s>Share</a>",
-    "unclosed inline": "<span class='ads'>Buy<p></p>", "long": "<iframe srcdoc='" + "<p>no</p> " * 700 + "'></iframe>", "script": "<script data-x='" + "> " * 3000 + "'>var leaked = 1</script>",
-    "alt": "<img alt='" + "5 > 4 " * 1000 + "tail'>", "newsletter": "<form class=newsletter>Join<input></form>", "notice": "<div class='cookie-notice'>We use cookies</div>", "style": "<style>p{}</style>",
-}
-
-
-@pytest.mark.parametrize("wrap", WRAPS)
-@pytest.mark.parametrize("noise", NOISE)
-def test_layouts_with_noise_inside_the_article(wrap, noise):
-    begin, end = WRAPS[wrap]
-    page = f"<html><body>{FURNITURE}{begin}<h2 class='page-header'>Title</h2><p>{P}</p>{NOISE[noise]}<p>Then {P}</p>{end}{TAIL if wrap != 'unclosed' else ''}</body></html>"
-    assert text_of(page) == f"Title {P} Then {P}"
-
-
-def test_clashing_columns_and_very_long_pages(spark):
-    page = "<body><div class='post'>" + f"<p>{P}</p>" * 20_000 + "</div></body>"
-    columns = "page_id long, url string, html string, host string, path string, votes long, paths string, text string"
-    got = hx.extract(spark.createDataFrame([(1, "http://a.test/", page, "h", "p", 3, "q", "t"), (1, "http://a.test/", page, "h", "p", 3, "q", "t")], columns)).collect()
-    assert len(got) == 2 and all(r.text == " ".join([P] * 20_000) and r.n_chars == len(r.text) for r in got)
-
-
-WRAPS = {
-    "article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "post": ("<div class='post-body x9'>", "</div>"), "id": ("<div id='story'>", "</div>"),
-    "section": ("<section class='entry'>", "</section>"), "cell": ("<table><tr><td class='content'>", "</td></tr></table>"), "plain": ("<div>", "</div>"), "unclosed": ("<div class=text>", ""),
-    "deep": ("<div>" * 150 + "<div class='post'>", "</div>" * 151),
-}
-NOISE = {
-    "advert": "<p class='advert'>Buy now</p>", "comment": "<p class='comment'>First!</p>", "heading": "<h4 class='sidebar'>More</h4>", "hidden": "<span class='hidden'>secret</span>",
-    "bare hidden": "<p hidden>secret</p>", "display": "<b style='display: none'>secret</b>", "aria": "<span aria-hidden=true>x <span>y</span> z</span>", "role": "<ul role=navigation><li>Menu</ul>",
-    "block advert": "<div class='ad-slot'><p>Buy</p></div>", "comments": "<ol class='comment-list'><li><p>" + P + "</p></li></ol>", "share link": "<a class='share-button' href=/s>Share</a>",
-    "unclosed inline": "<span class='ads'>Buy<p></p>", "long": "<iframe srcdoc='" + "<p>no</p> " * 700 + "'></iframe>", "script": "<script data-x='" + "> " * 3000 + "'>var leaked = 1</script>",
-    "alt": "<img alt='" + "5 > 4 " * 1000 + "tail'>", "newsletter": "<form class=newsletter>Join<input></form>", "notice": "<div class='cookie-notice'>We use cookies</div>", "style": "<style>p{}</style>",
-}
-
-
-@pytest.mark.parametrize("wrap", WRAPS)
-@pytest.mark.parametrize("noise", NOISE)
-def test_layouts_with_noise_inside_the_article(wrap, noise):
-    begin, end = WRAPS[wrap]
-    page = f"<html><body>{FURNITURE}{begin}<h2 class='page-header'>Title</h2><p>{P}</p>{NOISE[noise]}<p>Then {P}</p>{end}{TAIL if wrap != 'unclosed' else ''}</body></html>"
-    assert text_of(page) == f"Title {P} Then {P}"
-
-
-def test_clashing_columns_and_very_long_pages(spark):
-    page = "<body><div class='post'>" + f"<p>{P}</p>" * 20_000 + "</div></body>"
-    columns = "page_id long, url string, html string, host string, path string, votes long, paths string, text string"
-    got = hx.extract(spark.createDataFrame([(1, "http://a.test/", page, "h", "p", 3, "q", "t"), (1, "http://a.test/", page, "h", "p", 3, "q", "t")], columns)).collect()
-    assert len(got) == 2 and all(r.text == " ".join([P] * 20_000) and r.n_chars == len(r.text) for r in got)
-
-
-WRAPS = {
-    "article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "post": ("<div class='post-body x9'>", "</div>"), "id": ("<div id='story'>", "</div>"),
-    "section": ("<section class='entry'>", "</section>"), "cell": ("<table><tr><td class='content'>", "</td></tr></table>"), "plain": ("<div>", "</div>"), "unclosed": ("<div class=text>", ""),
-    "deep": ("<div>" * 150 + "<div class='post'>", "</div>" * 151),
-}
-NOISE = {
-    "advert": "<p class='advert'>Buy now</p>", "comment": "<p class='comment'>First!</p>", "heading": "<h4 class='sidebar'>More</h4>", "hidden": "<span class='hidden'>secret</span>",
-    "bare hidden": "<p hidden>secret</p>", "display": "<b style='display: none'>secret</b>", "aria": "<span aria-hidden=true>x <span>y</span> z</span>", "role": "<ul role=navigation><li>Menu</ul>",
-    "block advert": "<div class='ad-slot'><p>Buy</p></div>", "comments": "<ol class='comment-list'><li><p>" + P + "</p></li></ol>", "share link": "<a class='share-button' href=/s>Share</a>",
-    "unclosed inline": "<span class='ads'>Buy<p></p>", "long": "<iframe srcdoc='" + "<p>no</p> " * 700 + "'></iframe>", "script": "<script data-x='" + "> " * 3000 + "'>var leaked = 1</script>",
-    "alt": "<img alt='" + "5 > 4 " * 1000 + "tail'>", "newsletter": "<form class=newsletter>Join<input></form>", "notice": "<div class='cookie-notice'>We use cookies</div>", "style": "<style>p{}</style>",
-}
-
-
-@pytest.mark.parametrize("wrap", WRAPS)
-@pytest.mark.parametrize("noise", NOISE)
-def test_layouts_with_noise_inside_the_article(wrap, noise):
-    begin, end = WRAPS[wrap]
-    page = f"<html><body>{FURNITURE}{begin}<h2 class='page-header'>Title</h2><p>{P}</p>{NOISE[noise]}<p>Then {P}</p>{end}{TAIL if wrap != 'unclosed' else ''}</body></html>"
-    assert text_of(page) == f"Title {P} Then {P}"
-
-
-def test_clashing_columns_and_very_long_pages(spark):
-    page = "<body><div class='post'>" + f"<p>{P}</p>" * 20_000 + "</div></body>"
-    columns = "page_id long, url string, html string, host string, path string, votes long, paths string, text string"
-    got = hx.extract(spark.createDataFrame([(1, "http://a.test/", page, "h", "p", 3, "q", "t"), (1, "http://a.test/", page, "h", "p", 3, "q", "t")], columns)).collect()
-    assert len(got) == 2 and all(r.text == " ".join([P] * 20_000) and r.n_chars == len(r.text) for r in got)
-
-
-WRAPS = {
-    "article": ("<article>", "</article>"), "main": ("<main><div>", "</div></main>"), "post": ("<div class='post-body x9'>", "</div>"), "id": ("<div id='story'>", "</div>"),
-    "section": ("<section class='entry'>", "</section>"), "cell": ("<table><tr><td class='content'>", "</td></tr></table>"), "plain": ("<div>", "</div>"), "unclosed": ("<div class=text>", ""),
-    "deep": ("<div>" * 150 + "<div class='post'>", "</div>" * 151),
-}
-NOISE = {
-    "advert": "<p class='advert'>Buy now</p>", "comment": "<p class='comment'>First!</p>", "heading": "<h4 class='sidebar'>More</h4>", "hidden": "<span class='hidden'>secret</span>",
-    "bare hidden": "<p hidden>secret</p>", "display": "<b style='display: none'>secret</b>", "aria": "<span aria-hidden=true>x <span>y</span> z</span>", "role": "<ul role=navigation><li>Menu</ul>",
-    "block advert": "<div class='ad-slot'><p>Buy</p></div>", "comments": "<ol class='comment-list'><li><p>" + P + "</p></li></ol>", "share link": "<a class='share-button' href=/s>Share</a>",
-    "unclosed inline": "<span class='ads'>Buy<p></p>", "long": "<iframe srcdoc='" + "<p>no</p> " * 700 + "'></iframe>", "script": "<script data-x='" + "> " * 3000 + "'>var leaked = 1</script>",
-    "alt": "<img alt='" + "5 > 4 " * 1000 + "tail'>", "newsletter": "<form class=newsletter>Join<input></form>", "notice": "<div class='cookie-notice'>We use cookies</div>", "style": "<style>p{}</style>",
-}
-
-
 @pytest.mark.parametrize("wrap", WRAPS)
 @pytest.mark.parametrize("noise", NOISE)
 def test_layouts_with_noise_inside_the_article(wrap, noise):
