@@ -1,15 +1,17 @@
 """BPE encoding and decoding with a distinct-word table.
 
 Texts are normalised and split into words in Spark tasks. The corpus's distinct words are counted by a grouped aggregate, and each is
-encoded exactly once: the word table, stored in buckets by word. Its ids are decoded by a join with the id-to-piece table, which has
-the vocabulary's rows and is broadcast. Ids and pieces then return to the texts by position, in a join in two parts:
+encoded exactly once: the word table, stored in buckets by word. Ids are decoded by a join with the id-to-piece table, which has the
+vocabulary's rows and is broadcast. Ids and pieces return to the texts by position, in a join in two parts:
 
 * words with at least 1 / ``SHARE`` of all occurrences, and ``MOST_FREQUENT`` of them at most, so a bounded table whatever the corpus, are
-  broadcast and ranked. A text becomes its words' ranks, one to three bytes each, 0 where the word is not among them;
+  broadcast and ranked. A text becomes its words' ranks, one to three bytes each, 0 where the word is not among them, compressed;
 * the rest, a share of all occurrences and so in proportion to the input, is a row (text, position, word) each. These are exchanged by word,
-  joined with the buckets of the word table, and gathered for each text.
+  joined with the buckets of the word table, and gathered for each text. Only their ids are exchanged: they meet their pieces in the task
+  that assembles the text.
 
-Equal texts are filled once and their result joins all rows that hold them, by the text's digest. A text's gap rows are made for each copy,
+Equal texts are filled once and their result joins all rows that hold them, by 96 bits of the text's digest (``KEY`` bytes: ten billion
+texts share one with a probability below 1e-9). A text's gap rows are made for each copy,
 but are equal, so they collapse in the set of each task before anything is exchanged by text: the work is linear in the copies.
 
 The vocabulary file is a parameter; executors load it from the same path, as a tokenizer's files are installed on each.
@@ -25,6 +27,7 @@ import hashlib
 import json
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from functools import lru_cache
 from itertools import chain, repeat
@@ -39,6 +42,8 @@ from quarry.llm.common import broadcast_if_small, stored, stored_by
 
 #: Words with this share of all occurrences are broadcast, up to so many and of up to so many characters; all others take the exchange.
 SHARE, MOST_FREQUENT, LONGEST = 5_000_000, 1_000_000, 32
+#: Bytes of a text's digest that name it in exchanges; a gap's tag is these and its position in four more.
+KEY = 12
 
 # Fixed values of the tokenizer file's kind: special tokens and, below, the split pattern.
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
@@ -186,22 +191,24 @@ def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, i
     words = word_table(word_counts(docs, path, text_col), path)
     known, others = frequent_words(words, path, share)
     shared = context.broadcast({c: known.column(c).to_pylist() for c in ("word", "ids", "pieces")})
+    table = piece_table(docs.sparkSession, path).toArrow()
+    piece_of = context.broadcast(dict(zip(map(str, table.column("id").to_pylist()), table.column("piece").to_pylist(), strict=True)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("key"))
-    texts = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    key = F.substring(F.unhex(F.md5(text)), 1, KEY).alias("key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), key)
+    texts = docs.select(key, text.alias("text"))
 
     def gaps(batches):
         rank = ranks_of(shared.value["word"])
         for batch in batches:
-            keys, places, found = [], [], []
+            tags, found = [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 own = split_words(text.as_py(), path)
                 missing = set(own).difference(rank)
                 here = [(at, w) for at, w in enumerate(own) if w in missing] if missing else []
-                keys += [key] * len(here)
-                places += [at for at, _ in here]
+                tags += [key + at.to_bytes(4) for at, _ in here]
                 found += [w for _, w in here]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(found, pa.string())], names=["key", "at", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(tags, pa.binary()), pa.array(found, pa.string())], names=["tag", "word"])
 
     def ranked(batches):
         rank = ranks_of(shared.value["word"]).get
@@ -209,27 +216,30 @@ def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, i
             codes = []
             for at in range(0, batch.num_rows, 200):
                 own = [split_words(text.as_py(), path) for text in batch.column("text").slice(at, 200)]
-                codes += pack(list(map(rank, chain.from_iterable(own), repeat(0))), [len(w) for w in own])
+                codes += [zlib.compress(c, 4, -15) for c in pack(list(map(rank, chain.from_iterable(own), repeat(0))), [len(w) for w in own])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary())], names=["key", "codes"])
 
-    rare = texts.mapInArrow(gaps, "key binary, at int, word string").join(decoded(others, path).select("word", "ids", "pieces"), "word")
-    filled = rare.groupBy("key").agg(F.collect_set(F.concat_ws("\t", F.col("at").cast("string"), "ids", "pieces")).alias("filled"))  # one string takes half of a struct's bytes
+    rare = texts.mapInArrow(gaps, "tag binary, word string").join(others.select("word", F.array_join("ids", " ").alias("ids")), "word")
+    at = F.conv(F.hex(F.substring("tag", KEY + 1, 4)), 16, 10)
+    entries = rare.select(F.substring("tag", 1, KEY).alias("key"), F.concat_ws("\t", at, "ids").alias("gap"))  # one string takes half of a struct's bytes
+    filled = entries.groupBy("key").agg(F.collect_set("gap").alias("filled"))
     coded = texts.mapInArrow(ranked, "key binary, codes binary").groupBy("key").agg(F.first("codes").alias("codes"))
 
     def assemble(batches):
         ids_of, pieces_of = (["", *shared.value[c]] for c in ("ids", "pieces"))
+        piece = piece_of.value.__getitem__
         for batch in batches:
             out, taken = [], 0
-            gaps = [g.split("\t", 2) for g in batch.column("filled").flatten().to_pylist()]
+            gaps = [g.split("\t") for g in batch.column("filled").flatten().to_pylist()]
             many = pa.compute.fill_null(pa.compute.list_value_length(batch.column("filled")), 0).to_pylist()
             codes = batch.column("codes").to_pylist()
             for at in range(0, len(codes), 200):
-                ranks, begins = unpack(codes[at : at + 200])
+                ranks, begins = unpack([zlib.decompress(c, -15) for c in codes[at : at + 200]])
                 for i, (begin, end) in enumerate(zip(begins[:-1], begins[1:], strict=True), at):
                     own = ranks[begin:end]
                     ids, pieces = list(map(ids_of.__getitem__, own)), list(map(pieces_of.__getitem__, own))
-                    for place, own_ids, own_pieces in gaps[taken : taken + many[i]]:
-                        ids[int(place)], pieces[int(place)] = own_ids, own_pieces
+                    for place, own_ids in gaps[taken : taken + many[i]]:
+                        ids[int(place)], pieces[int(place)] = own_ids, " ".join(map(piece, own_ids.split()))
                     taken += many[i]
                     ids, pieces = " ".join(filter(None, ids)), " ".join(filter(None, pieces))
                     out.append((ids.count(" ") + (ids != ""), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(pieces.encode()).hexdigest(), *((ids, pieces) if full else ())))
