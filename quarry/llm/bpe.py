@@ -27,14 +27,15 @@ import hashlib
 import json
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, compress, count, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ from quarry.llm.common import broadcast_if_small, stored, stored_by
 
 #: Words with this share of all occurrences are broadcast, up to so many and of up to so many characters; all others take the exchange.
 SHARE, MOST_FREQUENT, LONGEST = 5_000_000, 1_000_000, 32
-#: Bytes of a text's digest that name it in exchanges; a gap's tag is these and its position in four more.
+#: Bytes of a text's digest that name it in exchanges; a gap's tag is these and its position in digits.
 KEY = 12
 
 # Fixed values of the tokenizer file's kind: special tokens and, below, the split pattern.
@@ -104,7 +105,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
         for batch in batches:
             for text in batch.column(0):
                 tally.update(split_words(text.as_py(), path))
-                if len(tally) > 200_000:
+                if len(tally) > 400_000:
                     yield table()
                     tally.clear()
         yield table()
@@ -204,37 +205,35 @@ def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, i
             tags, found = [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 own = split_words(text.as_py(), path)
-                missing = set(own).difference(rank)
-                here = [(at, w) for at, w in enumerate(own) if w in missing] if missing else []
-                tags += [key + at.to_bytes(4) for at, _ in here]
-                found += [w for _, w in here]
+                here = list(compress(count(), map(not_, map(rank.__contains__, own))))
+                tags += [b"%b%d" % (key, at) for at in here]
+                found += [own[at] for at in here]
             yield pa.RecordBatch.from_arrays([pa.array(tags, pa.binary()), pa.array(found, pa.string())], names=["tag", "word"])
 
     def ranked(batches):
-        rank = ranks_of(shared.value["word"]).get
+        rank, squeeze = ranks_of(shared.value["word"]).get, zstandard.ZstdCompressor(level=1, write_checksum=False).compress
         for batch in batches:
             codes = []
             for at in range(0, batch.num_rows, 200):
                 own = [split_words(text.as_py(), path) for text in batch.column("text").slice(at, 200)]
-                codes += [zlib.compress(c, 4, -15) for c in pack(list(map(rank, chain.from_iterable(own), repeat(0))), [len(w) for w in own])]
+                codes += map(squeeze, pack(list(map(rank, chain.from_iterable(own), repeat(0))), [len(w) for w in own]))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary())], names=["key", "codes"])
 
     rare = texts.mapInArrow(gaps, "tag binary, word string").join(others.select("word", F.array_join("ids", " ").alias("ids")), "word")
-    at = F.conv(F.hex(F.substring("tag", KEY + 1, 4)), 16, 10)
-    entries = rare.select(F.substring("tag", 1, KEY).alias("key"), F.concat_ws("\t", at, "ids").alias("gap"))  # one string takes half of a struct's bytes
+    entries = rare.select(F.substring("tag", 1, KEY).alias("key"), F.concat_ws("\t", F.substring("tag", KEY + 1, 10).cast("string"), "ids").alias("gap"))  # one string takes half of a struct's bytes
     filled = entries.groupBy("key").agg(F.collect_set("gap").alias("filled"))
     coded = texts.mapInArrow(ranked, "key binary, codes binary").groupBy("key").agg(F.first("codes").alias("codes"))
 
     def assemble(batches):
         ids_of, pieces_of = (["", *shared.value[c]] for c in ("ids", "pieces"))
-        piece = piece_of.value.__getitem__
+        piece, expand = piece_of.value.__getitem__, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out, taken = [], 0
             gaps = [g.split("\t") for g in batch.column("filled").flatten().to_pylist()]
             many = pa.compute.fill_null(pa.compute.list_value_length(batch.column("filled")), 0).to_pylist()
             codes = batch.column("codes").to_pylist()
             for at in range(0, len(codes), 200):
-                ranks, begins = unpack([zlib.decompress(c, -15) for c in codes[at : at + 200]])
+                ranks, begins = unpack(list(map(expand, codes[at : at + 200])))
                 for i, (begin, end) in enumerate(zip(begins[:-1], begins[1:], strict=True), at):
                     own = ranks[begin:end]
                     ids, pieces = list(map(ids_of.__getitem__, own)), list(map(pieces_of.__getitem__, own))
