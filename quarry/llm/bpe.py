@@ -43,7 +43,7 @@ from quarry.llm.common import broadcast_if_small, stored, stored_by
 
 #: Words with this share of all occurrences are broadcast, up to so many and of up to so many characters; all others take the exchange.
 SHARE, MOST_FREQUENT, LONGEST = 5_000_000, 1_000_000, 32
-#: Bytes of a text's digest that name it in exchanges; a gap's tag is these and its position in digits.
+#: Bytes of a text's digest that name it in exchanges; a gap's tag is its position in four bytes, then these.
 KEY = 12
 
 # Fixed values of the tokenizer file's kind: special tokens and, below, the split pattern.
@@ -105,7 +105,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
         for batch in batches:
             for text in batch.column(0):
                 tally.update(split_words(text.as_py(), path))
-                if len(tally) > 400_000:
+                if len(tally) > 200_000:
                     yield table()
                     tally.clear()
         yield table()
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, i
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 own = split_words(text.as_py(), path)
                 here = list(compress(count(), map(not_, map(rank.__contains__, own))))
-                tags += [b"%b%d" % (key, at) for at in here]
+                tags += [at.to_bytes(4) + key for at in here]
                 found += [own[at] for at in here]
             yield pa.RecordBatch.from_arrays([pa.array(tags, pa.binary()), pa.array(found, pa.string())], names=["tag", "word"])
 
@@ -220,7 +220,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, share: int = SHARE, i
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary())], names=["key", "codes"])
 
     rare = texts.mapInArrow(gaps, "tag binary, word string").join(others.select("word", F.array_join("ids", " ").alias("ids")), "word")
-    entries = rare.select(F.substring("tag", 1, KEY).alias("key"), F.concat_ws("\t", F.substring("tag", KEY + 1, 10).cast("string"), "ids").alias("gap"))  # one string takes half of a struct's bytes
+    at = F.conv(F.hex(F.substring("tag", 1, 4)), 16, 10)
+    entries = rare.select(F.substring("tag", 5, KEY).alias("key"), F.concat_ws("\t", at, "ids").alias("gap"))  # one string takes half of a struct's bytes
     filled = entries.groupBy("key").agg(F.collect_set("gap").alias("filled"))
     coded = texts.mapInArrow(ranked, "key binary, codes binary").groupBy("key").agg(F.first("codes").alias("codes"))
 
