@@ -150,12 +150,15 @@ def decoded(words: DataFrame, path: str) -> DataFrame:
 def pack(ranks: list[int], sizes: list[int]) -> list[bytes]:
     """Ranks of texts, one after another, as bytes of 7 bits, the lowest first, the last without its high bit; one value for each text."""
     x = np.array(ranks, np.uint32)
-    rows = np.column_stack([x & 127, x >> 7 & 127, x >> 14 & 127, x >> 21]).astype(np.uint8)
     size = 1 + (x > 0x7F) + (x > 0x3FFF) + (x > 0x1FFFFF)
-    at = np.arange(4)
-    rows[at < (size - 1)[:, None]] |= 128
-    packed = rows[at < size[:, None]].tobytes()
-    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].tolist()
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out, start = np.empty(ends[-1], np.uint8), ends[:-1]
+    for at in range(4):
+        out[start + at] = (x >> 7 * at & 127) | (size > at + 1) * 128
+        more = size > at + 1
+        x, size, start = x[more], size[more], start[more]
+    packed = out.tobytes()
+    ends = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].tolist()
     return [packed[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
@@ -168,8 +171,12 @@ def unpack(packed: list[bytes]) -> tuple[list[int], list[int]]:
     if not len(b):
         return [], begins
     start = np.flatnonzero(np.concatenate([[True], last[:-1]]))
-    place = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
-    return np.add.reduceat((b & 127).astype(np.uint32) << (7 * place).astype(np.uint32), start).tolist(), begins
+    ranks, place = (b[start] & 127).astype(np.uint32), np.flatnonzero(~last[start])
+    for at in range(1, 4):
+        byte = b[start[place] + at]
+        ranks[place] |= (byte & 127).astype(np.uint32) << 7 * at
+        place = place[byte >= 128]
+    return ranks.tolist(), begins
 
 
 def ranks_of(words: list[str]) -> dict[str, int]:
