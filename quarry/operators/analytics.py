@@ -69,10 +69,16 @@ def layer_counts(**layers: DataFrame) -> DataFrame:
 
 def semester_summary(courses: DataFrame, shown: int = 20) -> DataFrame:
     """(catalog_id, track, semester): courses, credits and the first ``shown`` names in order; courses have (ord, name, credits)."""
-    grouped = courses.groupBy(
-        "catalog_id", F.coalesce(F.nullif("track", F.lit("")), F.lit("khac")).alias("track"), F.coalesce(F.col("semester").cast("string"), F.lit("Khong ro hoc ky")).alias("semester")
-    ).agg(F.count("*").alias("courses"), F.sum("credits").cast(LONG).alias("credits"), F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("names"))
-    return grouped.withColumn("first_names", F.array_join(F.slice("names.name", 1, shown), "; ")).drop("names")
+    keyed = courses.select(
+        "catalog_id", F.coalesce(F.nullif("track", F.lit("")), F.lit("khac")).alias("track"), F.coalesce(F.col("semester").cast("string"), F.lit("Khong ro hoc ky")).alias("semester"), "ord", "name", "credits"
+    )
+    keys = ("catalog_id", "track", "semester")
+    totals = keyed.groupBy(*keys).agg(F.count("*").alias("courses"), F.sum("credits").cast(LONG).alias("credits"))
+    # A rank that is limited is cut by each task before the exchange, so no list grows with its group.
+    first = keyed.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("ord", "name"))).where(F.col("rank") <= shown)
+    names = first.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), "; ").alias("first_names"))
+    same = [totals[k].eqNullSafe(names[k]) for k in keys]
+    return totals.join(names, same).select(*[totals[k] for k in keys], "courses", "credits", "first_names")
 
 
 def success_rate(processed: Column, failed: Column) -> Column:
