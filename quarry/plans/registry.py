@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import analytics, entities, retrieval, rules
+from quarry.plans import analytics, entities, retrieval, rules, sessions
 
-FAMILIES = (retrieval, analytics, entities, rules)
+FAMILIES = (retrieval, analytics, entities, rules, sessions)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
