@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat_format, exact_dedup, html_extract, mixing, near_dedup, quality_classifier, quality_rules, toxicity, url_filter
+from quarry.llm import bpe, chat_format, exact_dedup, html_extract, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_bpe": bpe.op10_bpe,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 ORACLES = {
