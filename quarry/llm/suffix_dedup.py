@@ -43,7 +43,7 @@ CHUNK = 1 << 16
 #: Window starts in a part of a long text.
 PART = 49_152
 #: Characters that are sorted at once.
-BATCH = 3_000_000
+BATCH = 1_000_000
 #: A side of two longs in a row is broadcast up to so many rows.
 NARROW_ROWS = 1 << 20
 
@@ -196,6 +196,20 @@ def _sort_shards(width: int):
     return marks
 
 
+def joined(ranges: DataFrame, more: int = 0) -> DataFrame:
+    """(k1, k2, begin, end): ranges that overlap or touch as one, after each has grown by ``more`` at its end."""
+    ordered = Window.partitionBy("k1", "k2").orderBy("begin", "end")
+    covered = ranges.select("k1", "k2", "begin", (F.col("end") + more).alias("end"))
+    before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    marked = covered.withColumn("opens", (F.coalesce(before, F.lit(-1)) < F.col("begin")).cast("int"))
+    return marked.withColumn("run", F.sum("opens").over(ordered)).groupBy("k1", "k2", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("run")
+
+
+def spans(ranges: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(k1, k2, spans: array of (begin, end)): the bytes that repeated windows cover, as maximal runs in order."""
+    return joined(ranges, width - 1).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+
+
 def repeated_windows(texts: DataFrame, grams: tuple[int, ...] = GRAMS, width: int = WIDTH, most_pieces: int = MOST_PIECES) -> DataFrame:
     """(k1, k2, text binary) -> (k1, k2, begin, end) stored: ranges of window starts in each text whose windows occur elsewhere too."""
     runs = stored(texts.where(F.length("text") >= width).mapInArrow(_scan(grams[0], width), RUNS), "runs")
@@ -224,23 +238,13 @@ def repeated_windows(texts: DataFrame, grams: tuple[int, ...] = GRAMS, width: in
     marks = marks.union(pieces.where(~single).select("gram", "piece", F.lit(0), F.col("at.windows")))
     if not last and not (large := cuts.where(F.col("distinct") > most_pieces)).isEmpty():
         deeper = repeated_windows(large.select(F.col("gram").alias("k1"), F.col("piece").alias("k2"), "text"), grams[1:], width, most_pieces)
-        marks = marks.union(deeper)
+        marks = marks.union(joined(deeper))
     marks = stored(marks, "marks")
     ranges = stored(counted.join(marks, ["gram", "piece"]).select("k1", "k2", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")), "ranges")
     discard(counted, pieces, shards, wanted, cuts, marks)
     return ranges
 
 
-def spans(ranges: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(k1, k2, spans: array of (begin, end)): the bytes that repeated windows cover, as maximal runs in order."""
-    ordered = Window.partitionBy("k1", "k2").orderBy("begin", "end")
-    covered = ranges.select("k1", "k2", "begin", (F.col("end") + width - 1).alias("end"))
-    before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    marked = covered.withColumn("opens", (F.coalesce(before, F.lit(-1)) < F.col("begin")).cast("int"))
-    runs = marked.withColumn("run", F.sum("opens").over(ordered)).groupBy("k1", "k2", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return runs.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-
-
 def _kept(batches):
     """Adds what is left of each text, its digest and how much went."""
     for batch in batches:
