@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat_format, exact_dedup, html_extract, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
+from quarry.llm import bpe, chat_format, exact_dedup, hard_negatives, html_extract, mixing, near_dedup, quality_classifier, quality_rules, source_divergence, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_bpe": bpe.op10_bpe,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
@@ -22,4 +24,6 @@ ORACLES = {
     "op4_chat_format": chat_format.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_quality_rules": quality_rules.OP6_SQL,
+    "op11_source_divergence": source_divergence.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
