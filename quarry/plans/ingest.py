@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as U
+from quarry.operators import catalogue as K
 from quarry.operators import fee_tables as FT
 from quarry.plans import duck as D
 from quarry.plans.rules import _repaired_sql, _slug_sql
@@ -75,5 +76,33 @@ _FEE_SQL = f"""WITH {_LINES_SQL}, slugs AS (SELECT *, {_slug_sql('line')} AS slu
 SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY table_no) AS table_order, row_number() OVER (PARTITION BY doc_id, table_no ORDER BY row_no) AS row_order, title, table_from, table_to, row_id, label,
   amount_text, amount_value, array_to_string(tracks, ',') AS tracks, array_to_string(basis, ',') AS basis, {_repaired_sql("title || ' ' || label || ' ' || amount_text || ' hoc phi ' || words")} AS searched, page_from, page_to FROM worded"""
 
-QUERIES = {f.__name__: f for f in (fee_tables,)}
-ORACLES = {"fee_tables": _FEE_SQL}
+def _delivery(spark, sf_dir, text, wanted):
+    """Documents as files of a delivery."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    status = F.when(F.col("n_chars") > 500, "published")
+    return A.table(spark, sf_dir, "documents").where(wanted).select(
+        path.alias("relative_path"), F.lit("").alias("title"), F.col("lang").alias("category"), status.alias("status"), F.lit(None).cast("string").alias("notes"), F.sha2(text, 256).alias("checksum"),
+        F.octet_length(text).cast("long").alias("size_bytes"),
+    )
+
+
+def catalogue_sync(spark, sf_dir):
+    """Versions and files after two deliveries of all documents: the first without French and with texts on one line, the second without one source."""
+    first = K.synced(K.empty(spark), _delivery(spark, sf_dir, F.regexp_replace("text", "\n", " "), F.col("lang") != "fr"))
+    second = K.synced(first, _delivery(spark, sf_dir, F.col("text"), F.col("source") != "src3"))
+    joined = second["versions"].join(second["files"], ["source_id", "version"]).join(second["sources"], "source_id").join(K.changes(first, second), "source_id")
+    return joined.select("source_id", "version", "checksum", "status", "is_active", "file_name", "mime_type", "size_bytes", "title", "current_status", "action")
+
+
+_SYNC_SQL = """WITH d AS (SELECT *, 'src-' || source || '-' || lang || '-' || doc_id || '-txt' AS source_id, doc_id || '.txt' AS file_name, CASE WHEN n_chars > 500 THEN 'published' ELSE 'draft' END AS status FROM documents
+), f AS (SELECT source_id, sha256(t) AS checksum, strlen(t) AS size_bytes FROM (SELECT source_id, replace(text, chr(10), ' ') AS t FROM d WHERE lang <> 'fr')
+), s AS (SELECT d.*, sha256(text) AS now, strlen(text) AS now_size, f.checksum AS was, f.size_bytes AS was_size FROM d LEFT JOIN f USING (source_id) WHERE source <> 'src3'
+), v AS (
+  SELECT *, CASE WHEN was <> now THEN 2 ELSE 1 END AS version, now AS checksum, TRUE AS is_active, now_size AS size_bytes FROM s
+  UNION ALL SELECT *, 1, was, FALSE, was_size FROM s WHERE was <> now)
+SELECT source_id, version, checksum, status, is_active, file_name, 'text/plain' AS mime_type, size_bytes, doc_id::VARCHAR AS title, status AS current_status,
+  CASE WHEN was IS NULL THEN 'added' WHEN was = now THEN 'same' ELSE 'changed' END AS action FROM v"""
+
+
+QUERIES = {f.__name__: f for f in (fee_tables, catalogue_sync)}
+ORACLES = {"fee_tables": _FEE_SQL, "catalogue_sync": _SYNC_SQL}
