@@ -42,8 +42,8 @@ MOST_WINDOWS = 512
 CHUNK = 1 << 16
 #: Window starts in a part of a long text.
 PART = 49_152
-#: Characters that are sorted at once.
-BATCH = 1_000_000
+#: Bytes of shards that a task holds to sort those of about the same length together, and characters that are sorted at once.
+HELD, BATCH = 16 << 20, 2_000_000
 #: A side of two longs in a row is broadcast up to so many rows.
 NARROW_ROWS = 1 << 20
 
@@ -183,7 +183,7 @@ def _sort_shards(width: int):
         for rows in batches:
             for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 if row[0] != gram:
-                    if size > BATCH:
+                    if size > HELD:
                         yield batch(drained(shards))
                         shards, size = [], 0
                     shards.append([])
