@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as U
@@ -10,6 +12,8 @@ from quarry.operators import fee_tables as FT
 from quarry.plans import duck as D
 from quarry.plans.rules import _repaired_sql, _slug_sql
 from quarry.sources import adapters as A
+from quarry.sources import knowledge_files as KF
+from quarry.tables import shared_dir
 
 PAGE = 5
 
@@ -104,5 +108,46 @@ SELECT source_id, version, checksum, status, is_active, file_name, 'text/plain'
   CASE WHEN was IS NULL THEN 'added' WHEN was = now THEN 'same' ELSE 'changed' END AS action FROM v"""
 
 
-QUERIES = {f.__name__: f for f in (fee_tables, catalogue_sync)}
-ORACLES = {"fee_tables": _FEE_SQL, "catalogue_sync": _SYNC_SQL}
+def _records(spark, sf_dir):
+    """Records of four kinds as lines of JSON: documents, those under 60 characters as bare text, passages as FAQs, parts as forms, orders as tables."""
+    line = lambda **fields: F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    doc = line(id=F.concat(F.lit("d"), F.col("doc_id").cast("string")), title=F.col("source"), category=F.col("lang"), content=F.col("text"), keywords=F.array("lang", "source"))
+    bare = F.concat(F.lit("text "), F.regexp_replace("text", "\\n", " "))
+    faq = line(id=F.concat(F.lit("b"), F.col("item_id").cast("string")), question=F.substring("text", 1, 60), answer=F.col("text"))
+    field = F.array(F.struct(F.col("p_brand").alias("label"), F.lit("brand").alias("name"), F.lit("text").alias("type")), F.struct(F.col("p_type").alias("label"), F.lit("size").alias("name"), F.lit("number").alias("type")))
+    form = line(id=F.concat(F.lit("p"), F.col("p_partkey").cast("string")), title=F.col("p_name"), description=F.col("p_type"), fields=field)
+    row = F.struct(
+        F.col("l_linenumber").alias("row_id"), F.concat("l_returnflag", "l_linestatus").alias("label"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" dong")).alias("amount_text"),
+        F.col("l_quantity").cast("int").alias("amount_value"), F.array(F.col("l_linestatus")).alias("track_tags"),
+    )
+    rows = A.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(row).alias("rows"))
+    orders = A.table(spark, sf_dir, "orders").join(rows, F.col("o_orderkey") == F.col("l_orderkey"))
+    fees = F.array(F.struct(F.col("o_orderkey").alias("table_id"), F.col("o_orderpriority").alias("title"), F.lit(1).alias("page_from"), F.col("rows")))
+    table = line(document_id=F.col("o_custkey").cast("string"), title=F.lit("Orders"), category=F.col("o_orderstatus"), tables=fees)
+    return {
+        "documents": A.table(spark, sf_dir, "documents").select(F.when(F.length("text") < 60, bare).otherwise(doc).alias("value")), "faqs": A.table(spark, sf_dir, "benchmark").select(faq.alias("value")),
+        "forms": A.table(spark, sf_dir, "part").select(form.alias("value")), "tables": orders.select(table.alias("value")),
+    }
+
+
+def knowledge_corpus(spark, sf_dir):
+    """The tables written as files of records and read back as one corpus; what isn't JSON comes back as rows with an error."""
+    root, folders = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}", {}
+    for kind, lines in _records(spark, sf_dir).items():
+        folders[kind] = f"{root}/{kind}"
+        lines.write.text(folders[kind])
+    rows = KF.knowledge_files(spark, **folders)
+    return rows.select("id", "kind", "source_kind", "title", "category", "summary", "content", F.array_join("keywords", "|").alias("keywords"), "source_document_id", "page_from", F.col("error").isNotNull().alias("broken"))
+
+
+_CORPUS_SQL = """SELECT CASE WHEN length(text) >= 60 THEN 'd' || doc_id END AS id, 'documents' AS kind, CASE WHEN length(text) >= 60 THEN 'document' END AS source_kind, CASE WHEN length(text) >= 60 THEN source END AS title,
+  CASE WHEN length(text) >= 60 THEN lang END AS category, CASE WHEN length(text) >= 60 THEN '' END AS summary, CASE WHEN length(text) >= 60 THEN text ELSE 'text ' || replace(text, chr(10), ' ') END AS content,
+  CASE WHEN length(text) >= 60 THEN lang || '|' || source END AS keywords, NULL AS source_document_id, NULL::INTEGER AS page_from, length(text) < 60 AS broken FROM documents
+UNION ALL SELECT 'b' || item_id, 'faqs', 'faq', '', '', substr(text, 1, 60), 'Cau hoi: ' || substr(text, 1, 60) || chr(10) || chr(10) || 'Tra loi: ' || text, '', NULL, NULL, FALSE FROM benchmark
+UNION ALL SELECT 'p' || p_partkey, 'forms', 'form_template', p_name, '', p_type, 'Bieu mau: ' || p_name || chr(10) || chr(10) || 'Mo ta: ' || p_type || chr(10) || chr(10) || 'Cac truong: ' || p_brand || ' (brand, text), ' || p_type || ' (size, number)', '', NULL, NULL, FALSE FROM part
+UNION ALL SELECT o_orderkey || '-' || l_linenumber, 'tables', 'table_row', 'Orders', o_orderstatus, said, said, o_orderstatus || '|Orders|' || o_orderpriority || '|' || l_returnflag || l_linestatus || '|' || q || ' dong|' || l_linestatus, o_custkey::VARCHAR, 1, FALSE
+  FROM (SELECT *, l_quantity::INTEGER AS q, o_orderpriority || '. ' || l_returnflag || l_linestatus || '. Muc hoc phi: ' || l_quantity::INTEGER || ' dong (' || l_quantity::INTEGER || ' dong).' AS said FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+
+
+QUERIES = {f.__name__: f for f in (fee_tables, catalogue_sync, knowledge_corpus)}
+ORACLES = {"fee_tables": _FEE_SQL, "catalogue_sync": _SYNC_SQL, "knowledge_corpus": _CORPUS_SQL}
