@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quarry.functions import rules as U
 from quarry.operators import catalogue as K
+from quarry.operators import courses as C
 from quarry.operators import fee_tables as FT
 from quarry.plans import duck as D
 from quarry.plans.rules import _repaired_sql, _slug_sql
@@ -149,5 +151,62 @@ UNION ALL SELECT o_orderkey || '-' || l_linenumber, 'tables', 'table_row', 'Orde
   FROM (SELECT *, l_quantity::INTEGER AS q, o_orderpriority || '. ' || l_returnflag || l_linestatus || '. Muc hoc phi: ' || l_quantity::INTEGER || ' dong (' || l_quantity::INTEGER || ' dong).' AS said FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
 
 
-QUERIES = {f.__name__: f for f in (fee_tables, catalogue_sync, knowledge_corpus)}
-ORACLES = {"fee_tables": _FEE_SQL, "catalogue_sync": _SYNC_SQL, "knowledge_corpus": _CORPUS_SQL}
+#: Three header layouts of course sheets; one without credits.
+HEADERS = (
+    ("TT", "Tên học phần", "Mã học phần", "Số TC", "LT", "TH", "Học kỳ", "Chương trình", "NNGD", "HP tiên quyết"),
+    ("Mã học phần", "Số TC", "Tên  học phần", "Chương trình", "TL/BT", "TKMH", "Ghi chú", "LT"),
+    ("Số-TC", "Học kỳ", "MÃ HỌC PHẦN", "ten hoc phan", "NNGD", "THoc", "BTL", ""),
+)
+
+
+def course_sheets(spark, sf_dir):
+    """Parts as courses: a workbook for each brand, laid out in one of three ways, some without credits; every workbook has two more sheets."""
+    brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    rows = A.table(spark, sf_dir, "part").withColumn("brand", brand).withColumn("layout", brand % 3)
+    path = F.concat(F.when(F.col("layout") == 2, F.lit("ctdt/Danh sach mon hoc ")).otherwise(F.lit("ctdt/Khung ")), F.col("brand").cast("string"), F.lit(".xlsx"))
+    sheet = F.when(F.col("layout") == 2, F.lit("Sheet1")).otherwise(F.lit("Dữ liệu"))
+    text = lambda c: F.col(c).cast("string")
+    name = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(" ai so tuyen tinh"))).otherwise(F.col("p_name"))
+    code, credits = F.when(F.col("p_size") % 10 == 0, F.lit(" ")).otherwise(F.concat(F.lit("IT"), text("p_partkey"))), F.when(F.col("p_size") % 7 == 0, F.lit("x")).otherwise(F.concat(text("p_size"), F.lit(" tc")))
+    track, language = F.when(F.col("p_type") == "ECONOMY", "Kỹ sư").when(F.col("p_type") == "SMALL", "Cử-nhân").otherwise(""), F.when(F.col("p_size") % 2 == 0, "Tiếng Anh").otherwise("Khác")
+    semester = F.concat(F.lit("Học kỳ "), (F.col("p_size") % 8).cast("string"))
+    layouts = (
+        F.array(text("p_partkey"), name, code, credits, F.lit("30"), F.lit("-"), semester, track, language, F.lit("IT1")), F.array(code, credits, name, track, F.lit("15"), F.lit("8 h"), F.lit("n")),
+        F.array(credits, semester, code, name, language, F.lit("5"), F.lit("")),
+    )
+    place = (F.row_number().over(W.partitionBy("brand").orderBy("p_partkey")) + 1).alias("row_number")
+    cells = F.when(F.col("layout") == 0, layouts[0]).when(F.col("layout") == 1, layouts[1]).otherwise(layouts[2])
+    courses = rows.select("brand", path.alias("path"), sheet.alias("sheet"), F.lit(2).alias("sheet_no"), place, cells.alias("cells"))
+    books = rows.select("brand", "layout", path.alias("path"), sheet.alias("sheet")).distinct()
+    header = F.transform(F.get(F.array(*[F.array(*map(F.lit, h)) for h in HEADERS]), F.col("layout")), lambda h: F.when((F.col("brand") % 5 == 0) & h.startswith("Số"), F.lit("Tín")).otherwise(h))
+    heads = books.select("brand", "path", "sheet", F.lit(2).alias("sheet_no"), F.lit(1).alias("row_number"), header.alias("cells"))
+    more = [books.where("layout <> 2").select("brand", "path", F.lit(n).alias("sheet"), F.lit(i).alias("sheet_no"), F.lit(1).alias("row_number"), F.array(F.lit("Mục"), F.lit(n)).alias("cells")) for n, i in (("Tổng quan", 1), ("Ghi chú", 3))]
+    return courses.unionByName(heads).unionByName(more[0]).unionByName(more[1])
+
+
+def course_catalogues(spark, sf_dir):
+    rows = course_sheets(spark, sf_dir)
+    metadata = rows.select("path", "brand").distinct().select(
+        "path", F.when(F.col("brand") % 4 != 0, F.concat(F.lit("Khung "), F.col("brand").cast("string"))).alias("title"), F.lit("k").alias("category"), F.lit("2024").alias("version"), F.lit("published").alias("status"),
+        F.lit(None).cast("string").alias("canonical_sheet"),
+    )
+    return C.courses(rows.drop("brand"), metadata).drop("catalog_id")
+
+
+_NAME = "trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g'))"
+_COURSE_SQL = f"""WITH p AS (SELECT *, regexp_extract(p_brand, '\\d+')::INTEGER AS brand, regexp_extract(p_brand, '\\d+')::INTEGER % 3 AS layout, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS row_number,
+    CASE WHEN p_size % 3 = 0 THEN p_name || ' ai so tuyen tinh' ELSE p_name END AS name, 'IT' || p_partkey AS code, p_size AS credits,
+    CASE p_type WHEN 'ECONOMY' THEN 'Kỹ sư' WHEN 'SMALL' THEN 'Cử-nhân' ELSE '' END AS track, CASE WHEN p_size % 2 = 0 THEN 'Tiếng Anh' ELSE 'Khác' END AS language, 'Học kỳ ' || p_size % 8 AS semester FROM part
+), q AS (SELECT *, CASE WHEN layout = 2 THEN 'Danh sach mon hoc ' ELSE 'Khung ' END || brand AS stem, CASE WHEN layout <> 2 AND p_type = 'ECONOMY' THEN 'ky_su' WHEN layout <> 2 AND p_type = 'SMALL' THEN 'cu_nhan' ELSE 'khac' END AS program,
+    replace({_NAME}, 'ai so tuyen tinh', 'dai so tuyen tinh') AS normal, CASE WHEN layout = 1 THEN 'Khong ro hoc ky' ELSE semester END AS label FROM p WHERE p_size % 10 <> 0 AND p_size % 7 <> 0 AND brand % 5 <> 0)
+SELECT 'catalog-ctdt-' || replace(lower(stem), ' ', '-') || '-xlsx-row-' || lpad(row_number::VARCHAR, 4, '0') AS course_record_id, CASE WHEN brand % 4 <> 0 THEN 'Khung ' || brand ELSE stem END AS program_name,
+  CASE WHEN layout = 2 THEN 'Sheet1' ELSE 'Dữ liệu' END AS sheet, CASE WHEN layout <> 2 THEN 'Tổng quan' END AS summary, CASE WHEN layout <> 2 THEN 'Ghi chú' END AS glossary, 'published' AS status, program AS program_track,
+  nullif(program, 'khac') AS degree_level, CASE WHEN layout <> 1 THEN p_size % 8 END AS semester_number, label AS semester_label, CASE WHEN layout = 0 THEN p_partkey::INTEGER END AS course_order, name AS course_name,
+  normal AS normalized_course_name, CASE WHEN p_size % 3 = 0 THEN 'dai so tuyen tinh' ELSE '' END AS aliases, code AS course_code, credits, CASE WHEN layout = 0 THEN 30 END AS lecture_hours,
+  CASE WHEN layout = 1 THEN 15 END AS discussion_hours, CASE WHEN layout = 1 THEN 8 END AS course_design_hours, NULL::INTEGER AS project_hours, NULL::INTEGER AS lab_hours, NULL::INTEGER AS practice_hours,
+  CASE WHEN layout = 2 THEN 5 END AS self_study_hours, CASE WHEN layout = 0 THEN 'IT1' END AS prerequisite_text, CASE WHEN layout <> 1 THEN CASE WHEN p_size % 2 = 0 THEN 'anh' ELSE 'khac' END END AS teaching_language,
+  concat_ws(' ', CASE WHEN layout <> 2 THEN nullif(track, '') END, label, name, normal, code, credits, CASE WHEN layout <> 1 THEN language END, CASE WHEN layout = 0 THEN 'IT1' END) AS search_text FROM q"""
+
+
+QUERIES = {f.__name__: f for f in (fee_tables, catalogue_sync, knowledge_corpus, course_catalogues)}
+ORACLES = {"fee_tables": _FEE_SQL, "catalogue_sync": _SYNC_SQL, "knowledge_corpus": _CORPUS_SQL, "course_catalogues": _COURSE_SQL}
