@@ -184,13 +184,17 @@ def course_sheets(spark, sf_dir):
     return courses.unionByName(heads).unionByName(more[0]).unionByName(more[1])
 
 
-def course_catalogues(spark, sf_dir):
+def loaded_courses(spark, sf_dir):
     rows = course_sheets(spark, sf_dir)
     metadata = rows.select("path", "brand").distinct().select(
         "path", F.when(F.col("brand") % 4 != 0, F.concat(F.lit("Khung "), F.col("brand").cast("string"))).alias("title"), F.lit("k").alias("category"), F.lit("2024").alias("version"), F.lit("published").alias("status"),
         F.lit(None).cast("string").alias("canonical_sheet"),
     )
-    return C.courses(rows.drop("brand"), metadata).drop("catalog_id")
+    return C.courses(rows.drop("brand"), metadata)
+
+
+def course_catalogues(spark, sf_dir):
+    return loaded_courses(spark, sf_dir).drop("catalog_id")
 
 
 _NAME = "trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g'))"
