@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -24,7 +24,7 @@ TUITION = ("hoc phi", "muc thu", "tin chi", "khoi nganh", "cao hoc", "lien thong
 ATTACHED = ("tep dinh kem", "anh de ban phan tich")
 CODE = r"\b[a-z]{2,}[a-z0-9]*\d[\d.a-z]*\b"
 
-#: (intent, reason, tool) in order of precedence.
+# Fixed values: (intent, reason, tool) in order of precedence.
 ROUTES = (
     ("casual", "short greeting or conversational opener", None),
     ("course_evaluation", "course evaluation regulation lookup", "search_course_evaluation_rules"),
@@ -91,10 +91,31 @@ def _subject(low: Column) -> Column:
     return F.when(best["hits"] > 0, best["name"]).otherwise(F.lit("khac"))
 
 
-def fallback_tool(tool: Column, results: Column, matched: Column) -> Column:
-    """The tool to try next after an empty result; null if there is none."""
-    return (
-        F.when((tool == "search_course_catalog") & (results == 0), F.lit("search_student_knowledge"))
-        .when((tool == "build_procedure_workflow") & ~F.coalesce(matched, F.lit(False)), F.lit("search_student_knowledge"))
-        .when((tool == "search_student_knowledge") & (results == 0), F.lit("build_procedure_workflow"))
-    )
+# Tools whose empty answers lead on, and the intent without which an empty search doesn't.
+CATALOGUE_TOOL, PROCEDURE_TOOL, KNOWLEDGE_TOOL, FEES_INTENT = "search_course_catalog", "build_procedure_workflow", "search_student_knowledge", "tuition_lookup"
+
+
+def fallback_tool(tool: Column, results: Column, matched: Column, seen: Column, intent: Column) -> Column:
+    """The tool to try after ``tool`` gave nothing; null if there is none, or if it is among those ``seen`` since the question.
+
+    An empty catalogue or an unmatched procedure leads to the knowledge search, an empty search to the procedures if fees were asked for. Unknown results lead nowhere.
+    """
+    following = (
+        F.when((tool == CATALOGUE_TOOL) & (results == 0), F.lit(KNOWLEDGE_TOOL)).when((tool == PROCEDURE_TOOL) & ~matched, F.lit(KNOWLEDGE_TOOL))
+        .when((tool == KNOWLEDGE_TOOL) & (results == 0) & (intent == FEES_INTENT), F.lit(PROCEDURE_TOOL))
+    )
+    return F.when(~F.array_contains(seen, following), following)
+
+
+def fallback_chain(rows: DataFrame, tool: str = "tool", outcomes: str = "outcomes", intent: str = "intent") -> DataFrame:
+    """Adds ``chain``: all tools of a question in order, from the first to the one that leads nowhere.
+
+    ``outcomes`` maps a tool to what it gives: struct(result_count, matched). A tool is tried once, so three steps reach every end; each is a projection of the row.
+    """
+    out = rows.withColumn("chain", F.when(F.col(tool).isNotNull(), F.array(tool)).otherwise(F.array().cast("array<string>")))
+    for _ in range(2):
+        last = F.try_element_at("chain", F.lit(-1))
+        found = F.try_element_at(F.col(outcomes), last)
+        following = F.when(F.size("chain") > 0, fallback_tool(last, found["result_count"], found["matched"], F.col("chain"), F.col(intent)))
+        out = out.withColumn("chain", F.concat("chain", F.array_compact(F.array(following))))
+    return out

@@ -104,6 +104,41 @@ def next_versions(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
+def nested(conversations: DataFrame, messages: DataFrame, calls: DataFrame, most: int = 1000) -> DataFrame:
+    """(conversation_id, part, messages): each conversation with its messages in order, and each message with its tool calls in order.
+
+    ``conversations`` (conversation_id), ``messages`` (conversation_id, seq, role, content), ``calls`` (conversation_id, seq, id, tool_name). Two aggregations, each keyed at its level, so a call
+    meets its message before messages meet their conversation. A row holds ``most`` places of the order at most: a long conversation is several parts. One without messages is one empty part.
+    """
+    called = calls.groupBy("conversation_id", "seq").agg(F.sort_array(F.collect_list(F.struct("id", "tool_name"))).alias("calls"))
+    whole = messages.join(called, ["conversation_id", "seq"], "left").withColumn("part", F.floor(F.col("seq") / most))
+    message = F.struct("seq", "role", "content", F.coalesce("calls", F.array().cast("array<struct<id:bigint,tool_name:string>>")).alias("calls"))
+    told = whole.groupBy("conversation_id", "part").agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    return conversations.join(told, "conversation_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+
+
+def cascade(parents: DataFrame, gone: DataFrame, key: str, **children: tuple[DataFrame, str, str]) -> dict[str, DataFrame]:
+    """What stays of ``parents`` without those ``gone``, and of each child table: {name: (rows, its key, key of its parent)}, in order from the parents down.
+
+    A child goes with its parent, and its own children with it; one whose parent's key is null stays.
+    """
+    out, lost, lost_key = {"parents": without(parents, gone, key)}, gone.select(key), key
+    for name, (rows, own, parent) in children.items():
+        keys = lost.withColumnRenamed(lost_key, parent)
+        out[name] = without(rows, keys, parent)
+        lost, lost_key = keep_only(rows, keys, parent).select(own), own
+    return out
+
+
+def rated(old: DataFrame, new: DataFrame, messages: DataFrame) -> DataFrame:
+    """Feedback (message_id, user_id, helpful, at) after new ones: one row of each message and user, the last.
+
+    ``new`` ones count only for messages (message_id, owner_id, role) of the assistant in the user's own conversations; others are refused.
+    """
+    allowed = new.join(messages.where("role = 'assistant'").select("message_id", F.col("owner_id").alias("user_id")), ["message_id", "user_id"], "left_semi")
+    return upsert(old, allowed, ["message_id", "user_id"], "at")
+
+
 def violations(**checks: DataFrame) -> DataFrame:
     """(rule, violations): the number of rows that each check gives."""
     parts = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations") for name, df in checks.items()]

@@ -268,11 +268,27 @@ _PROBES = ("Xin chào", "quy định đánh giá học phần", "bài giảng ma
 
 def router_intents(spark, sf_dir):
     """Routes of all user turns, some of which get a phrase in front."""
+    return _routed(spark, sf_dir).select("conversation_id", "seq", "r.intent", "r.reason", "r.tool")
+
+
+def _routed(spark, sf_dir):
     probes = F.array(*map(F.lit, _PROBES))
     rows = A.messages(spark, sf_dir).where("role = 'user'").select(
-        "conversation_id", "seq", F.when(F.col("conversation_id") % 3 == 0, F.element_at(probes, (F.col("conversation_id") % len(_PROBES) + 1).cast("int"))).otherwise(F.col("content")).alias("content")
+        "conversation_id", "seq", F.when(F.col("conversation_id") % 3 == 0, F.concat_ws(" ", F.element_at(probes, (F.col("conversation_id") % len(_PROBES) + 1).cast("int")), "content")).otherwise(F.col("content")).alias("content")
     )
-    return rows.withColumn("r", C.route(F.col("content"))).select("conversation_id", "seq", "r.intent", "r.reason", "r.tool")
+    return rows.withColumn("r", C.route(F.col("content")))
+
+
+def fallback_chains(spark, sf_dir):
+    """All tools that each question tries, the first by its route; what a tool gives hangs on the length of the question."""
+    size = F.length(F.coalesce("content", F.lit("")))
+    outcome = lambda count, matched: F.struct(count.cast("long").alias("result_count"), matched.alias("matched"))
+    outcomes = F.create_map(
+        F.lit(C.CATALOGUE_TOOL), outcome(F.floor(size / 2) % 2, F.lit(None).cast("boolean")), F.lit(C.KNOWLEDGE_TOOL), outcome(size % 2, F.lit(None).cast("boolean")),
+        F.lit(C.PROCEDURE_TOOL), outcome(F.lit(None), size % 3 != 0),
+    )
+    rows = _routed(spark, sf_dir).select("conversation_id", "seq", "r.intent", "r.tool", outcomes.alias("outcomes"))
+    return C.fallback_chain(rows).select("conversation_id", "seq", F.array_join("chain", ">").alias("chain"))
 
 
 def intent_counts(spark, sf_dir):
@@ -289,22 +305,31 @@ def _route_sql() -> str:
         f"({attached} AND NOT {knowledge})", f"({knowledge} OR contains(content, '?'))", attached, "true",
     )
     cases = [" ".join(f"WHEN {r} THEN " + ("NULL" if v[i] is None else D.words([v[i]])) for r, v in zip(rules, C.ROUTES, strict=True)) for i in range(3)]
-    return f"""WITH m AS (SELECT conv_id AS conversation_id, turn AS seq, CASE WHEN conv_id % 3 = 0 THEN ([{D.words(_PROBES)}])[conv_id % {len(_PROBES)} + 1] ELSE text END AS content FROM conversations WHERE role = 'user'),
+    return f"""WITH m AS (SELECT conv_id AS conversation_id, turn AS seq, CASE WHEN conv_id % 3 = 0 THEN concat_ws(' ', ([{D.words(_PROBES)}])[conv_id % {len(_PROBES)} + 1], text) ELSE text END AS content FROM conversations WHERE role = 'user'),
 t AS (SELECT *, {D.fold_d('content')} AS n FROM m), routed AS (SELECT conversation_id, seq, CASE {cases[0]} END AS intent, CASE {cases[1]} END AS reason, CASE {cases[2]} END AS tool FROM t)"""
 
 
+_CHAINS_SQL = _route_sql().replace("WITH m AS", "WITH RECURSIVE m AS") + f""", start AS (SELECT r.*, length(coalesce(content, '')) AS size FROM routed r JOIN m USING (conversation_id, seq)
+), chain AS (
+  SELECT conversation_id, seq, intent, size, tool AS last, CASE WHEN tool IS NULL THEN [] ELSE [tool] END AS tools FROM start
+  UNION ALL
+  SELECT conversation_id, seq, intent, size, following, list_append(tools, following) FROM (SELECT *, CASE
+    WHEN last = '{C.CATALOGUE_TOOL}' AND size // 2 % 2 = 0 THEN '{C.KNOWLEDGE_TOOL}' WHEN last = '{C.PROCEDURE_TOOL}' AND size % 3 = 0 THEN '{C.KNOWLEDGE_TOOL}'
+    WHEN last = '{C.KNOWLEDGE_TOOL}' AND size % 2 = 0 AND intent = '{C.FEES_INTENT}' THEN '{C.PROCEDURE_TOOL}' END AS following FROM chain) WHERE following IS NOT NULL AND NOT list_contains(tools, following))
+SELECT conversation_id, seq, array_to_string(arg_max(tools, len(tools)), '>') AS chain FROM chain GROUP BY ALL"""
+
 _SUBJECT_PROBES = ("đạo hàm của hàm số", "SQL query", "python code class", "html css", "mạng http", "học máy", "lực và vận tốc", "không")
 
 
 def subject_fallback(spark, sf_dir):
     probes = F.array(*map(F.lit, _SUBJECT_PROBES))
-    rows = A.corpus(spark, sf_dir).select("id", F.when(F.col("id") % 4 == 0, F.element_at(probes, (F.col("id") / 4 % len(_SUBJECT_PROBES) + 1).cast("int"))).otherwise(F.col("content")).alias("content"))
+    rows = A.corpus(spark, sf_dir).select("id", F.when(F.col("id") % 4 == 0, F.concat_ws(" ", F.element_at(probes, (F.col("id") / 4 % len(_SUBJECT_PROBES) + 1).cast("int")), "content")).otherwise(F.col("content")).alias("content"))
     return rows.select("id", C.subject(F.col("content")).alias("subject"))
 
 
 def _subject_sql() -> str:
     counts = ", ".join("{'hits': " + " + ".join(f"contains(low, {D.words([w])})::INT" for w in words) + f", 'place': {-i}, 'name': '{n}'}}" for i, (n, words) in enumerate(C.SUBJECT_WORDS))
-    return f"""WITH d AS (SELECT doc_id AS id, lower(CASE WHEN doc_id % 4 = 0 THEN ([{D.words(_SUBJECT_PROBES)}])[(doc_id // 4) % {len(_SUBJECT_PROBES)} + 1] ELSE text END) AS low FROM documents),
+    return f"""WITH d AS (SELECT doc_id AS id, lower(CASE WHEN doc_id % 4 = 0 THEN concat_ws(' ', ([{D.words(_SUBJECT_PROBES)}])[(doc_id // 4) % {len(_SUBJECT_PROBES)} + 1], text) ELSE text END) AS low FROM documents),
 s AS (SELECT id, list_max([{counts}]) AS best FROM d) SELECT id, CASE WHEN best.hits > 0 THEN best.name ELSE 'khac' END AS subject FROM s"""
 
 
@@ -330,12 +355,12 @@ _AGENTS = ("Mozilla/5.0 (iPad; CPU OS) Safari/604", "Mozilla/5.0 (Linux; Android
 
 def user_agents(spark, sf_dir):
     agents = F.array(*map(F.lit, _AGENTS))
-    rows = A.tool_calls(spark, sf_dir).select("id", F.element_at(agents, (F.col("id") % len(_AGENTS) + 1).cast("int")).alias("agent"))
+    rows = A.tool_calls(spark, sf_dir).select("id", F.concat_ws(" ", F.element_at(agents, (F.col("id") % len(_AGENTS) + 1).cast("int")), "result").alias("agent"))
     name, kind = T.device(F.col("agent"))
     return rows.select("id", name.alias("browser"), kind.alias("device"))
 
 
-_AGENTS_SQL = f"""WITH e AS (SELECT event_id AS id, lower(coalesce(([{", ".join("NULL" if a is None else D.words([a]) for a in _AGENTS)}])[event_id % {len(_AGENTS)} + 1], '')) AS a FROM events)
+_AGENTS_SQL = f"""WITH e AS (SELECT event_id AS id, lower(concat_ws(' ', ([{", ".join("NULL" if a is None else D.words([a]) for a in _AGENTS)}])[event_id % {len(_AGENTS)} + 1], props)) AS a FROM events)
 SELECT id, CASE WHEN contains(a, 'chrome') THEN 'Chrome' WHEN contains(a, 'firefox') THEN 'Firefox' WHEN contains(a, 'safari') THEN 'Safari' WHEN contains(a, 'edge') THEN 'Edge' ELSE 'Unknown Browser' END AS browser,
   CASE WHEN contains(a, 'mobile') OR contains(a, 'android') THEN 'mobile' WHEN contains(a, 'tablet') OR contains(a, 'ipad') THEN 'tablet' ELSE 'desktop' END AS device FROM e"""
 
@@ -343,7 +368,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexical_topk, lexical_excerpts, lexical_scores_profiled, cosine_topk, cosine_topk_filtered, hybrid_topk, lecture_score, lecture_hybrid, lecture_lexical, lecture_by_style, catalog_rerank, procedure_match, form_match,
-        domain_filtered_topk, router_intents, intent_counts, subject_fallback, style_hints, chapters, user_agents,
+        domain_filtered_topk, router_intents, intent_counts, fallback_chains, subject_fallback, style_hints, chapters, user_agents,
     )
 }
 
@@ -365,6 +390,7 @@ SELECT query_id, id, length(excerpt)::BIGINT AS n_excerpt, md5(excerpt) AS excer
     "form_match": _match_sql(True),
     "domain_filtered_topk": _DOMAIN_SQL,
     "router_intents": _route_sql() + " SELECT * FROM routed",
+    "fallback_chains": _CHAINS_SQL,
     "intent_counts": _route_sql() + " SELECT intent, count(*) AS n FROM routed GROUP BY intent",
     "subject_fallback": _subject_sql(),
     "style_hints": f"SELECT doc_id AS id, {_style_sql('t')} AS style FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Ví dụ: câu hỏi. Theorem. ' || text ELSE text END AS t FROM documents)",

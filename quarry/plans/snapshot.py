@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import backfill as B
+from quarry.operators import entities as E
 from quarry.operators import fee_tables as FT
 from quarry.operators import snapshot as S
 from quarry.plans import duck as D
@@ -130,3 +132,54 @@ ORACLES = {
     "knowledge_snapshot": f"WITH {_BRANCHES} SELECT * FROM entries",
     "snapshot_counts": _COUNTS_SQL,
 }
+
+
+def conversation_tree(spark, sf_dir):
+    """Conversations, messages and their calls: an event is a call of the message whose turn is its day of the month, in the conversation with its user's number."""
+    messages = A.messages(spark, sf_dir)
+    calls = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("conversation_id"), F.dayofmonth("ts").cast("long").alias("seq"), F.col("event_id").alias("id"), F.col("event_type").alias("tool_name"))
+    told = E.nested(messages.select("conversation_id").distinct(), messages, calls, most=2)
+    said = lambda m: F.concat(m["seq"].cast("string"), F.lit(":"), m["role"], F.lit("["), F.array_join(F.transform(m["calls"], lambda c: F.concat_ws(" ", c["id"].cast("string"), c["tool_name"])), ","), F.lit("]"))
+    return told.select("conversation_id", "part", F.array_join(F.transform("messages", said), ";").alias("tree"), F.aggregate("messages", F.lit(0).cast("long"), lambda a, m: a + F.length(F.coalesce(m["content"], F.lit("")))).alias("chars"))
+
+
+def embedding_backfill(spark, sf_dir):
+    """Documents get the vectors with their numbers: a run that stops after three of eight slices, then French texts change, then a run that ends."""
+    vectors = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    step = lambda todo: todo.join(vectors, "id").select("id", "checksum", "vector")
+    before = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("payload"), "lang")
+    after = before.withColumn("payload", F.when(F.col("lang") == "fr", F.concat(F.lit("Noi dung: "), "payload")).otherwise(F.col("payload")))
+    root, at = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", F.pmod("id", F.lit(8))
+    B.backfill(before.drop("lang"), step, root, run=1, slices=8, slice_of=at, stop_after=3)
+    return B.backfill(after.drop("lang"), step, root, run=2, slices=8, slice_of=at).select("id", "checksum", "run", F.size("vector").alias("dims"))
+
+
+def cascade_delete(spark, sf_dir):
+    """What stays of customers, orders and lines when the customers of one segment go: keys by table."""
+    customer, orders, lines = (A.table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    gone = customer.where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    left = E.cascade(customer, gone, "c_custkey", orders=(orders, "o_orderkey", "o_custkey"), lines=(lines, "l_linenumber", "l_orderkey"))
+    count = lambda name, key: left[name].groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("level"), "key", "n")
+    return count("parents", "c_custkey").unionByName(count("orders", "o_orderkey")).unionByName(count("lines", "l_orderkey"))
+
+
+def feedback_guarded(spark, sf_dir):
+    """Feedback of users on turns of the conversation with their number: clicks and views first, then purchases; only assistant turns of one's own conversation count."""
+    turns = A.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), F.col("conv_id").alias("owner_id"), "role").distinct()
+    events = A.table(spark, sf_dir, "events")
+    message = (F.when(F.col("event_id") % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")) * 100 + F.hour("ts") % 4).alias("message_id")
+    rows = events.select(message, "user_id", (F.col("value") > 50).alias("helpful"), F.col("event_id").alias("at"), "event_type")
+    first = E.rated(rows.where("FALSE").drop("event_type"), rows.where("event_type IN ('click', 'view')").drop("event_type"), turns)
+    return E.rated(first, rows.where("event_type = 'purchase'").drop("event_type"), turns)
+
+
+_TREE_SQL = """WITH c AS (SELECT user_id AS conv_id, day(ts) AS turn, string_agg(event_id || ' ' || event_type, ',' ORDER BY event_id, event_type) AS calls FROM events GROUP BY ALL)
+SELECT conv_id AS conversation_id, turn // 2 AS part, string_agg(turn || ':' || role || '[' || coalesce(calls, '') || ']', ';' ORDER BY turn, role) AS tree, sum(length(coalesce(text, '')))::BIGINT AS chars FROM conversations LEFT JOIN c USING (conv_id, turn) GROUP BY ALL"""
+_BACKFILL_SQL = """SELECT doc_id AS id, sha256(CASE WHEN lang = 'fr' THEN 'Noi dung: ' ELSE '' END || text) AS checksum, CASE WHEN doc_id % 8 < 3 AND lang <> 'fr' THEN 1 ELSE 2 END AS run, len(embedding)::INTEGER AS dims FROM documents JOIN embeddings ON vec_id = doc_id"""
+_CASCADE_SQL = """WITH c AS (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT o_orderkey FROM orders SEMI JOIN c ON c_custkey = o_custkey), l AS (SELECT l_orderkey FROM lineitem SEMI JOIN o ON o_orderkey = l_orderkey)
+SELECT 'parents' AS level, c_custkey AS key, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'orders', o_orderkey, count(*) FROM o GROUP BY ALL UNION ALL SELECT 'lines', l_orderkey, count(*) FROM l GROUP BY ALL"""
+_FEEDBACK_SQL = """WITH t AS (SELECT DISTINCT conv_id * 100 + turn AS message_id, conv_id AS owner_id, role FROM conversations WHERE role = 'assistant'),
+e AS (SELECT (CASE WHEN event_id % 3 = 0 THEN user_id + 1 ELSE user_id END) * 100 + hour(ts) % 4 AS message_id, user_id, value > 50 AS helpful, event_id AS "at" FROM events WHERE event_type IN ('click', 'view', 'purchase'))
+SELECT e.* FROM e JOIN t ON t.message_id = e.message_id AND t.owner_id = e.user_id QUALIFY row_number() OVER (PARTITION BY e.message_id, user_id ORDER BY "at" DESC) = 1"""
+QUERIES |= {f.__name__: f for f in (conversation_tree, embedding_backfill, cascade_delete, feedback_guarded)}
+ORACLES |= {"conversation_tree": _TREE_SQL, "embedding_backfill": _BACKFILL_SQL, "cascade_delete": _CASCADE_SQL, "feedback_guarded": _FEEDBACK_SQL}
