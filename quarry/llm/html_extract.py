@@ -2,8 +2,8 @@
 
 A page becomes runs of text, each with the container it stands in; a container is named by the hash of its generalised path of tags and
 classes (digits dropped, no positions), made of its parent's hash and its own name, so pages of one layout agree on names at any depth. Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag, and elements of any kind by role, class,
-id and visibility. On each page containers are scored by the
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag, and elements of any kind by role, visibility and names: a class or id counts when all
+its words say furniture or where it stands, and an element that may be furniture stays if it holds most of the page's paragraphs or its article. On each page containers are scored by the
 text of the paragraphs in them, halved for each level up, times the share that is not links; a page votes for its best one. Spark
 sums the votes of all pages of a host; paths with ``SHARE`` of them win. Pages are then read again: the first winning path
 that has text on the page gives the page's text; where none has, the page's own best container does.
@@ -52,12 +52,28 @@ LISTS = ("ul", "ol", "table", "dl")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head nav header footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_UNWANTED = re.compile(
-    r"(?:^|[-_\s])(?:nav\w*|menus?|header|masthead|footer|foot|sidebars?|side|aside|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|"
-    r"pop-?ups?|modal|overlay|newsletter|subscri\w*|sign-?up|login|comments?|comment-?list|disqus|respond|replies|reactions?|discussion|share|sharing|social|related|recommend\w*|"
-    r"more-?stories|trending|breadcrumbs?|pagination|pager|widgets?|toolbar|skip\w*|search\w*|forms?|tags|hidden|print-?only|byline-?share|outbrain|taboola|toc|copyright|legal|disclaimer)(?:$|[-_\s])",
-    re.I,
+#: Words of class names and ids that name page furniture: of the first kind whatever it holds, of the second unless most of the page's text is in it.
+_STRONG = re.compile(
+    r"nav\w*|menus?|masthead|footer|sidebars?|aside|ads?|adverts?|advertis\w+|adsense|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletters?|subscri(?:be|ption)s?|signup|login|"
+    r"comments?|commentlist|disqus|respond|replies|reactions?|breadcrumbs?|pagination|pager|skip\w*|hidden|outbrain|taboola"
 )
+_WEAK = re.compile(
+    r"header|head|foot|side|promo\w*|banner|share|sharing|social|related|recommend\w*|morestories|trending|discussion|widgets?|toolbar|search\w*|forms?|tags|printonly|toc|copyright|legal|disclaimer"
+)
+#: Words that say where or how an element stands, beside which the others still count; any other word of over three letters, or a word that negates, makes another name of it.
+_GENERIC = frozenset(
+    "site page main global body left right center top bottom upper lower inner outer above below before after wrapper wrap container content box block area section list item items bar panel group grid cell column "
+    "primary secondary tertiary post posts article articles entry story stories blog news button buttons link links icon icons label text title heading input field mobile desktop sticky fixed floating "
+    "slot unit holder placeholder part module component region user users reader readers visitor facebook twitter google email latest recent popular similar read more most next previous theme default "
+    "large small medium full wide thread form search banner".split()
+)
+_OTHERWISE = frozenset("has no not non with on off of for and to is as in by".split())
+#: Words of which one, before a heading, names the article's own heading, and names of an article's body.
+_ARTICLE = frozenset("article entry post story content blog main".split())
+_BODY = re.compile(r"main|article|post|entry|story|hentry|(?:article|entry|post|story|main|page|blog|body)-?(?:content|body|text|main)|content-?(?:main|body)|articlebody")
+#: Words that belong to an article's text when they stand inside it.
+_LEGAL = re.compile(r"copyright|legal|disclaimer|toc")
+_COMPOUNDS = (("pop-up", "popup"), ("sign-up", "signup"), ("more-stories", "morestories"), ("print-only", "printonly"), ("comment-list", "commentlist"))
 _WANTED = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post|entry|story|body|text|page|blog\w*)(?:$|[-_\s])", re.I)
 _DIGITS = re.compile(r"\d+")
 
@@ -66,18 +82,40 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _unwanted(tag: str, named: dict[str, str], inside: bool) -> bool:
-    """Whether an element is page furniture; ``inside``: within an article, whose own header stays."""
+def _named_furniture(token: str, heading: bool, inside: bool) -> int:
+    """2 or 1 if one name of an element says furniture of the first or second kind, else 0: all its words must be furniture or say where it stands."""
+    parts = [w for w in re.split(r"[^a-z]+", token) if w]
+    kinds = []
+    for w in parts:
+        if _STRONG.fullmatch(w):
+            kinds.append(2)
+        elif _WEAK.fullmatch(w) and not (heading and w in ("header", "head")) and not (inside and _LEGAL.fullmatch(w)):
+            kinds.append(1)
+        elif w in _OTHERWISE or (len(w) > 3 and w not in _GENERIC and not _WEAK.fullmatch(w)):
+            return 0
+    if not kinds or (max(kinds) == 1 and _ARTICLE & set(parts) and {"header", "head"} & set(parts)):
+        return 0
+    return max(kinds)
+
+
+def _furniture(tag: str, named: dict[str, str], inside: bool) -> int:
+    """2: an element that goes with all it holds; 1: one that goes unless most of the page's text is in it; ``inside``: within an article, whose own header stays."""
     if tag in DROPPED and not (tag == "header" and inside):
-        return True
+        return 2
     if tag in ("body", "html", "article", "main"):
-        return False
+        return 0
     if named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", ""):
-        return True
-    words = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{named.get('class', '')} {named.get('id', '')}")
-    if tag in HEADINGS or (inside and re.search(r"(?:^|[-_\s])(?:entry|post|article)-?header(?:$|[-_\s])", words, re.I)):
-        words = re.sub(r"(?i)header|masthead", "", words)
-    return bool(_UNWANTED.search(words))
+        return 2
+    words = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{named.get('class', '')} {named.get('id', '')}").lower()
+    for apart, joined in _COMPOUNDS:
+        words = words.replace(apart, joined)
+    names = words.split()
+    found = max((_named_furniture(n, tag in HEADINGS, inside) for n in names), default=0)
+    return 0 if found == 1 and any(_BODY.fullmatch(n) for n in names) else found
+
+
+def _is_body(named: dict[str, str]) -> bool:
+    return any(_BODY.fullmatch(n) for n in f"{named.get('class', '')} {named.get('id', '')}".lower().split())
 
 
 class Page:
@@ -90,6 +128,8 @@ class Page:
         self.parent, self.name, self.depth, self.path = [-1], [""], [0], [b""]
         self._number: dict[tuple[int, str], int] = {}
         self.runs: list[tuple[int, str, bool, bool]] = []
+        self._within: list[int] = [-1]  # elements that may be furniture, by number: the one around them
+        self._kept: set[int] = {0}
         if page:
             self._read(page)
 
@@ -108,15 +148,15 @@ class Page:
 
     def _read(self, page: str) -> None:
         page = page[: page.rfind(">") + 1] + page[page.rfind(">") + 1 :].partition("<")[0]  # a cut-off tag at the end is no text
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, container, dropped, in an article
+        stack: list[tuple[str, int, bool, bool, int]] = []  # tag, container, dropped, in an article, number of the possible furniture
         places: dict[str, list[int]] = defaultdict(list)  # tag to its places in the stack
-        node, dropped, linked, paragraph, inside = 0, False, False, False, False
+        node, dropped, linked, paragraph, inside, maybe, runs, articles = 0, False, False, False, False, 0, [], 0
         lost: list[str] = []  # an unwanted element that is no container, and those of its tag in it
         at = 0
 
         def settle():
-            nonlocal node, dropped, inside
-            node, dropped, inside = stack[-1][1:] if stack else (0, False, False)
+            nonlocal node, dropped, inside, maybe
+            node, dropped, inside, maybe = stack[-1][1:] if stack else (0, False, False, 0)
 
         def cut(depth: int):
             while len(stack) > depth:
@@ -133,7 +173,7 @@ class Page:
 
         for token in _TOKEN.finditer(page):
             if token.start() > at and not dropped and not lost:
-                self.runs.append((node, entities.unescape(page[at : token.start()]), linked, paragraph))
+                runs.append((maybe, (node, entities.unescape(page[at : token.start()]), linked, paragraph)))
             at = token.end()
             tag = (token[3] or "").lower()
             if not tag:
@@ -148,8 +188,8 @@ class Page:
                     lost.append(tag)
                 continue
             named = _attributes(token[4]) if not closing and token[4] and not token[4].isspace() else {}
-            if tag not in CONTAINERS and tag not in VOID and not closing and not dropped and named and _unwanted(tag, named, inside):
-                self.runs.append((node, " ", linked, paragraph))
+            if tag not in CONTAINERS and tag not in VOID and not closing and not dropped and named and _furniture(tag, named, inside):
+                runs.append((maybe, (node, " ", linked, paragraph)))
                 lost.append(tag)
                 continue
             if tag == "a":
@@ -158,7 +198,7 @@ class Page:
             if tag not in BREAKS:
                 continue
             if not dropped:
-                self.runs.append((node, " ", linked, paragraph))
+                runs.append((maybe, (node, " ", linked, paragraph)))
             if tag in PARAGRAPHS:
                 paragraph = not closing
             if tag not in CONTAINERS:
@@ -174,13 +214,42 @@ class Page:
                 retain(lambda s: s[0] == "html")
             if tag in ("li", "tr", "td", "th", "dd") and places[tag] and places[tag][-1] > max((places[t][-1] for t in LISTS if places[t]), default=-1):
                 cut(places[tag][-1])  # these close their like
-            out_of_sight = dropped or _unwanted(tag, named, inside)
+            kind = _furniture(tag, named, inside)
+            if kind == 1 and not dropped:
+                self._within.append(maybe)
+                maybe = len(self._within) - 1
+            if tag in ("article", "main") and not dropped:
+                articles += 1
+                if articles == 1 or tag == "main":
+                    self._keep(maybe)
             name = "" if tag in PARTS or tag == "html" else _DIGITS.sub("", ".".join([tag, *sorted(named.get("class", "").split())]))
             places[tag].append(len(stack))
-            stack.append((tag, self.container(node, name), out_of_sight, inside or tag in ("article", "main")))
+            stack.append((tag, self.container(node, name), dropped or kind == 2, inside or tag in ("article", "main") or _is_body(named), maybe))
             settle()
         if at < len(page) and not dropped and not lost:
-            self.runs.append((node, entities.unescape(page[at:]), linked, paragraph))
+            runs.append((maybe, (node, entities.unescape(page[at:]), linked, paragraph)))
+        self._settle(runs)
+
+    def _keep(self, maybe: int) -> None:
+        while maybe not in self._kept:
+            self._kept.add(maybe)
+            maybe = self._within[maybe]
+
+    def _settle(self, runs: list) -> None:
+        """Possible furniture with more than half of the page's text in paragraphs is none; the rest of it goes."""
+        under = [0] * len(self._within)
+        for maybe, (_, text, linked, paragraph) in runs:
+            under[maybe] += len(text.strip()) if paragraph and not linked else 0
+        total = sum(under)
+        for maybe in range(len(under) - 1, 0, -1):  # what stands around has a smaller number
+            under[self._within[maybe]] += under[maybe]
+        for maybe in range(1, len(under)):
+            if 2 * under[maybe] > total:
+                self._keep(maybe)
+        gone = [False] * len(under)
+        for maybe in range(1, len(under)):
+            gone[maybe] = maybe not in self._kept or gone[self._within[maybe]]
+        self.runs = [run if not gone[maybe] else (run[0], " ", False, False) for maybe, run in runs]
 
     def scores(self) -> list[float]:
         """Of each container: paragraphs' characters at it, halved for each level up, times the share outside links; hints double it."""

@@ -116,3 +116,60 @@ def test_hostile_input_is_linear():
     hx.Page("<!--" * 50_000)
     hx.Page("<div>" * 30_000 + "<li>x</li>" * 30_000 + "</td>" * 30_000)
     assert time.time() - began < 20
+
+
+WRAPPERS = (
+    "main has-sidebar|content no-sidebar|layout with-sidebar|post comments-open|entry-content tags|article-header|page-content share-enabled|post related-tech|"
+    "single-post has-header|theme-light with-footer|no-comments|story without-ads|entry header-on-top|post-template sharing-open|col-md-8 legal-aid|search-and-rescue|site-content widget-free|"
+    "social-history|article related-to-you|main-content toc|post-body promo|hero-banner|header|page-header|copyright-law|form-of-government|container with-toolbar|td-post-content trending-now|"
+    "alerts-enabled|subscribers-only|newsletter-2020-edition-story|advertising-ethics|sidebar-less|navigation-history-essay|content-area no-menu|wp-singular comments-closed"
+).split("|")
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_no_article_is_lost_to_the_name_of_its_wrapper(name, attribute):
+    name = name.split()[-1] if attribute == "id" else name
+    page = f"<html><body>{FURNITURE}<div {attribute}='{name}'><h1>Title</h1><p>{P}</p><p>Then {P} {P}</p><p>{P}</p></div>{TAIL}</body></html>"
+    assert text_of(page) == f"Title {P} Then {P} {P} {P}"
+
+
+@pytest.mark.parametrize("part", ["<section id=comments-on-history><p>{}</p></section>", "<p class='legal'>{}</p>", "<p class=copyright>{}</p>", "<div class='disclaimer note-box'><p>{}</p></div>", "<p class='related-work'>{}</p>", "<div class=toc-less><p>{}</p></div>"])
+def test_parts_of_an_article_stay(part):
+    page = f"<html><body>{FURNITURE}<article><p>{P}</p>{part.format('And ' + P)}<p>Then {P}</p></article>{TAIL}</body></html>"
+    assert text_of(page) == f"{P} And {P} Then {P}"
+
+
+@pytest.mark.parametrize("name", ["site-footer", "l-sidebar", "wp-block-navigation", "cookie-notice-bar", "ad-slot-top", "post-comments", "related-posts", "share-buttons", "sidebarLeft", "user-comments-list", "newsletter-box", "promo-banner", "search-form", "main-menu"])
+def test_furniture_goes_by_its_whole_name(name):
+    page = f"<html><body><div class='{name}'><p>Short {P}</p></div><div class=text><p>{P}</p><p>Then {P}</p><div class='{name}'>no</div></div></body></html>"
+    assert text_of(page) == f"{P} Then {P}"
+
+
+def test_vote_and_extraction_against_plain_python(spark):
+    """200 pages of 12 hosts with three layouts each: votes counted, winners ranked and pages read again one after the other."""
+    import random
+    from collections import Counter, defaultdict
+
+    rnd = random.Random(11)
+    layouts = ("<div class='story s{}'>{}</div><div class=box>{}</div>", "<main><div class=text>{1}</div></main><div class=box>{2}</div>", "<section class='entry has-sidebar'>{1}</section><div id=more{0}>{2}</div>")
+    rows = []
+    for i in range(200):
+        host = rnd.randrange(12)
+        layout = layouts[(host + (rnd.random() < 0.3)) % 3]
+        say = lambda n: "".join(f"<p>{rnd.choice('abc')}{rnd.randrange(99)} {P}</p>" for _ in range(n))
+        rows.append((i, f"https://h{host}.test/{i}", layout.format(i, say(rnd.randrange(4)), say(rnd.randrange(3))) if rnd.random() < 0.95 else None))
+    pages = {i: hx.Page(page) for i, _, page in rows}
+    host_of = {i: url.split("/")[2] for i, url, _ in rows}
+    ballots = defaultdict(Counter)
+    for i, page in pages.items():
+        if page.runs:
+            ballots[host_of[i]][page.path[page.best()]] += 1
+    want = {}
+    for i, page in pages.items():
+        counted = ballots[host_of[i]]
+        won = sorted((-n, path) for path, n in counted.items() if n >= hx.SHARE * sum(counted.values()))
+        texts = [page.text_of(page.path.index(path)) for _, path in won if path in page.path]
+        want[i] = next((t for t in texts if t), page.text_of(page.best()))
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and len(set(want.values())) > 100
