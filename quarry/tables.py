@@ -36,11 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As ``stored``, in buckets by ``key``: joins and groups by it need no exchange of this side. The catalog keeps no entry."""
+def stored_by(df: DataFrame, name: str, key: str, dealt: bool = False) -> DataFrame:
+    """As ``stored``, in buckets by ``key``, a file each: joins and groups by it need no exchange of this side. The catalog keeps no entry.
+
+    ``dealt``: rows come from a grouping by ``key`` and lie by its hash already; others are dealt out first, else every task would write every bucket.
+    """
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     buckets, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{shared_dir(df.sparkSession)}/{table}"
-    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    rows = df if dealt else df.repartition(buckets, key)
+    rows.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     out.stored_at = path
