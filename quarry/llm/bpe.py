@@ -137,7 +137,7 @@ def word_table(counts: DataFrame, path: str) -> DataFrame:
                 ids = pa.array(encode_words(part.column("word").to_pylist(), path), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), ids], names=["word", "n", "ids"])
 
-    return stored_by(counts.mapInArrow(encode, "word string, n long, ids array<int>"), "words", "word")
+    return stored_by(counts.mapInArrow(encode, "word string, n long, ids array<int>"), "words", "word", dealt=True)
 
 
 def decoded(words: DataFrame, path: str) -> DataFrame:

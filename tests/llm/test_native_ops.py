@@ -360,8 +360,9 @@ def test_long_chains_and_hubs_without_broadcasts(spark):
     ).select("host", "rank").collect()))
     scale = sum(0.85**i for i in range(42))
     assert all(abs(ranks[f"c{i}.test"] - 0.85 ** (41 - i) / scale) < 1e-8 for i in range(41))
-    with pytest.raises(RuntimeError):
-        url_filter.walk(spark.createDataFrame([("t", "a", "b", 1.0), ("t", "b", "a", 1.0)], "kind string, source string, target string, share double"), spark.createDataFrame([("t", "a", 1.0)], "kind string, host string, weight double"), 1e-9, most_rounds=3)
+    loop = spark.createDataFrame([("t", "a", "b", 1.0), ("t", "b", "a", 1.0)], "kind string, source string, target string, share double")
+    around = dict(map(tuple, url_filter.walk(loop, spark.createDataFrame([("t", "a", 1.0)], "kind string, host string, weight double"), 1e-6).select("host", "rank").collect()))
+    assert abs(around["a"] - 1 / 1.85) < 1e-5 and abs(around["b"] - 0.85 / 1.85) < 1e-5  # mass that goes round for ever
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -373,6 +374,45 @@ def test_long_chains_and_hubs_without_broadcasts(spark):
     assert got["c40.test"] == got["c30.test"] == "block" and got["g.test"] == got["f7.test"] == "allow"
 
 
+def test_links_alone_decide_and_say_so(spark, tmp_path):
+    """A generated link table of 300 hosts against plain PageRank: most verdicts hang on ranks that links brought."""
+    rng = random.Random(12)
+    hosts = [f"h{i}.test" for i in range(300)]
+    links = {h: [rng.choice(hosts[:150] if i < 150 else hosts[150:]) for _ in range(rng.randint(0, 5))] for i, h in enumerate(hosts)}
+    rows = [(i, f"http://{h}/{'good' if i < 5 else 'bad' if i >= 295 else 'x'}", "".join(f"<a href=//{t}/>" for t in ts)) for i, (h, ts) in enumerate(links.items())]
+    got = {r.host: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), (("allow", "test", "/good"), ("block", "test", "/bad"))).collect()}
+
+    def pagerank(edges, seeds):
+        mass, rank = {h: 1 / len(seeds) for h in seeds}, Counter()
+        while sum(mass.values()) > 1e-9:
+            rank.update(mass)
+            mass = {h: 0.85 * m for h, m in mass.items()}
+            moved = Counter()
+            for h, m in mass.items():
+                for t in edges[h]:
+                    moved[t] += m / len(edges[h])
+            mass = moved
+        return {h: m / sum(rank.values()) * len(seeds) for h, m in rank.items()}
+
+    forward = {h: [t for t in ts if t != h] for h, ts in links.items()}
+    reverse = defaultdict(list)
+    for h, ts in forward.items():
+        for t in ts:
+            reverse[t].append(h)
+    trust, distrust = pagerank(forward, hosts[:5]), pagerank(reverse, hosts[295:])
+    unsure = 0
+    for i, h in enumerate(hosts[5:295]):
+        t, d = trust.get(h, 0), distrust.get(h, 0)
+        assert abs(got[h].trust - t) < 1e-4 and abs(got[h].distrust - d) < 1e-4
+        assert got[h].decided_by == ("links" if t or d else "nothing")
+        if abs(t - d) > 1e-4 and abs(d * 300 - 5) > 1e-2:
+            assert got[h].verdict == ("block" if d > t and d * 300 >= 5 else "allow")
+        else:
+            unsure += t > 0 or d > 0
+    by = Counter(r.decided_by for r in got.values())
+    assert by["rule"] == 10 and by["links"] > 150 and unsure < 10 and 20 < sum(r.verdict == "block" for r in got.values())
+
+
 # components --------------------------------------------------------------------------------------------------------
 
 
