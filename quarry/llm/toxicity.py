@@ -8,8 +8,9 @@ in both directions, attention weighs its positions, and a text's score is that o
 Labels hold for texts, not windows, so training is by multiple instances: every few epochs each training text is represented by its
 highest-scoring window under the current weights, beside random ones of clean texts. Embeddings start with the smoothed log-odds of
 each word and n-gram in toxic texts as first channel. Training takes at most ``POSITIVES`` and ``NEGATIVES`` labelled texts of up
-to ``LONGEST`` characters, in hash order of their ids; only these come to the driver. Weights are a few MB of
-fixed size and are broadcast; texts are scored where they lie, without a shuffle.
+to ``LONGEST`` characters, in hash order of their ids, and of these no more than ``TRAINED`` bytes; only these come to the driver. Weights are a few MB of
+fixed size and are broadcast; texts are scored where they lie, without a shuffle, and those of over 1 MB in cuts of ``CUT`` words that overlap so that the
+windows are those of the whole text.
 
 Defined results: null, empty and blank texts score 0; repeated rows score alike; rows with a null id score but are never learned
 from and not held out; without labels of both kinds every text scores 0.5 (blank ones 0); an empty table gives an empty result; only
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import textscan as ts
@@ -30,7 +31,9 @@ HIDDEN = 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 15
 WORD_DIM, CHAR_DIM = 6, 6
 GRAMS = (3, 4, 5)
-POSITIVES, NEGATIVES, LONGEST = 1000, 3000, 100_000
+POSITIVES, NEGATIVES, LONGEST, TRAINED = 1000, 3000, 100_000, 24 << 20
+#: Words of a very long text that are scored at once; a multiple of STRIDE.
+CUT = 4096 * STRIDE
 EPOCHS, PICK_EVERY, BATCH, RATE = 8, 2, 128, 0.01
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -212,8 +215,20 @@ def window_scores(model, lexicon: Lexicon, chunk: int = 4096) -> tuple[np.ndarra
     return np.concatenate([np.zeros(0, np.float32), *parts]), doc, windows
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray] | None:
-    """The weights, or None without texts of both kinds."""
+def cuts(data: np.ndarray, size: int = CUT):
+    """A text's bytes in parts of ``size`` words whose windows, one part after the other, are the windows of the whole text."""
+    inside = ~ts._WORD_BREAK[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    for at in range(0, max(len(start), 1), size):
+        if at == 0 or len(start) - at > WINDOW - STRIDE:
+            yield data[start[at] if at else 0 : end[min(at + size + WINDOW - STRIDE, len(end)) - 1] if len(end) else len(data)]
+
+
+def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, prior: bool = True) -> dict[str, np.ndarray] | None:
+    """The weights, or None without texts of both kinds. ``prior``: whether embeddings start with log-odds."""
     labels = np.asarray(labels, np.float32)
     if len(set(labels.tolist())) < 2:
         return None
@@ -222,7 +237,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     lexicon = Lexicon(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
     model = start_model(seed)
     windows, doc = lexicon.windows()
-    _log_odds(model, lexicon, labels)
+    if prior:
+        _log_odds(model, lexicon, labels)
     hint = lexicon.char_means(model["chars"])[:, 0] + model["words"][lexicon.word, 0]
     score = np.where(windows >= 0, hint[windows] if len(hint) else 0, -9).max(axis=1) if len(windows) else np.zeros(0)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.items()}
@@ -296,16 +312,18 @@ def held_out_column(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, positives: int, negatives: int, longest: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels: a bounded number of labelled rows that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, positives: int, negatives: int, longest: int, most_bytes: int = TRAINED) -> tuple[list[str], np.ndarray]:
+    """Texts and labels: labelled rows that are not held out, bounded in number and in bytes."""
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out_column("doc_id"))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = rows.where("label = 1").orderBy(*order).limit(positives).union(rows.where("label = 0").orderBy(*order).limit(negatives))
     found = (
         docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text").between(1, longest))
-        .join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(positives + negatives).toArrow()
+        .join(F.broadcast(ids), "doc_id").withColumn("place", F.xxhash64("doc_id", "text")).orderBy("place").limit(positives + negatives)
     )
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).orderBy("place").select("text", "label").toArrow()
     return found.column("text").to_pylist(), np.array(found.column("label").to_pylist(), np.float32)
 
 
@@ -318,8 +336,14 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             out, many = [], []
             for first, end, data, offsets in ts.pieces(batch.column("text")):
-                lexicon = Lexicon(data, offsets)
                 n = end - first
+                if n == 1 and len(data) > ts.PIECE and weights is not None:
+                    parts = [window_scores(weights, Lexicon(part, np.array([0, len(part)])))[0] for part in cuts(data)]
+                    most = max((float(p.max()) for p in parts if len(p)), default=-np.inf)
+                    out.append(np.array([1 / (1 + np.exp(-np.clip(most, -700, 700))) if most > -np.inf else 0.0]))
+                    many.append(np.array([sum(map(len, parts))]))
+                    continue
+                lexicon = Lexicon(data, offsets)
                 if weights is None:
                     blank = np.diff(lexicon.first) == 0
                     out.append(np.where(blank, 0.0, 0.5))

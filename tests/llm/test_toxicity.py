@@ -114,3 +114,30 @@ def test_pieces_agree_with_one_buffer():
     whole, doc, _ = tx.window_scores(model, lexicon(texts))
     split = np.concatenate([tx.window_scores(model, tx.Lexicon(d, o))[0] for _, _, d, o in ts.pieces(pa.array(texts))])
     assert np.allclose(whole, split, atol=1e-5) and len(doc) == len(whole)
+
+
+def test_cuts_have_the_windows_of_the_whole():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 40, 64, 79, 80, 81, 96, 128, 129, 300, 301):
+        text = "  " + " ".join(f"w{rng.integers(50)}" for _ in range(n)) + " \n"
+        model = tx.start_model(5)
+        whole, _, _ = tx.window_scores(model, lexicon([text]))
+        data = np.frombuffer(text.encode(), np.uint8)
+        parts = [tx.window_scores(model, tx.Lexicon(p, np.array([0, len(p)])))[0] for p in tx.cuts(data, 64)]
+        assert np.allclose(np.concatenate(parts), whole, atol=1e-5), n
+
+
+def test_very_long_text_scores_as_its_windows(spark, monkeypatch):
+    words = " ".join(f"w{i % 977}" for i in range(300_000))
+    texts = ["few words", words + " grolf snib " + words]
+    model = tx.start_model(6)
+    want = [float(tx.window_scores(model, lexicon([t]))[0].max()) for t in texts]
+    got = tx.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in got], 1 / (1 + np.exp(-np.array(want))), atol=1e-5) and got[1].n_windows == 1 + -(-(600_002 - 48) // 32)
+
+
+def test_training_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * 1000) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    texts, _ = tx.training_rows(docs, labels, 30, 30, 100_000, most_bytes=52_000)
+    assert len(texts) == 10
