@@ -31,7 +31,9 @@ HIDDEN = 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 15
 WORD_DIM, CHAR_DIM = 6, 6
 GRAMS = (3, 4, 5)
-POSITIVES, NEGATIVES, LONGEST, TRAINED = 1000, 3000, 100_000, 24 << 20
+POSITIVES, NEGATIVES, LONGEST, TRAINED = 1000, 3000, 100_000, 16 << 20
+#: Words that are hashed at once.
+SOME = 100_000
 #: Words of a very long text that are scored at once; a multiple of STRIDE.
 CUT = 4096 * STRIDE
 EPOCHS, PICK_EVERY, BATCH, RATE = 8, 2, 128, 0.01
@@ -42,32 +44,52 @@ _EDGE = np.zeros(256, bool)
 _EDGE[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 
+def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where words begin, where they end, number of each text's first word and one more); words don't cross the texts' ends."""
+    inside = ~ts._WORD_BREAK[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    borders = offsets[1:-1]
+    borders = borders[(borders > 0) & (borders < len(data))]
+    begins[borders] |= inside[borders]
+    ends[borders - 1] |= inside[borders - 1]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets)
+
+
 class Lexicon:
     """The distinct words of some texts: their hashes, n-gram buckets, and the sequence of words as numbers."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = _FOLD[data]
-        words = ts.words(data, offsets)
-        start, end = words.start.copy(), words.start + words.length
+        start, end, self.first = _bounds(data, offsets)
         for _ in range(3):  # up to three marks on either side
             full = end - start > 1
             start += full & _EDGE[data[np.minimum(start, len(data) - 1)]] if len(start) else 0
             full = end - start > 1
             end -= full & _EDGE[data[end - 1]] if len(end) else 0
         length = end - start
-        self.first = words.first
-        buffer, at = self._copy(data, start, length)
-        if len(start):
-            pos = np.arange(len(buffer)) - np.repeat(at, length + 2)
-            power = np.full(int(length.max()) + 2, ts.BASE, np.uint64)
-            power[0] = 1
-            hashes = ts.mix64(np.add.reduceat(ts._BYTE[buffer] * np.multiply.accumulate(power)[pos], at))
-        else:
-            hashes = np.zeros(0, np.uint64)
-        self.hash, index, self.sequence = np.unique(hashes, return_index=True, return_inverse=True)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(self._hashes(data, start[i : i + SOME], length[i : i + SOME]) for i in range(0, len(start), SOME))])
+        self.hash, index, sequence = np.unique(hashes, return_index=True, return_inverse=True)
+        self.sequence = sequence.astype(np.int32)
         self.word = (self.hash >> np.uint64(49)).astype(np.int64) % WORD_BUCKETS
-        buffer, at = self._copy(data, start[index], length[index])
-        self.gram, self.gram_word = self._grams(buffer, at, length[index] + 2)
+        gram, owner = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for i in range(0, len(index), SOME // 5):
+            some = index[i : i + SOME // 5]
+            buffer, at = self._copy(data, start[some], length[some])
+            grams, own = self._grams(buffer, at, length[some] + 2)
+            gram.append(grams.astype(np.int32))
+            owner.append((own + i).astype(np.int32))
+        self.gram, self.gram_word = np.concatenate(gram), np.concatenate(owner)
+
+    @classmethod
+    def _hashes(cls, data, start, length):
+        buffer, at = cls._copy(data, start, length)
+        pos = np.arange(len(buffer)) - np.repeat(at, length + 2)
+        power = np.full(int(length.max()) + 2, ts.BASE, np.uint64)
+        power[0] = 1
+        return ts.mix64(np.add.reduceat(ts._BYTE[buffer] * np.multiply.accumulate(power)[pos], at))
 
     @staticmethod
     def _copy(data, start, length):
@@ -119,10 +141,12 @@ class Lexicon:
         many = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE)), 0)
         doc = np.repeat(np.arange(len(sizes)), many)
         nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        place = (nth * STRIDE)[:, None] + np.arange(WINDOW)
-        valid = place < sizes[doc][:, None]
-        flat = np.where(valid, self.first[doc][:, None] + place, 0)
-        return np.where(valid, self.sequence[flat] if len(self.sequence) else 0, -1), doc
+        out = np.full((len(doc), WINDOW), -1, np.int32)
+        for at in range(WINDOW if len(self.sequence) else 0):
+            place = nth * STRIDE + at
+            valid = np.flatnonzero(place < sizes[doc])
+            out[valid, at] = self.sequence[self.first[doc[valid]] + place[valid]]
+        return out, doc
 
 
 def start_model(seed: int = 7) -> dict[str, np.ndarray]:
@@ -217,11 +241,7 @@ def window_scores(model, lexicon: Lexicon, chunk: int = 4096) -> tuple[np.ndarra
 
 def cuts(data: np.ndarray, size: int = CUT):
     """A text's bytes in parts of ``size`` words whose windows, one part after the other, are the windows of the whole text."""
-    inside = ~ts._WORD_BREAK[data]
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    start, end, _ = _bounds(data, np.array([0, len(data)]))
     for at in range(0, max(len(start), 1), size):
         if at == 0 or len(start) - at > WINDOW - STRIDE:
             yield data[start[at] if at else 0 : end[min(at + size + WINDOW - STRIDE, len(end)) - 1] if len(end) else len(data)]
@@ -235,6 +255,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     rng = np.random.default_rng(seed)
     data = [t.encode() for t in texts]
     lexicon = Lexicon(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    del data
     model = start_model(seed)
     windows, doc = lexicon.windows()
     if prior:
@@ -273,7 +294,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 def _log_odds(model, lexicon: Lexicon, labels: np.ndarray) -> None:
     """First channels: how much more often toxic texts hold a word or n-gram, counted once for each text and word."""
     sizes = np.diff(lexicon.first)
-    pair = np.unique(np.repeat(np.arange(len(sizes)), sizes) * (len(lexicon.word) + 1) + lexicon.sequence)
+    pair = np.repeat(np.arange(len(sizes)), sizes) * (len(lexicon.word) + 1) + lexicon.sequence
+    pair.sort()
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
     word, toxic = pair % (len(lexicon.word) + 1), labels[pair // (len(lexicon.word) + 1)]
     bad, good = (np.bincount(word, w, minlength=len(lexicon.word)) for w in (toxic, 1 - toxic))
     prior = np.log(max(labels.sum(), 1) / max((1 - labels).sum(), 1))
