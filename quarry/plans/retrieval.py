@@ -11,6 +11,7 @@ from quarry.operators import classify as C
 from quarry.operators import retrieval as R
 from quarry.plans import duck as D
 from quarry.sources import adapters as A
+from quarry.tables import broadcast_if_small
 
 #: Invented procedures of a student office: order, id, title, keywords.
 PROCEDURES = (
@@ -95,18 +96,18 @@ WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, a.label AS q_label, l
 SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 
-def _near_questions(spark, sf_dir, k):
-    """(query_id, id, similarity): question j takes vector j, entry i vector i; the ``k`` nearest entries that have vectors."""
+def _near_questions(spark, sf_dir, k, allowed=None):
+    """(query_id, id, similarity): question j takes vector j, entry i vector i; the ``k`` nearest entries that have vectors, of those ``allowed`` (id) if given."""
     vectors, asked = A.table(spark, sf_dir, "embeddings"), A.question_set(spark, sf_dir).select(F.col("query_id").alias("vec_id"))
-    entries = vectors.join(A.corpus(spark, sf_dir).select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    known = A.corpus(spark, sf_dir).select("id") if allowed is None else allowed
+    entries = vectors.join(known.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
     near = R.cosine_top_k(entries, vectors.join(F.broadcast(asked), "vec_id", "left_semi"), k, itself=True)
     return near.select("query_id", F.col("vec_id").alias("id"), F.round("similarity", 6).alias("similarity"))
 
 
 def hybrid_topk(spark, sf_dir):
     """The twelve nearest entries bring 60 times their similarity."""
-    lexical = R.lexical_points(R.corpus_features(A.corpus(spark, sf_dir)), A.question_set(spark, sf_dir))
-    return R.hybrid_top_k(lexical, _near_questions(spark, sf_dir, 12))
+    return R.hybrid_top_k(R.corpus_features(A.corpus(spark, sf_dir)), A.question_set(spark, sf_dir), _near_questions(spark, sf_dir, 12))
 
 
 _HYBRID_SQL = "WITH " + D.FEATURES + """, near AS (
@@ -127,8 +128,7 @@ def lecture_score(spark, sf_dir):
 
 def lecture_hybrid(spark, sf_dir):
     """Lecture search with vectors: every chunk that has one brings 50 times its similarity."""
-    vectors = A.table(spark, sf_dir, "embeddings")
-    near = _near_questions(spark, sf_dir, max(vectors.count(), 1))
+    near = _near_questions(spark, sf_dir, None)
     scored = R.lecture_top_k(_lectures(spark, sf_dir), A.question_set(spark, sf_dir), near=near)
     return scored.withColumn("score", F.round("score", 5))
 
@@ -253,8 +253,8 @@ SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query
 
 def domain_filtered_topk(spark, sf_dir):
     features = R.corpus_features(A.corpus(spark, sf_dir))
-    wide = R.top_k(R.lexical_points(features, A.question_set(spark, sf_dir)), 12, "id").drop("rank")  # the best 3 x 4
-    scored = features.select("id", "category").join(F.broadcast(wide), "id")  # twelve rows for each question
+    wide = R.top_k(R.lexical_best(features, A.question_set(spark, sf_dir), 12), 12, "id").drop("rank")  # the best 3 x 4
+    scored = features.select("id", "category").join(broadcast_if_small(wide), "id")
     return R.domain_top_k(scored, F.col("category").isin("fr", "de"), 3, 4).select("query_id", "rank", "id", "score")
 
 

@@ -181,14 +181,12 @@ def lecturer_topk(spark, sf_dir):
     """Lecturer search: lexical points of all entries, similarity only of those in the lecturers' categories (here "fr" and "de")."""
     features = R.corpus_features(A.corpus(spark, sf_dir))
     allowed = features.where(F.contains("category", F.lit("fr")) | F.contains("category", F.lit("de"))).select("id")
-    everyone = A.table(spark, sf_dir, "embeddings").count()
-    near = _near_questions(spark, sf_dir, max(everyone, 1)).join(allowed, "id", "left_semi")
-    return R.hybrid_top_k(R.lexical_points(features, A.question_set(spark, sf_dir)), R.top_k(near, 12, "id", score="similarity").select("query_id", "id", "similarity"))
+    return R.hybrid_top_k(features, A.question_set(spark, sf_dir), _near_questions(spark, sf_dir, 12, allowed))
 
 
 _LECTURER_SQL = "WITH " + D.FEATURES + """, near AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT query_id FROM questions) AND b.vec_id IN (SELECT id FROM corpus WHERE category LIKE '%fr%' OR category LIKE '%de%')
-), top AS (SELECT query_id, id, greatest(similarity, 0) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM near) WHERE r <= 12
+  SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT query_id FROM questions) AND b.vec_id IN (SELECT id FROM corpus WHERE category LIKE '%fr%' OR category LIKE '%de%')
+), top AS (SELECT query_id, id, greatest(round(similarity, 6), 0) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM near) WHERE r <= 12
 ), c AS (SELECT query_id, id, round_even(score + 60.0 * coalesce(similarity, 0), 0)::BIGINT AS score, score + 60.0 * coalesce(similarity, 0) AS combined FROM scored LEFT JOIN top USING (query_id, id))
 SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c WHERE combined > 0) WHERE rank <= 3"""
 
