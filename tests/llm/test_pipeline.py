@@ -88,3 +88,36 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_nulls_repeats_clashing_columns_and_a_hot_text(spark, tmp_path):
+    """A third of all rows is one text; nulls stand in every column; columns have the names that stages use themselves, and pass all stages but the last."""
+    rng = random.Random(4)
+    rows, labels = corpus(rng)
+    hot = rows[3][1]
+    rows += [(500 + i, hot, "en", "a", len(hot)) for i in range(60)]
+    rows += [(900, None, "en", "b", None), (901, rows[5][1] + " tail words here", None, None, 5), (None, rows[7][1] + " other", "en", "c", 9), (902, "", "en", "b", 0), rows[9], rows[9]]
+    rows += [(903, "word " * 30_000, "en", "a", 150_000), (904, "\x00퟿ ​", "en", "a", 4)]
+    names = ["row", "key", "hash", "digest", "copies", "kept", "size", "word", "run", "node", "component", "target"]
+    sf = str(tmp_path / "in")
+    wide = [(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)]
+    spark.createDataFrame(wide, COLUMNS + "".join(f", {n} string" for n in names)).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels + [(None, 1), (1, None)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    docs, after = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(path := str(tmp_path / f"stage{n}"))
+        docs = spark.read.parquet(path)
+        after.append(docs.collect())
+        if n < len(corpus_pipeline.STAGES) - 1:
+            assert sorted(docs.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", *names])
+    given = {tuple(r) for r in wide}
+    assert all(tuple(r[c] for c in ["doc_id", "text", "lang", "source", "n_chars", *names]) in given for a in after[:4] for r in a)
+    kept = Counter(r.doc_id for r in after[0])
+    assert kept[None] == 1 and kept[9] == 3 and sum(kept[500 + i] for i in range(60)) == 60  # repeats and nulls are judged like others
+    exact = {r.doc_id for r in after[1]}
+    assert sum(500 + i in exact for i in range(60)) == 1 and 559 in exact and 3 not in exact
+    assert len(after[1]) == len({(r.text or "").translate(LOWER) for r in after[0]})
+    texts = Counter((r.text or "").translate(LOWER) for r in after[2])
+    assert max(texts.values()) == 1 and sum(r.text == hot for r in after[2]) == 1
+    assert all(n <= 3 for n in Counter((r.doc_id, r.text) for r in after[3]).values())
+    assert len(after[4]) == len(after[3]) and Counter(r.doc_id for r in after[4]) == Counter(r.doc_id for r in after[3])
