@@ -36,7 +36,7 @@ def layout_lines(spark, sf_dir):
 
 
 def fee_tables(spark, sf_dir):
-    return FT.fee_table_rows(layout_lines(spark, sf_dir))
+    return FT.fee_table_rows(layout_lines(spark, sf_dir)).withColumns({c: F.col(c).cast("bigint") for c in ("table_order", "row_order")})
 
 
 _AMOUNT_SQL = "trim(regexp_replace(replace(replace(replace(replace(trim({x}), 'd6ng', 'dong'), 'ddng', 'dong'), 'đ6ng', 'dong'), 'đồng', 'dong'), '\\s+', ' ', 'g'))"

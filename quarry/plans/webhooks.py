@@ -29,7 +29,7 @@ def webhook_history(spark, sf_dir):
     """The ten newest deliveries of each subscriber, their signatures verified, with totals."""
     log, hooks = _log(spark, sf_dir)
     page = H.verified(H.history(log, limit=10).join(hooks.select("webhook_id", "secret"), "webhook_id"), "payload", "signature", "secret")
-    return page.select("webhook_id", "event_id", "event_type", "payload", "signature", "verified", "response_status", F.length("response_body").alias("kept"), "success", "message", "place", "total", "delivered")
+    return page.select("webhook_id", "event_id", "event_type", "payload", "signature", "verified", "response_status", F.length("response_body").alias("kept"), "success", "message", F.col("place").cast("bigint").alias("place"), "total", "delivered")
 
 
 def webhook_outcomes(spark, sf_dir):
