@@ -160,7 +160,9 @@ SELECT conversation_id, seq, intent, CASE WHEN academic THEN reason || ' | Subje
 
 
 def overview_composed(spark, sf_dir):
-    """The overview with its lists: one row of totals beside the top questions, intents and tools, each "value:count" in order."""
+    """The overview with its lists: one row of totals beside the top questions, intents, tools and procedures, each "value:count" in order, and "intent:helpful/total", the most unhelpful first."""
+    from quarry.plans import analytics as P
+
     messages, calls = A.messages(spark, sf_dir), A.tool_calls(spark, sf_dir)
     totals = N.overview(messages, A.feedback(spark, sf_dir), calls)
 
@@ -171,8 +173,11 @@ def overview_composed(spark, sf_dir):
     intents = router_intents(spark, sf_dir).groupBy("intent").agg(F.count("*").alias("n"))
     questions = messages.where("role = 'user'").groupBy(F.trim("content").alias("question")).agg(F.count("*").alias("n"))
     tools = calls.groupBy("tool_name").agg(F.count("*").alias("n"))
+    judged = F.sort_array(F.collect_list(F.struct((-F.col("unhelpful")).alias("a"), (-F.col("total")).alias("b"), "intent", F.concat_ws("/", F.col("helpful").cast("string"), F.col("total").cast("string")).alias("v"))))
+    quality = P.intent_quality(spark, sf_dir).agg(F.array_join(F.transform(judged, lambda x: F.concat_ws(":", x["intent"], x["v"])), " | ").alias("line"))
     out = totals
-    for name, part in (("questions", line(questions, "question", 5)), ("intents", line(intents, "intent", 20)), ("top_tools", line(tools, "tool_name", 5))):
+    lists = (("questions", line(questions, "question", 5)), ("intents", line(intents, "intent", 20)), ("top_tools", line(tools, "tool_name", 5)), ("procedures", line(P.top_procedures_json(spark, sf_dir), "label", 10)), ("quality", quality))
+    for name, part in lists:
         out = out.crossJoin(part.withColumnRenamed("line", name))  # one row each
     return out
 
@@ -200,7 +205,9 @@ def _overview_sql():
     from quarry.plans.analytics import ORACLES as base
 
     top = lambda value, source, k: f"(SELECT string_agg(v || ':' || n, ' | ' ORDER BY n DESC, v) FROM (SELECT {value} AS v, count(*) AS n FROM {source} GROUP BY 1 ORDER BY n DESC, v LIMIT {k}))"
-    return f"""{_route_sql()}, base AS ({base['overview']}) SELECT base.*, {top('trim(text)', "conversations WHERE role = 'user'", 5)} AS questions, {top('intent', 'routed', 20)} AS intents, {top('event_type', 'events', 5)} AS top_tools FROM base"""
+    return f"""{_route_sql()}, base AS ({base['overview']}) SELECT base.*, {top('trim(text)', "conversations WHERE role = 'user'", 5)} AS questions, {top('intent', 'routed', 20)} AS intents, {top('event_type', 'events', 5)} AS top_tools,
+  (SELECT coalesce(string_agg(label || ':' || n, ' | ' ORDER BY n DESC, label), '') FROM ({base['top_procedures_json']})) AS procedures,
+  (SELECT coalesce(string_agg(intent || ':' || helpful || '/' || total, ' | ' ORDER BY unhelpful DESC, total DESC, intent), '') FROM ({base['intent_quality']})) AS quality FROM base"""
 
 
 ORACLES = {
