@@ -126,6 +126,12 @@ def lecture_score(spark, sf_dir):
     return R.lecture_top_k(_lectures(spark, sf_dir), A.question_set(spark, sf_dir))
 
 
+def lecture_contexts(spark, sf_dir):
+    """What a generator is told for each question."""
+    chunks, asked = _lectures(spark, sf_dir), A.question_set(spark, sf_dir)
+    return R.lecture_context(asked, R.lecture_top_k(chunks, asked), chunks)
+
+
 def lecture_hybrid(spark, sf_dir):
     """Lecture search with vectors: every chunk that has one brings 50 times its similarity."""
     near = _near_questions(spark, sf_dir, None)
@@ -364,10 +370,12 @@ _AGENTS_SQL = f"""WITH e AS (SELECT event_id AS id, lower(concat_ws(' ', ([{", "
 SELECT id, CASE WHEN contains(a, 'chrome') THEN 'Chrome' WHEN contains(a, 'firefox') THEN 'Firefox' WHEN contains(a, 'safari') THEN 'Safari' WHEN contains(a, 'edge') THEN 'Edge' ELSE 'Unknown Browser' END AS browser,
   CASE WHEN contains(a, 'mobile') OR contains(a, 'android') THEN 'mobile' WHEN contains(a, 'tablet') OR contains(a, 'ipad') THEN 'tablet' ELSE 'desktop' END AS device FROM e"""
 
+_SAID = [part.replace("\n", "' || chr(10) || '") for part in R.CONTEXT]
+
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_topk, lexical_excerpts, lexical_scores_profiled, cosine_topk, cosine_topk_filtered, hybrid_topk, lecture_score, lecture_hybrid, lecture_lexical, lecture_by_style, catalog_rerank, procedure_match, form_match,
+        lexical_topk, lexical_excerpts, lexical_scores_profiled, cosine_topk, cosine_topk_filtered, hybrid_topk, lecture_score, lecture_contexts, lecture_hybrid, lecture_lexical, lecture_by_style, catalog_rerank, procedure_match, form_match,
         domain_filtered_topk, router_intents, intent_counts, fallback_chains, subject_fallback, style_hints, chapters, user_agents,
     )
 }
@@ -382,6 +390,9 @@ SELECT query_id, id, length(excerpt)::BIGINT AS n_excerpt, md5(excerpt) AS excer
     "cosine_topk_filtered": _COSINE.format(same="AND (a.label = b.label OR a.vec_id % 300 = 0)"),
     "hybrid_topk": _HYBRID_SQL,
     "lecture_score": _LECTURE_SQL,
+    "lecture_contexts": f"""WITH best AS ({_LECTURE_SQL}), parts AS (SELECT query_id, rank, score, '{_SAID[0]}' || rank || '{_SAID[1]}' || lang || '{_SAID[2]}' || source || '{_SAID[3]}' || {_style_sql('text')} || '{_SAID[4]}' || printf('%.2f', score::DOUBLE)
+  || '{_SAID[5]}' || substr(text, 1, {R.CONTEXT_CHARACTERS}) || '{_SAID[6]}' AS said FROM best JOIN documents ON doc_id = id WHERE rank <= {R.CONTEXT_CHUNKS})
+SELECT item_id AS query_id, coalesce(string_agg(said, chr(10) ORDER BY rank), '') AS context, coalesce(bool_or(score >= {R.TRUSTED}), FALSE) AS confident FROM benchmark LEFT JOIN parts ON query_id = item_id GROUP BY 1""",
     "lecture_hybrid": _LECTURE_HYBRID_SQL,
     "lecture_lexical": _LECTURE_LEXICAL_SQL,
     "lecture_by_style": _BY_STYLE_SQL,
