@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each working on all its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. ``run`` writes what a
-stage returns to the shared folder and reads it again before the next one, so a stage sees one state of its input.
+stage returns to the shared folder and reads it again before the next one, so a stage sees one state of its input; what the stage before it wrote
+is removed then.
 
 Defined results: null texts are empty texts, null sources a source of their own; documents with null ids are judged like others;
 repeated rows are copies, of which one stays; without labels of both classes the classifier keeps all; an empty table gives an empty
@@ -11,7 +12,7 @@ result; columns beyond those of ``documents``, whatever their names, pass all st
 from __future__ import annotations
 
 from quarry.llm import bpe, exact_dedup, mixing, near_dedup, quality_classifier
-from quarry.llm.common import stored
+from quarry.llm.common import discard, stored
 
 
 def classify_quality(spark, docs, sf_dir):
@@ -53,6 +54,9 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        after = stored(stage(spark, docs, sf_dir), "stage")
+        if number:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
