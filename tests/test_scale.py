@@ -1,7 +1,11 @@
 """Steps that once grew faster than their input, or differed from SQL on rare values."""
 
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
+from quarry.functions import rules as U
 from quarry.functions import text as T
 
 
@@ -14,3 +18,15 @@ def test_phrases_tokenise_a_text_once(spark):
     frame = spark.createDataFrame([(" ".join(words),)], "t string").select(F.explode(T.phrases(T.tokens(F.col("t")))).alias("p"))
     assert frame._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
     assert sorted(r["p"] for r in frame.collect()) == sorted([f"{a} {b}" for a, b in zip(words, words[1:])] + [f"{a} {b} {c}" for a, b, c in zip(words, words[1:], words[2:])])
+
+
+def test_vector_literals_round_exact_values_ties_to_even(spark):
+    rng = random.Random(2)
+    ties = [n / 1024 for n in range(-2_000, 2_000)] + [0.1494140625, -0.0, 0.0, -1e-12, 4e-10, 2.0**23 - 0.5, 2.0**23, 2.0**31 + 256, 1.5e12, -9.0e18, float("nan"), float("inf"), float("-inf"), None]
+    values = ties + [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 6) for _ in range(20_000)]
+    rows = [(i, values[i : i + 20]) for i in range(0, len(values), 20)] + [(-1, []), (-2, None)]
+    frame = spark.createDataFrame(rows, "i int, v array<float>").select("i", U.vector_literal(F.col("v")).alias("s"))
+    con = duckdb.connect()
+    table = spark.createDataFrame(rows, "i int, v array<float>").toArrow()  # noqa: F841  DuckDB reads it by its name
+    want = con.execute("SELECT i, '[' || array_to_string(list_transform(v, lambda x: printf('%.9f', x::DOUBLE)), ',') || ']' FROM \"table\"").fetchall()
+    assert sorted(map(tuple, frame.collect())) == sorted(want)
