@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import rules as U
 from quarry.functions import text as T
+from quarry.functions import vectors as V
+from quarry.operators import retrieval as R
 
 
 def _plan(frame):
@@ -30,3 +32,22 @@ def test_vector_literals_round_exact_values_ties_to_even(spark):
     table = spark.createDataFrame(rows, "i int, v array<float>").toArrow()  # noqa: F841  DuckDB reads it by its name
     want = con.execute("SELECT i, '[' || array_to_string(list_transform(v, lambda x: printf('%.9f', x::DOUBLE)), ',') || ']' FROM \"table\"").fetchall()
     assert sorted(map(tuple, frame.collect())) == sorted(want)
+
+
+def test_vector_search_compares_in_the_tasks_that_hold_the_rows(spark):
+    rng = random.Random(3)
+    odd = [None, [], [1.0, None], [0.0, 0.0, 0.0], [1.0, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 0.0], [1e30, 1e30, 1e30]]
+    rows = [(i, rng.choice(odd) if i % 9 == 0 else [float(rng.randint(-3, 3)), rng.random(), rng.choice([0.0, 1.0])] if i % 2 else [1.0, 1.0, 0.5], rng.choice([None, 1, 2, 3])) for i in range(400)]
+    rows += [(None, [1.0, 1.0, 0.5], 1), (7, [1.0, 1.0, 0.5], 2)]
+    vectors = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label int").repartition(3).cache()
+    asked = vectors.where("vec_id % 10 = 0 OR vec_id IS NULL")
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), F.col("label").alias("l"))
+    plain = vectors.crossJoin(q).withColumn("similarity", V.cosine(F.col("embedding"), F.col("e")))
+    other, fits = F.col("vec_id") != F.col("query_id"), F.col("l").isNull() | (F.col("l") == 3) | (F.col("l") == F.col("label"))
+    for options, wanted in (({}, other), ({"itself": True}, F.lit(True)), ({"same": "label", "unless": 3}, other & fits)):
+        for k in (4, None):
+            frame = R.cosine_top_k(vectors, asked, k, **options)
+            assert "Join" not in _plan(frame)
+            pairs = plain.where(wanted).select("query_id", "vec_id", "similarity")
+            want = pairs if k is None else R.top_k(pairs, k, "vec_id", score="similarity").select("query_id", "rank", "vec_id", "similarity")
+            assert sorted(map(repr, map(tuple, frame.collect()))) == sorted(map(repr, map(tuple, want.collect())))
