@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.tables import broadcast_if_small
+from quarry.tables import broadcast_if_small, stored
 
 # The events that exist, how much of an answer is kept, and what precedes a signature.
 EVENT_TYPES = ("user.created", "user.updated", "user.deleted", "item.created", "item.updated", "item.deleted")
@@ -58,15 +58,39 @@ def dispatched(events: DataFrame, hooks: DataFrame) -> DataFrame:
 
 def delivery_log(sent: DataFrame, answers: DataFrame) -> DataFrame:
     """``sent`` with what came back: ``answers`` (webhook_id, event_id, status, body, error). 2xx is success; an error, no answer or another status is none."""
-    joined = sent.join(answers, ["webhook_id", "event_id"], "left")
+    joined = sent.join(answers.withColumn("body", F.substring("body", 1, BODY)), ["webhook_id", "event_id"], "left")  # cut before it is exchanged
     success = F.coalesce(F.col("status").between(200, 299) & F.col("error").isNull(), F.lit(False))
     message = F.coalesce("error", F.when(F.col("status").isNull(), F.lit("no answer")).otherwise(F.lit("Delivered successfully")))
-    return joined.select(*sent.columns, F.col("status").alias("response_status"), F.substring("body", 1, BODY).alias("response_body"), success.alias("success"), message.alias("message"))
+    return joined.select(*sent.columns, F.col("status").alias("response_status"), F.col("body").alias("response_body"), success.alias("success"), message.alias("message"))
 
 
 def history(log: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
     """A page of every subscriber's deliveries, the newest first, with the number of all of them. Ranks are cut in each task before rows are exchanged."""
-    newest = F.row_number().over(W.partitionBy("webhook_id").orderBy(F.desc("at"), F.desc("event_id")))
-    page = log.withColumn("place", newest).where(F.col("place") <= skip + limit).where(F.col("place") > skip)
+    page = newest(log, skip, limit)
     totals = log.groupBy("webhook_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("delivered"))
     return page.join(broadcast_if_small(totals), "webhook_id")
+
+
+def newest(rows: DataFrame, skip: int, limit: int) -> DataFrame:
+    """``place`` of each subscriber's rows (webhook_id, event_id, at), the newest first, and of these a page."""
+    place = F.row_number().over(W.partitionBy("webhook_id").orderBy(F.desc("at"), F.desc("event_id")))
+    return rows.withColumn("place", place).where(F.col("place") <= skip + limit).where(F.col("place") > skip)
+
+
+def subscribed(events: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Events of known types with ``webhook_id``, once for each active subscriber of their type."""
+    active = hooks.where("is_active").select("webhook_id", F.explode(F.array_distinct("events")).alias("event_type"))
+    return events.where(F.col("event_type").isin(*EVENT_TYPES)).join(broadcast_if_small(active), "event_type")
+
+
+def delivery_page(events: DataFrame, hooks: DataFrame, answers: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
+    """``history`` of the log of all deliveries, of which only those of the page are signed and bring their answers' bodies.
+
+    Places and totals come from ids, times and outcomes alone. An ``event_id`` names one event, and a delivery has one answer at most.
+    """
+    every = subscribed(events.select("event_id", "event_type", "at"), hooks).select("webhook_id", "event_id", "at")
+    shown = broadcast_if_small(stored(newest(every, skip, limit).select("webhook_id", "event_id", "place"), "page"))
+    signed = dispatched(events.join(shown.select("event_id").distinct(), "event_id", "left_semi"), hooks).join(shown, ["webhook_id", "event_id"])
+    totals = delivery_log(every, answers).groupBy("webhook_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("delivered"))
+    page = delivery_log(signed, answers.join(shown, ["webhook_id", "event_id"], "left_semi"))
+    return page.join(broadcast_if_small(stored(totals, "totals")), "webhook_id")

@@ -12,29 +12,29 @@ from quarry.sources import adapters as A
 NAMES = {"signup": "user.created", "view": "item.updated", "click": "user.updated", "purchase": "item.created", "error": "user.error"}
 
 
-def _log(spark, sf_dir):
+def _deliveries(spark, sf_dir):
     named = F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), F.col("event_type"))
     events = A.table(spark, sf_dir, "events").select("event_id", named.alias("event_type"), F.col("props").alias("data"), F.col("ts").alias("at"), "value")
     two = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("user.created"), F.lit("item.created"))).otherwise(F.array(F.lit("item.updated"), F.lit("user.error")))
     hooks = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("webhook_id"), F.repeat("n_name", F.col("n_nationkey") % 12 + 1).alias("secret"), two.alias("events"), (F.col("n_regionkey") != 4).alias("is_active"))
-    sent = H.dispatched(events, hooks)
     status = (F.floor("value") * 7 % 400 + 150).cast("int")
-    answers = sent.select("webhook_id", "event_id").join(events.select("event_id", "value", "data"), "event_id").where("value < 60").select(
+    answers = H.subscribed(events, hooks).where("value < 60").select(
         "webhook_id", "event_id", F.when(F.col("value") > 2, status).alias("status"), F.repeat("data", 2000).alias("body"), F.when(F.col("value") <= 2, "timed out").alias("error")
     )
-    return H.delivery_log(sent, answers), hooks
+    return events, hooks, answers
 
 
 def webhook_history(spark, sf_dir):
     """The ten newest deliveries of each subscriber, their signatures verified, with totals."""
-    log, hooks = _log(spark, sf_dir)
-    page = H.verified(H.history(log, limit=10).join(hooks.select("webhook_id", "secret"), "webhook_id"), "payload", "signature", "secret")
+    events, hooks, answers = _deliveries(spark, sf_dir)
+    page = H.verified(H.delivery_page(events, hooks, answers, limit=10).join(hooks.select("webhook_id", "secret"), "webhook_id"), "payload", "signature", "secret")
     return page.select("webhook_id", "event_id", "event_type", "payload", "signature", "verified", "response_status", F.length("response_body").alias("kept"), "success", "message", F.col("place").cast("bigint").alias("place"), "total", "delivered")
 
 
 def webhook_outcomes(spark, sf_dir):
     """Deliveries by type and outcome, and events of types that don't exist."""
-    log, _ = _log(spark, sf_dir)
+    events, hooks, answers = _deliveries(spark, sf_dir)
+    log = H.delivery_log(H.dispatched(events, hooks), answers)
     counted = log.groupBy("event_type", "success", "message").agg(F.count(F.lit(1)).alias("n"))
     named = F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), F.col("event_type"))
     odd = H.unknown_types(A.table(spark, sf_dir, "events").select(named.alias("event_type"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

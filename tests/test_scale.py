@@ -9,6 +9,7 @@ from quarry.functions import rules as U
 from quarry.functions import text as T
 from quarry.functions import vectors as V
 from quarry.operators import retrieval as R
+from quarry.operators import webhooks as H
 
 
 def _plan(frame):
@@ -51,3 +52,20 @@ def test_vector_search_compares_in_the_tasks_that_hold_the_rows(spark):
             pairs = plain.where(wanted).select("query_id", "vec_id", "similarity")
             want = pairs if k is None else R.top_k(pairs, k, "vec_id", score="similarity").select("query_id", "rank", "vec_id", "similarity")
             assert sorted(map(repr, map(tuple, frame.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_a_page_of_deliveries_is_that_of_the_whole_log(spark):
+    events = spark.range(300).select(
+        F.col("id").alias("event_id"), F.element_at(F.array(*map(F.lit, ("user.created", "item.updated", "other"))), (F.col("id") % 3 + 1).cast("int")).alias("event_type"), F.when(F.col("id") % 4 != 0, F.lit("{}")).alias("data"),
+        F.timestamp_seconds(F.col("id") % 50).cast("timestamp_ntz").alias("at"),
+    )
+    hooks = spark.createDataFrame([(1, "k", ["user.created", "user.created", "item.updated"], True), (2, "l", ["item.updated"], True), (3, "m", ["user.created"], False), (4, "n", ["user.deleted"], True)], "webhook_id int, secret string, events array<string>, is_active boolean")
+    answers = H.subscribed(events, hooks).where("event_id % 5 < 3").select("webhook_id", "event_id", (F.col("event_id") % 300 + 100).cast("int").alias("status"), F.repeat(F.lit("x"), 20_000).alias("body"), F.lit(None).cast("string").alias("error"))
+    log = H.delivery_log(H.dispatched(events, hooks), answers)
+    for skip, limit in ((0, 10), (7, 5), (0, 1_000)):
+        page, want = H.delivery_page(events, hooks, answers, skip, limit), H.history(log, skip, limit)
+        names = sorted(want.columns)
+        assert sorted(page.columns) == names
+        assert sorted(map(repr, page.select(names).collect())) == sorted(map(repr, want.select(names).collect()))
+    read = _plan(H.delivery_page(events, hooks, answers, 0, 10))
+    assert "Window" not in read  # places are known before anything is signed
