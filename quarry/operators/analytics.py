@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.functions import text as T
+
 LONG = "bigint"
 
 
@@ -106,9 +108,10 @@ def history_context(messages: DataFrame, turns: int = 2, chars: int = 100) -> Da
 
 def keywords_once(keywords: Column) -> Column:
     """Keywords without case-insensitive repeats, first spelling and order kept."""
-    low = F.transform(keywords, lambda k: F.lower(F.trim(k)))
-    kept = F.filter(keywords, lambda k, i: (F.trim(k) != "") & (F.array_position(low, F.lower(F.trim(k))) == i + 1))
-    return F.transform(kept, lambda k: F.trim(k))
+    spelt = F.filter(F.transform(keywords, lambda k, i: F.struct(F.lower(F.trim(k)).alias("low"), i.alias("i"), F.trim(k).alias("k"))), lambda x: x["k"] != "")
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["low"] != x["low"]))  # noqa: E731  of each run of equal ones
+    places = lambda s: F.transform(first(s), lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k")))
+    return F.transform(F.sort_array(T.let(F.sort_array(spelt), places)), lambda x: x["k"])
 
 
 def spans(calls: DataFrame) -> DataFrame:

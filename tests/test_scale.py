@@ -1,15 +1,21 @@
 """Steps that once grew faster than their input, or differed from SQL on rare values."""
 
 import random
+from datetime import datetime, timedelta
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.functions import rules as U
 from quarry.functions import text as T
 from quarry.functions import vectors as V
+from quarry.operators import analytics as N
+from quarry.operators import fee_tables as FT
+from quarry.operators import ingest as I
 from quarry.operators import retrieval as R
 from quarry.operators import webhooks as H
+from quarry.streaming import stateful as S
 
 
 def _plan(frame):
@@ -69,3 +75,45 @@ def test_a_page_of_deliveries_is_that_of_the_whole_log(spark):
         assert sorted(map(repr, page.select(names).collect())) == sorted(map(repr, want.select(names).collect()))
     read = _plan(H.delivery_page(events, hooks, answers, 0, 10))
     assert "Window" not in read  # places are known before anything is signed
+
+
+def _slugs(spark, *columns):
+    frame = spark.createDataFrame([("x",)], "line string").select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    return frame._jdf.queryExecution().analyzed().toString().count("[^a-z0-9]+")
+
+
+def test_tags_and_line_kinds_slug_a_text_once(spark):
+    line = F.col("line")
+    assert _slugs(spark, *U.tuition_tags(line, line, line)) == 2  # tracks and basis
+    assert [_slugs(spark, f(line)) for f in (FT.is_header, FT.is_section, FT.is_title)] == [1, 1, 1]
+
+
+def test_keywords_keep_the_first_spelling_in_time_that_grows_with_their_number(spark):
+    many = [f"{'W' if i < 30_000 else 'w'}{i % 30_000}" for i in range(60_000)]
+    odd = ["", " B ", "b", "a", None, "A ", "B", " ", "c"]
+    rows = spark.createDataFrame([(1, many), (2, odd), (3, []), (4, None)], "i int, k array<string>")
+    got = {r.i: r.u for r in rows.select("i", N.keywords_once(F.col("k")).alias("u")).collect()}
+    assert got == {1: many[:30_000], 2: ["B", "a", "c"], 3: [], 4: None}
+    assert "array_position" not in str(N.keywords_once(F.col("k")))
+
+
+def test_many_days_of_many_keys_pass_in_one_batch(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i, datetime(2024, 1, 1) + timedelta(seconds=rng.randint(0, 400_000)), rng.randint(1, 5)) for i in range(3_000)]
+    frame = spark.createDataFrame(rows, "key string, id int, time timestamp_ntz, n int")
+    got = S.admitted(frame, 4, 8)
+    assert "FlatMapGroups" not in _plan(got)
+    state, want = {}, []
+    for key, i, time, n in sorted(rows, key=lambda r: (r[2], r[1])):
+        state[key], answer = S.admit(state.get(key, (-1, 0, -1, 0)), (time - datetime(1970, 1, 1)).total_seconds(), n, 4, 8, False)
+        want.append((key, i, *answer))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_lecture_chunks_are_given_on_before_a_batch_ends(spark):
+    texts = [(i, f"Text {i}. " * 2_000) for i in range(300)] + [(300, None), (301, "")]
+    frame = spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)
+    sizes = I.lecture_chunks(frame).select("doc_id", "content").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == sum(len(I.overlapping(t or "")) for _, t in texts)
+    assert {(r.doc_id, r.chunk_id, r.content) for r in I.lecture_chunks(frame).where("doc_id >= 299").collect()} == {(299, f"299-{n:04d}", c) for n, c in enumerate(I.overlapping(texts[299][1]))}
+    assert I.GATHERED <= 1 << 22
