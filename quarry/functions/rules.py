@@ -58,12 +58,16 @@ def _first_of(text: Column, table, otherwise: str | None, test) -> Column:
 def tuition_tags(title: Column, label: Column, amount: Column) -> tuple[Column, Column]:
     """(tracks, basis) of a tuition row, arrays in the order of the rules; a row without a track is a regular one."""
     slug = T.slug(F.concat_ws(" ", title, label, amount))
-    named = F.array_compact(F.array(*[F.when(T.any_of(slug, words), F.lit(tag)) for tag, words in TRACK_SLUGS]))
-    tracks = F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("chinh_quy")))
-    graduate = F.contains(slug, F.lit("cao-hoc"))
-    credit = T.any_of(slug, CREDIT_SLUGS) | (graduate & T.any_of(slug, ("1-1", "1-2", "1-3")))
-    whole = ~credit & (graduate | (F.coalesce(T.amount_value(amount), F.lit(0)) >= FULL_PROGRAM_FROM))
-    return tracks, F.array_compact(F.array(F.when(credit, F.lit("per_credit")), F.when(whole, F.lit("full_program"))))
+    named = lambda s: F.array_compact(F.array(*[F.when(T.any_of(s, words), F.lit(tag)) for tag, words in TRACK_SLUGS]))
+    tracks = T.let(T.let(slug, named), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("chinh_quy"))))
+
+    def billed(s: Column) -> Column:
+        graduate = F.contains(s, F.lit("cao-hoc"))
+        credit = T.any_of(s, CREDIT_SLUGS) | (graduate & T.any_of(s, ("1-1", "1-2", "1-3")))
+        whole = graduate | (F.coalesce(T.amount_value(amount), F.lit(0)) >= FULL_PROGRAM_FROM)
+        return F.when(credit, F.lit("per_credit")).when(whole, F.lit("full_program"))
+
+    return tracks, F.array_compact(F.array(T.let(slug, billed)))
 
 
 def tuition_text(title: Column, label: Column, amount: Column, tracks: Column, basis: Column) -> Column:

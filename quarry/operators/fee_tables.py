@@ -30,20 +30,18 @@ LEAST_HEADING, LEAST_DIGITS = 8, 5
 def is_section(line: Column) -> Column:
     """A Roman number and a title of fees or courses."""
     title = F.trim(F.regexp_extract(line, HEADING, 1))
-    return line.rlike(HEADING) & (F.length(title) >= LEAST_HEADING) & T.any_of(T.slug(title), HEADING_SLUGS)
+    return line.rlike(HEADING) & (F.length(title) >= LEAST_HEADING) & T.let(T.slug(title), lambda s: T.any_of(s, HEADING_SLUGS))
 
 
 def is_header(line: Column) -> Column:
-    slug = T.slug(line)
-    return slug.isin(*HEADER_SLUGS) | T.any_of(slug, HEADER_PARTS)
+    return T.let(T.slug(line), lambda s: s.isin(*HEADER_SLUGS) | T.any_of(s, HEADER_PARTS))
 
 
 def is_title(line: Column) -> Column:
     """A line above a table's first row that goes on with its title: at least two words of six letters in all."""
-    slug = T.slug(line)
-    words = F.filter(F.split(slug, "-"), lambda t: t.rlike("^[a-z]+$"))
-    letters = F.aggregate(words, F.lit(0), lambda a, t: a + F.length(t))
-    return ~line.rlike(ROW_START) & (F.size(words) >= 2) & (letters >= 6) & ~T.any_of(slug, TITLE_STOPS)
+    letters = lambda words: F.aggregate(words, F.lit(0), lambda a, t: a + F.length(t))
+    worded = lambda slug: T.let(F.filter(F.split(slug, "-"), lambda t: t.rlike("^[a-z]+$")), lambda words: (F.size(words) >= 2) & (letters(words) >= 6))
+    return ~line.rlike(ROW_START) & T.let(T.slug(line), lambda slug: worded(slug) & ~T.any_of(slug, TITLE_STOPS))
 
 
 def _tidy(text: Column) -> Column:
