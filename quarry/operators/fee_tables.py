@@ -34,14 +34,22 @@ def is_section(line: Column) -> Column:
 
 
 def is_header(line: Column) -> Column:
-    return T.let(T.slug(line), lambda s: s.isin(*HEADER_SLUGS) | T.any_of(s, HEADER_PARTS))
+    return T.let(T.slug(line), _header)
+
+
+def _header(slug: Column) -> Column:
+    return slug.isin(*HEADER_SLUGS) | T.any_of(slug, HEADER_PARTS)
 
 
 def is_title(line: Column) -> Column:
     """A line above a table's first row that goes on with its title: at least two words of six letters in all."""
+    return T.let(T.slug(line), lambda slug: _title(line, slug))
+
+
+def _title(line: Column, slug: Column) -> Column:
     letters = lambda words: F.aggregate(words, F.lit(0), lambda a, t: a + F.length(t))
-    worded = lambda slug: T.let(F.filter(F.split(slug, "-"), lambda t: t.rlike("^[a-z]+$")), lambda words: (F.size(words) >= 2) & (letters(words) >= 6))
-    return ~line.rlike(ROW_START) & T.let(T.slug(line), lambda slug: worded(slug) & ~T.any_of(slug, TITLE_STOPS))
+    worded = T.let(F.filter(F.split(slug, "-"), lambda t: t.rlike("^[a-z]+$")), lambda words: (F.size(words) >= 2) & (letters(words) >= 6))
+    return ~line.rlike(ROW_START) & worded & ~T.any_of(slug, TITLE_STOPS)
 
 
 def _tidy(text: Column) -> Column:
@@ -71,14 +79,15 @@ def table_lines(lines: DataFrame) -> DataFrame:
         F.last("mark", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("before"),
     )
     inside = running.where((F.col("mark") == "heading") | (F.col("before") == "heading")).drop("before")
-    row = inside.withColumn("row", F.when(F.col("mark").isNull() & ~is_header(line), parsed_row(line)))
+    said = T.let(T.slug(line), lambda s: F.struct(_header(s).alias("header"), _title(line, s).alias("title")))
+    row = inside.withColumn("said", said).withColumn("row", F.when(F.col("mark").isNull() & ~F.col("said.header"), parsed_row(line)))
     counted = row.withColumn("row_no", F.count("row").over(W.partitionBy("doc_id", "table_no").orderBy("page", "position")))
     above = F.col("row_no") == 0
     kind = (
-        F.when(F.col("mark").isNotNull(), F.col("mark")).when(is_header(line), "none").when(F.col("row").isNotNull(), "row").when(above & is_title(line), "title").when(above, "none")
+        F.when(F.col("mark").isNotNull(), F.col("mark")).when(F.col("said.header"), "none").when(F.col("row").isNotNull(), "row").when(above & F.col("said.title"), "title").when(above, "none")
         .when(line.rlike(UNIT), "unit").otherwise("more")
     )
-    return counted.withColumn("kind", kind).drop("mark")
+    return counted.withColumn("kind", kind).drop("mark", "said")
 
 
 def _joined(kinds, value: Column) -> Column:
