@@ -156,17 +156,21 @@ def day_of(time: Column) -> Column:
 
 
 def admitted(requests: DataFrame, per_minute: int, per_day: int, weighed: bool = False) -> DataFrame:
-    """The same in batch. Whether a request passes hangs on all before it on its day, so a group is one key's day; the counters start anew each day."""
+    """The same in batch. Whether a request passes hangs on all before it on its day, so days of a key lie together in order, many to a batch; the counters start anew each day."""
     kinds = dict(requests.dtypes)
 
-    def fold(table: pa.Table) -> pa.Table:
-        state, out = (-1, 0, -1, 0), []
-        table = table.sort_by([("micros", "ascending"), ("id", "ascending")])
-        for micros, n in zip(table.column("micros").to_pylist(), table.column("n").to_pylist(), strict=True):
-            state, answer = admit(state, micros / 1e6, n, per_minute, per_day, weighed)
-            out.append(answer)
-        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.bool_(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-        return pa.Table.from_arrays([table.column("key"), table.column("id"), *columns], names=["key", "id", *(c.split()[0] for c in ADMITTED.split(", "))])
+    def fold(batches):
+        last, state = None, None
+        for batch in batches:
+            out = []
+            for key, day, micros, n in zip(*(batch.column(c).to_pylist() for c in ("key", "day", "micros", "n")), strict=True):
+                if (key, day) != last:
+                    last, state = (key, day), (-1, 0, -1, 0)
+                state, answer = admit(state, micros / 1e6, n, per_minute, per_day, weighed)
+                out.append(answer)
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.bool_(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), *columns], names=["key", "id", *(c.split()[0] for c in ADMITTED.split(", "))])
 
     rows = requests.select("key", "id", F.unix_micros(F.col("time").cast("timestamp")).alias("micros"), F.col("n").cast("int").alias("n"), day_of(F.col("time")).alias("day"))
-    return rows.groupBy("key", "day").applyInArrow(fold, f"key {kinds['key']}, id {kinds['id']}, {ADMITTED}")
+    return rows.repartition("key", "day").sortWithinPartitions("key", "day", "micros", "id").mapInArrow(fold, f"key {kinds['key']}, id {kinds['id']}, {ADMITTED}")
