@@ -56,24 +56,41 @@ def overlapping(text: str, most: int = LECTURE_MOST, overlap: int = OVERLAP) ->
     pieces = []
     for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
         pieces += re.split(r"(?<=[.!?])\s+", paragraph) if len(paragraph) > most else [paragraph]
-    chunks, current = [], []
+    chunks, current, size = [], [], 0
     for piece in pieces:
-        if current and sum(map(len, current)) + len(piece) > most:
+        if current and size + len(piece) > most:
             chunks.append("\n\n".join(current))
             current = [current[-1][-overlap:]]
+            size = len(current[0])
         current.append(piece)
+        size += len(piece)
     return [*chunks, "\n\n".join(current)] if current else chunks
 
 
+#: Characters of chunks that a task gathers before it gives them on.
+GATHERED = 1 << 20
+
+
 def lecture_chunks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chunk_id, content, chapter, style) of lecture texts."""
+    """(doc_id, chunk_id, content, chapter, style) of lecture texts. A task holds the chunks of one text and of ``GATHERED`` characters, not those of a whole batch."""
+
+    def told(rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([f"{r[0]}-{r[1]:04d}" for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "chunk_id", "content"]
+        )
 
     def scan(batches):
         for batch in batches:
-            rows = [(i, n, c) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for n, c in enumerate(overlapping(t or ""))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([f"{r[0]}-{r[1]:04d}" for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "chunk_id", "content"]
-            )
+            rows, size = [], 0
+            for i, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                found = overlapping(text.as_py() or "")
+                rows += [(i.as_py(), n, c) for n, c in enumerate(found)]
+                size += sum(map(len, found))
+                if size >= GATHERED:
+                    yield told(rows)
+                    rows, size = [], 0
+            if rows:
+                yield told(rows)
 
     cut = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, chunk_id string, content string")
     return cut.select("*", T.chapter(F.col("content")).alias("chapter"), T.style_hint(F.col("content")).alias("style"))
