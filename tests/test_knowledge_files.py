@@ -58,3 +58,33 @@ def test_no_folder_and_no_files(spark, tmp_path):
     assert kf.knowledge_files(spark, faqs=str(tmp_path / "none")).count() == 0
     with pytest.raises(Exception, match="at least one kind"):
         kf.knowledge_files(spark).count()
+
+
+def test_large_files_of_lines_are_shared_out_by_ranges(spark, tmp_path):
+    lines = [json.dumps({"id": str(i), "question": "ă" * (i % 50), "answer": "x" * (i % 7) * 100}, ensure_ascii=False) for i in range(500)]
+    lines[3], lines[77], lines[120] = "text no json", "", '{"id": "cut'
+    whole, big = tmp_path / "whole", tmp_path / "big"
+    for folder in (whole, big):
+        folder.mkdir()
+        (folder / "a.jsonl").write_bytes("\n".join(lines).encode() + b"\n\xff{}\n")
+        (folder / "b.json").write_text(json.dumps({"id": "one", "question": "q", "answer": "y" * 9_000}, indent=1))
+        (folder / "c.txt").write_text("text first\n" + lines[9])
+    seen = lambda df: sorted(repr((r.id, r.summary, r.content, r.error)) for r in df.collect())
+    many = kf.knowledge_files(spark, bytes_per_partition=1_000, faqs=str(big))
+    assert many.rdd.getNumPartitions() > 50
+    got = seen(many)
+    assert got == seen(kf.knowledge_files(spark, faqs=str(whole))) and len(got) == 499 + 1 + 1 + 2
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
+def test_each_line_is_in_the_range_of_its_first_byte(tmp_path, step):
+    import io
+
+    data = b"ab\n\ncde\nf\n\n\nlast one"
+    parts = [kf._lines_of(io.BytesIO(data), i, min(i + step, len(data))) for i in range(0, len(data), step)]
+    assert b"".join(parts) == data
+
+
+def test_what_tells_lines_from_one_record():
+    assert kf.on_lines(b'{"a": 1}\n{"b": ') and kf.on_lines(b"text is none\n" + b" " * 20 + b"{}") and kf.on_lines(b'1\n2')
+    assert not any(map(kf.on_lines, (b"", b"{}\n", b'{\n"a": [1,\n2', b'{\n "a": "bc', b"no json\n", b'{\n "a": tr', b'[\n"\\u00')))
