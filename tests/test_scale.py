@@ -117,3 +117,30 @@ def test_lecture_chunks_are_given_on_before_a_batch_ends(spark):
     assert sum(r.n for r in sizes) == sum(len(I.overlapping(t or "")) for _, t in texts)
     assert {(r.doc_id, r.chunk_id, r.content) for r in I.lecture_chunks(frame).where("doc_id >= 299").collect()} == {(299, f"299-{n:04d}", c) for n, c in enumerate(I.overlapping(texts[299][1]))}
     assert I.GATHERED <= 1 << 22
+
+
+def _recorded(monkeypatch):
+    sizes, stored = {}, R.stored
+    monkeypatch.setattr(R, "stored", lambda df, name: sizes.setdefault(name, stored(df, name)))
+    monkeypatch.setattr(R, "stored_by", None)  # no table of entries by id
+    return sizes
+
+
+def _entries(spark, n=400):
+    rng = random.Random(5)
+    say = lambda k: " ".join(rng.choice(["tín", "chi", "hoc phi", "cao học", "x_1", "the", "Ωmega", "w1", "w2", "w3", "w4", "II", "q"]) for _ in range(k))
+    rows = [(i, say(3), rng.choice(["en", None]), rng.choice(["table_row", "chunk", "faq", None]), None if i % 50 == 0 else say(rng.randint(0, 30)), say(5), [say(1), None, ""]) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, title string, category string, source_kind string, content string, summary string, keywords array<string>"), [(1, "hoc phi tín chỉ " + say(6)), (2, say(20)), (3, "w1"), (4, "none of it"), (5, None), (6, "cao học w1 w2"), (7, "")]
+
+
+def test_lexical_search_stores_the_best_of_each_task_alone(spark, monkeypatch):
+    entries, asked = _entries(spark)
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    want = R.top_k(R.lexical_points(R.corpus_features(entries), queries), 3, "id").select("query_id", "rank", "id", "score").collect()
+    sizes = _recorded(monkeypatch)
+    got = R.lexical_top_k(entries.repartition(5), queries, 3).drop("excerpt").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert set(sizes) == {"candidates"} and sizes["candidates"].count() <= 5 * 3 * len(asked)
+    monkeypatch.setattr(R.lexical, "QUESTIONS_AT_ONCE", 2)
+    monkeypatch.setattr(R.lexical, "ENTRIES_AT_ONCE", 7)
+    assert sorted(map(tuple, R.lexical_top_k(entries, queries, 3).drop("excerpt").collect())) == sorted(map(tuple, want))
