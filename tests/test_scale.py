@@ -144,3 +144,18 @@ def test_lexical_search_stores_the_best_of_each_task_alone(spark, monkeypatch):
     monkeypatch.setattr(R.lexical, "QUESTIONS_AT_ONCE", 2)
     monkeypatch.setattr(R.lexical, "ENTRIES_AT_ONCE", 7)
     assert sorted(map(tuple, R.lexical_top_k(entries, queries, 3).drop("excerpt").collect())) == sorted(map(tuple, want))
+
+
+def test_profiled_search_stores_no_pairs(spark, monkeypatch):
+    entries, asked = _entries(spark)
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    features = R.corpus_features(entries).withColumn("tags", F.when(F.col("id") % 3 == 0, F.array(F.lit("cao_hoc"), F.lit("chinh_quy"))))
+    points = R.lexical_points(features, queries)
+    sizes = _recorded(monkeypatch)
+    got = sorted(map(tuple, R.profiled_top_k(features, queries, 3).collect()))
+    assert "points" not in sizes and sizes["candidates"].count() <= 3 * len(asked) * sizes["entries"].rdd.getNumPartitions()
+    kinds = sizes["entries"].select("id", "kind", "k.*")
+    q = R.query_features(queries).select("query_id", "q_tokens", R.track_tags(F.col("q")).alias("asked"), T.any_of(F.col("q"), R.TUITION_PHRASES).alias("tuition"), (F.exists("q_tokens", lambda t: t.isin("tin", "chi")) | T.any_of(F.col("q"), R.CREDIT_PHRASES)).alias("credit"))
+    bonus = R._kind_bonus(kinds.crossJoin(q).withColumn("kind", F.col("id"))).withColumnRenamed("kind", "id")
+    every = bonus.join(points, ["query_id", "id"], "left").select("query_id", "id", (F.coalesce("score", F.lit(0)) + F.col("bonus")).alias("score")).where("score > 0")
+    assert got == sorted(map(tuple, R.top_k(every, 3, "id").select("query_id", "rank", "id", "score").collect()))
