@@ -159,3 +159,25 @@ def test_profiled_search_stores_no_pairs(spark, monkeypatch):
     bonus = R._kind_bonus(kinds.crossJoin(q).withColumn("kind", F.col("id"))).withColumnRenamed("kind", "id")
     every = bonus.join(points, ["query_id", "id"], "left").select("query_id", "id", (F.coalesce("score", F.lit(0)) + F.col("bonus")).alias("score")).where("score > 0")
     assert got == sorted(map(tuple, R.top_k(every, 3, "id").select("query_id", "rank", "id", "score").collect()))
+
+
+def test_lecture_search_stores_the_best_of_each_batch_alone(spark, monkeypatch):
+    rng = random.Random(6)
+    say = lambda k: rng.choice(["  ", " ", "\n"]).join(rng.choice(["prefixed", "fixed", "Mixed", "able", "tableau", "ă\x1cbcd", "of", "abcdabcd"]) for _ in range(k))
+    rows = [(i, None if i == 9 else say(rng.randint(0, 60)), rng.choice(["src1", "src2", None]), rng.choice(["ví dụ", "lý thuyết"])) for i in range(300)]
+    asked = [(1, "fixed able table"), (2, "of"), (3, "bcda"), (4, "mixed mixed"), (5, "absent"), (6, ""), (7, "ă\x1cbcd")]
+    sizes = _recorded(monkeypatch)
+    chunks = spark.createDataFrame(rows, "id long, content string, chapter string, style string").repartition(3)
+    got = R.lecture_lexical_top_k(chunks, spark.createDataFrame(asked, "query_id int, query string"), F.contains("chapter", F.lit("src1")), 10.0, 4)
+    want = []
+    for q, query in asked:
+        parts, scored = [w for w in query.split(" ") if len(w) > 3], []
+        for i, content, chapter, style in rows:
+            low = (content or "").lower()
+            points = 10 * sum(p in low for p in parts) + (50 + 20 * low.count(query) if query and query in low else 0)
+            total = points + (5 if style == "ví dụ" else 0) + (3 if len(content or "") > 200 else 0)
+            scored.append((chapter == "src1" and points > 0 and total > 10, -total, i))
+        hits = [s for s in scored if s[0]] or scored
+        want += [(q, n, i, float(-t)) for n, (_, t, i) in enumerate(sorted(s[1:] for s in hits)[:4] and [(0, *s) for s in sorted(s[1:] for s in hits)[:4]], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert set(sizes) == {"found", "hits"} and sizes["found"].count() <= 2 * 4 * 3 * len(asked)
