@@ -16,38 +16,50 @@ LECTURE_MOST, OVERLAP = 2000, 200
 
 
 def paragraphs(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, position, paragraph, heading): lines of a text, tidied, noise left out."""
-    lines = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(T.tidy_space(F.col(text_col)), "\n")).alias("position", "line"))
-    clean = lines.withColumn("paragraph", F.trim(F.regexp_replace(F.regexp_replace("line", r"(?i)^\s*(STSV\s*\*\s*\d+|\d+\s*\*\s*STSV)\s*", ""), r"\s{2,}", " ")))
-    return clean.where(~T.is_noise(F.col("paragraph")) & ~F.col("paragraph").rlike(r"^\d{1,3}$")).select("doc_id", "position", "paragraph", T.is_heading(F.col("paragraph")).alias("heading"))
+    """(doc_id, position, paragraph, heading): lines of a text, tidied, noise left out. A line is tidied once, for all that is asked of it."""
+    tidied = lambda line: F.trim(F.regexp_replace(F.regexp_replace(line, r"(?i)^\s*(STSV\s*\*\s*\d+|\d+\s*\*\s*STSV)\s*", ""), r"\s{2,}", " "))
+    kept = lambda p: ~T.is_noise(p) & ~p.rlike(r"^\d{1,3}$")
+    told = lambda line, i: T.let(tidied(line), lambda p: F.when(kept(p), F.struct(i.alias("position"), p.alias("paragraph"), T.is_heading(p).alias("heading"))))
+    lines = F.array_compact(F.transform(F.split(T.tidy_space(F.col(text_col)), "\n"), told))
+    return pages.select(F.col(id_col).alias("doc_id"), F.inline(lines))
 
 
 def pack(paragraphs: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
     """(doc_id, chunk, content, section_title, first_position, last_position) from paragraphs (doc_id, position, paragraph, heading).
 
     In order, a paragraph opens a new chunk if it is a heading, if it would make the current one longer than ``most``, or if that has
-    reached ``target``. The fold runs over one document's paragraphs, which are its own size; documents are spread by id.
+    reached ``target``. Paragraphs of many documents lie together in order, and a task folds those of a batch; it holds a chunk, not a document.
     """
-
     kind = paragraphs.schema["doc_id"].dataType.simpleString()
 
-    def fold(table):
-        rows = sorted(zip(table.column("position").to_pylist(), table.column("paragraph").to_pylist(), table.column("heading").to_pylist(), strict=True))
-        chunks, current, size = [], [], 0
-        for row in rows:
-            if current and (row[2] or size + len(row[1]) > most or size >= target):
-                chunks.append(current)
-                current, size = [], 0
-            current.append(row)
-            size += len(row[1]) + 2
-        chunks += [current] if current else []
-        n = len(chunks)
-        return pa.table({
-            "doc_id": pa.array([table.column("doc_id")[0].as_py()] * n, table.schema.field("doc_id").type), "chunk": pa.array(range(1, n + 1), pa.int32()), "content": pa.array(["\n\n".join(r[1] for r in c).strip() for c in chunks], pa.string()),
-            "section_title": pa.array([next((r[1] for r in c if r[2]), None) for c in chunks], pa.string()), "first_position": pa.array([c[0][0] for c in chunks], pa.int32()), "last_position": pa.array([c[-1][0] for c in chunks], pa.int32()),
-        })
-
-    packed = paragraphs.groupBy("doc_id").applyInArrow(fold, f"doc_id {kind}, chunk int, content string, section_title string, first_position int, last_position int")
+    def scan(batches):
+        done, current, size, doc, n = [], [], 0, None, 0
+
+        def close():
+            done.append((doc, n, "\n\n".join([r[1] for r in current]).strip(), next((r[1] for r in current if r[2]), None), current[0][0], current[-1][0]))
+
+        for batch in batches:
+            for i, *row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "position", "paragraph", "heading")], strict=True):
+                if current and (i != doc or row[2] or size + len(row[1]) > most or size >= target):
+                    close()
+                    current, size = [], 0
+                if not current:
+                    doc, n = i, n + 1 if n and i == doc else 1
+                current.append(row)
+                size += len(row[1]) + 2
+            if done:
+                yield told(done, batch.schema.field("doc_id").type)
+                done = []
+        if current:
+            close()
+            yield told(done, batch.schema.field("doc_id").type)
+
+    def told(chunks, doc_type):
+        types = (doc_type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunks, strict=True), types, strict=True)], names=["doc_id", "chunk", "content", "section_title", "first_position", "last_position"])
+
+    together = paragraphs.select("doc_id", "position", "paragraph", "heading").repartition("doc_id").sortWithinPartitions("doc_id", "position")
+    packed = together.mapInArrow(scan, f"doc_id {kind}, chunk int, content string, section_title string, first_position int, last_position int")
     return packed.where((F.length("content") >= LEAST) & ~T.is_contents(F.col("content"))).withColumn("summary", T.summary(F.col("content")))
 
 

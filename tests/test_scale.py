@@ -181,3 +181,27 @@ def test_lecture_search_stores_the_best_of_each_batch_alone(spark, monkeypatch):
         want += [(q, n, i, float(-t)) for n, (_, t, i) in enumerate(sorted(s[1:] for s in hits)[:4] and [(0, *s) for s in sorted(s[1:] for s in hits)[:4]], 1)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert set(sizes) == {"found", "hits"} and sizes["found"].count() <= 2 * 4 * 3 * len(asked)
+
+
+def test_paragraphs_of_many_documents_are_packed_in_one_batch(spark):
+    rng = random.Random(7)
+    rows = [(d, p, "x" * rng.randint(1, 900), rng.random() < 0.1) for d in [None, *range(300)] for p in range(rng.randint(1, 12))]
+    frame = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, position int, paragraph string, heading boolean")
+    packed = I.pack(frame)
+    assert "FlatMapGroups" not in _plan(packed)
+    want, last, size = [], None, 0
+    for doc, place, text, heading in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1])):
+        if doc != last or heading or size + len(text) > I.MOST or size >= I.TARGET or not want:
+            n, size = (want[-1][1] + 1 if want and doc == last else 1), 0
+            want.append([doc, n, [], None, place, place])
+        last, size = doc, size + len(text) + 2
+        want[-1][2].append(text)
+        want[-1][3], want[-1][5] = want[-1][3] or (text if heading else None), place
+    want = [(d, n, "\n\n".join(t), h, a, b) for d, n, t, h, a, b in want if len("\n\n".join(t)) >= I.LEAST]
+    assert sorted(map(repr, map(tuple, packed.drop("summary").collect()))) == sorted(map(repr, want))
+
+
+def test_a_line_is_tidied_once_for_all_that_is_asked_of_it(spark):
+    frame = I.paragraphs(spark.createDataFrame([(1, "STSV * 3  Some  text here\n12\n\nKẾT LUẬN:")], "doc_id int, text string"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("STSV\\s") <= 2
+    assert [tuple(r) for r in frame.collect()] == [(1, 0, "Some text here", False), (1, 3, "KẾT LUẬN:", True)]
