@@ -81,6 +81,15 @@ def test_index_finds_parts_of_words_and_short_questions(spark):
     assert got == {(1, "a"): 4 + 5, (1, "c"): 12 + 8 + 13 + 17, (2, "b"): 5, (3, "e"): 5}
 
 
+def test_lexical_search_keeps_ids_that_are_texts(spark):
+    """Equal points in order of the ids' code points, over several tasks, some of them without entries."""
+    corpus = spark.createDataFrame([(i, "t", "k", "s", c, "", []) for i, c in (("b", "xab cdef"), ("é", "xab cdef"), ("B", "xab cdef"), ("10", "no"), ("9", "xab cdef"))], "id string, title string, category string, source_kind string, content string, summary string, keywords array<string>")
+    asked = spark.createDataFrame([(1, "ab cd"), (2, "zzz")], "query_id int, query string")
+    got = retrieval.lexical_top_k(corpus.repartition(8), asked, 3)
+    assert dict(got.dtypes)["id"] == "string"
+    assert sorted((r.query_id, r.rank, r.id) for r in got.collect()) == [(1, 1, "9"), (1, 2, "B"), (1, 3, "b")]
+
+
 def test_bonus_alone_can_win(spark):
     points = spark.createDataFrame([(1, "a", 3)], "query_id int, id string, score long")
     entries = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("d", "z")], "id string, kind string")
